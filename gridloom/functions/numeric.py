@@ -44,8 +44,3 @@ def watt_hours_to_kwh(value: Column) -> Column:
 
 def kw_minutes_to_kwh(value: Column) -> Column:
     return value / F.lit(60.0)
-
-
-def half_up(value: Column, digits: int) -> Column:
-    scale = float(10**digits)
-    return F.floor(value * scale + 0.5) / F.lit(scale)

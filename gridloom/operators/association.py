@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from decimal import Decimal
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.operators.quantiles import column_quantiles, value_ranks
+from gridloom.functions.pairs import crossed_in_group
+from gridloom.operators.quantiles import VALUES_PER_SLICE, column_quantiles, value_ranks
 from gridloom.operators.statistics import pearson_pairs, target_correlations, upper_pairs
 from gridloom.session import settle
 
@@ -24,8 +22,9 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     known = df.select(*columns).dropna()
     ranked = known
+    distinct = known.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     for c in columns:
-        ranks = value_ranks(known, c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
+        ranks = value_ranks(known, c, slices=1 + distinct[c] // VALUES_PER_SLICE).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
         ranked = ranked.join(ranks, c)
     return ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
@@ -48,41 +47,6 @@ def _mirrored(upper: DataFrame) -> DataFrame:
     return upper.unionByName(lower)
 
 
-def crossed_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
-    """Sum of weight products over pairs with a_i < a_j and b_i > b_j.
-
-    Rows are put in (a, b) order; then, for every power of two, pairs falling into the
-    two halves of one block are counted by a sort on b and running sums.
-    """
-    n = len(a)
-    if n < 2:
-        return 0
-    order = np.lexsort((b, a))
-    b = np.unique(b[order], return_inverse=True)[1]
-    total = sum(int(w) for w in weight)
-    weight = weight[order].astype(np.int64 if total * total < 2**62 else object)
-    place = np.arange(n)
-    crossed = 0
-    half = 1
-    while half < n:
-        block, right = place // (2 * half), (place // half) % 2 == 1
-        sort = np.lexsort((right, b, block))
-        w, is_right, blk = weight[sort], right[sort], block[sort]
-        left = np.cumsum(np.where(is_right, 0, w))
-        last = np.searchsorted(blk, blk, side="right") - 1
-        crossed += int(np.sum(w[is_right] * (left[last[is_right]] - left[is_right])))
-        half *= 2
-    return crossed
-
-
-def _crossed_in_group(a: str, b: str):
-    def count(rows: pd.DataFrame) -> pd.DataFrame:
-        crossed = crossed_weight(rows[a].to_numpy(), rows[b].to_numpy(), rows["w"].to_numpy())
-        return pd.DataFrame({"crossed": [Decimal(crossed)]})
-
-    return count
-
-
 def _stripes(points: DataFrame, axis: str, size: int) -> DataFrame:
     """Cut an axis into ordered stripes of about ``size`` points.
 
@@ -106,19 +70,19 @@ def discordant_weight(points: DataFrame, stripe_rows: int = STRIPE_ROWS) -> int:
     n = points.count()
     size = max(stripe_rows, 4 * math.isqrt(n))
     if n <= size:
-        whole = points.groupBy(F.lit(0)).applyInPandas(_crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
+        whole = points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
         row = whole.first()
         return int(row["crossed"]) if row else 0
     placed = settle(points.join(_stripes(points, "x", size), "x").join(_stripes(points, "y", size), "y"))
     same_x = (
         placed.where(F.col("_sx") % 2 == 0)
         .groupBy("_sx")
-        .applyInPandas(_crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
+        .applyInPandas(crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
     )
     same_y = (
         placed.where(F.col("_sy") % 2 == 0)
         .groupBy("_sy")
-        .applyInPandas(_crossed_in_group("_sx", "y"), "crossed DECIMAL(38,0)")
+        .applyInPandas(crossed_in_group("_sx", "y"), "crossed DECIMAL(38,0)")
     )
     inside = same_x.unionAll(same_y).agg(F.sum("crossed")).first()[0] or 0
     cells = settle(

@@ -216,8 +216,8 @@ def quality_profile(df: DataFrame, ts_col: str, values: list[str]) -> DataFrame:
     stats = {
         "rows": F.count(F.lit(1)),
         "columns": F.lit(len(df.columns)),
-        "first_us": F.min(epoch_micros(ts_col)),
-        "last_us": F.max(epoch_micros(ts_col)),
+        "first_second": F.min(epoch_micros(ts_col)) / 1e6,
+        "last_second": F.max(epoch_micros(ts_col)) / 1e6,
         "missing": missing_count(df),
     }
     for c in described:

@@ -19,24 +19,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridloom.functions.calendar import epoch_micros
 
 BINS = 2048
-EXACT_ROWS = 1_000_000
+EXACT_ROWS = 500_000
 SMALLEST_STEP = 1e-290
+VALUES_PER_SLICE = 1_000_000
 
 
-@dataclass
-class _Target:
-    """One wanted order statistic: its rank among the values inside [low, high]."""
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of one group between two literals, and how many rows they have."""
 
-    rank: int
+    group: tuple
     low: float
     high: float
     rows: int
 
 
-def _inside(value: Column, target: _Target) -> Column:
-    return value.between(F.lit(target.low), F.lit(target.high))
-
-
 def _bin(value: Column, low, high) -> Column:
     """Monotone bin number; halves keep the width finite for the widest ranges."""
     start = float(low) / 2
@@ -51,64 +48,56 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[tu
     """Values at 0-based ranks per group: {(group key, rank): value}.
 
     ``ranks`` maps a group key to its ranks; groups are few (features, hours, bins).
+    Brackets of one group never overlap, so a row takes part in at most one of them.
     """
     v = F.col(value)
     spans = {
-        tuple(r[:-3]): (r[-3], r[-2], r[-1])
-        for r in df.where(v.isNotNull())
-        .groupBy(*group)
-        .agg(F.min(v), F.max(v), F.count(v))
-        .collect()
+        tuple(r[:-3]): _Bracket(tuple(r[:-3]), r[-3], r[-2], r[-1])
+        for r in df.where(v.isNotNull()).groupBy(*group).agg(F.min(v), F.max(v), F.count(v)).collect()
     }
-    open_targets: dict[tuple, _Target] = {}
+    wanted = {(g, rank): (spans[g], rank) for g, listed in ranks.items() for rank in listed}
     found: dict[tuple, float] = {}
-    for g, wanted in ranks.items():
-        low, high, rows = spans[g]
-        for rank in wanted:
-            open_targets[(g, rank)] = _Target(rank, low, high, rows)
-
-    def belongs(g: tuple) -> Column:
-        match = F.lit(True)
-        for name, part in zip(group, g):
+
+    def holds(b: _Bracket) -> Column:
+        match = v.between(F.lit(b.low), F.lit(b.high))
+        for name, part in zip(group, b.group):
             match = match & F.col(name).eqNullSafe(F.lit(part))
         return match
 
-    while open_targets:
-        for name in [n for n, t in open_targets.items() if t.low == t.high]:
-            found[name] = open_targets.pop(name).low
-        if not open_targets:
-            break
-        names = list(open_targets)
-        listing = {n for n in names if open_targets[n].rows <= BINS}
-        hits = [
+    while True:
+        for name in [n for n, (b, _) in wanted.items() if b.low == b.high]:
+            found[name] = wanted.pop(name)[0].low
+        if not wanted:
+            return found
+        brackets = list(dict.fromkeys(b for b, _ in wanted.values()))
+        cases = [
             F.when(
-                belongs(n[0]) & _inside(v, open_targets[n]),
+                holds(b),
                 F.struct(
-                    F.lit(i).alias("target"),
-                    (F.lit(0) if n in listing else _bin(v, open_targets[n].low, open_targets[n].high)).alias("bin"),
-                    F.when(F.lit(n in listing), v).alias("exact"),
+                    F.lit(i).alias("bracket"),
+                    (F.lit(0) if b.rows <= BINS else _bin(v, b.low, b.high)).alias("bin"),
+                    F.when(F.lit(b.rows <= BINS), v).alias("exact"),
                 ),
             )
-            for i, n in enumerate(names)
+            for i, b in enumerate(brackets)
         ]
         counted = (
-            df.select(v.alias("_v"), F.explode(F.array_compact(F.array(*hits))).alias("h"))
-            .groupBy("h.target", "h.bin", "h.exact")
+            df.select(v.alias("_v"), F.coalesce(*cases).alias("h"))
+            .where(F.col("h").isNotNull())
+            .groupBy("h.bracket", "h.bin", "h.exact")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"))
             .collect()
         )
-        per_target = defaultdict(list)
+        parts = defaultdict(list)
         for r in counted:
-            per_target[r["target"]].append((r["low"], r["high"], r["rows"]))
-        for i, n in enumerate(names):
-            target = open_targets[n]
+            parts[brackets[r["bracket"]]].append((r["low"], r["high"], r["rows"]))
+        for name, (b, rank) in wanted.items():
             below = 0
-            for low, high, rows in sorted(per_target[i]):
-                if below + rows > target.rank:
-                    open_targets[n] = _Target(target.rank - below, low, high, rows)
+            for low, high, rows in sorted(parts[b]):
+                if below + rows > rank:
+                    wanted[name] = (_Bracket(b.group, low, high, rows), rank - below)
                     break
                 below += rows
-    return found
 
 
 def _ranks_for(rows: int, probs: list[float]) -> list[int]:
@@ -224,8 +213,7 @@ def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFr
         F.count(F.lit(1)).alias("n")
     )
     if slices is None:
-        distinct = counted.count()
-        slices = max(1, distinct // 100_000)
+        slices = 1 + df.agg(F.approx_count_distinct(column)).first()[0] // VALUES_PER_SLICE
     if slices > 1:
         points = [i / slices for i in range(1, slices)]
         cuts = counted.agg(F.percentile_approx(F.col("value").cast("double"), points, 10 * slices)).first()[0]

@@ -69,15 +69,18 @@ def longest_series(df: DataFrame, entity: tuple[str, ...]) -> tuple[int, int]:
     return total or 0, longest or 0
 
 
+def rows_per_slice(df: DataFrame, key: SeriesKey, total: int) -> int:
+    """At most ``key.slice_rows``; less when the rows would not occupy every core."""
+    return max(1, min(key.slice_rows, -(-total // df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def slice_rows(df: DataFrame, key: SeriesKey, total: int) -> DataFrame:
     """Range-partition the rows and keep the partition number as ``_slice``.
 
     The result is settled because sampled range borders may move when a task is
     computed again.
     """
-    slices = max(1, -(-total // key.slice_rows))
-    columns = key.by(*key.order)
-    ranged = df.repartitionByRange(slices, *columns)
+    ranged = df.repartitionByRange(-(-total // rows_per_slice(df, key, total)), *key.by(*key.order))
     return settle(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -120,7 +123,7 @@ def with_look_back(df: DataFrame, key: SeriesKey, rows: int) -> DataFrame:
             .withColumn(BUCKET, F.lit(0).cast("long"))
             .withColumn(HALO, F.lit(False))
         )
-    size = max(4 * rows, min(key.slice_rows, longest), 1)
+    size = max(4 * rows, rows_per_slice(df, key, total))
     numbered = number_rows(df, key, total).drop(SLICE)
     bucket = F.floor(F.col(POS) / size)
     copies = F.when(

@@ -6,20 +6,17 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.distributions import f_tail, t_two_sided
 from gridloom.functions.numeric import ratio
 from gridloom.operators.quantiles import EXACT_ROWS, column_quantiles
 
+WIDE_PAIRS = 60
 SUMMARY_PROBS = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
-def _inline(df: DataFrame, rows: list[Column]) -> DataFrame:
-    """Turn one row of aggregates into one row per struct."""
-    return df.select(F.inline(F.array(*rows)))
-
-
 def corrected_skewness(n: Column, g1: Column) -> Column:
     """Sample skewness from the population one; needs three values."""
     n = n.cast("double")
@@ -33,12 +30,12 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
 
 
 def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """ST1: (feature, metric, value) for ten statistics per column, from one aggregate.
+    """ST1: (feature, metric, value) for ten statistics per column.
 
-    Large tables take their exact quantiles from the narrowing passes instead.
+    The quantiles are found first and enter as literals: in one aggregate with the moments
+    they would keep the whole aggregate out of code generation.
     """
-    small = df.count() <= exact_rows
-    quantiles = {} if small else column_quantiles(df, columns, list(SUMMARY_PROBS.values()), exact_rows)
+    quantiles = column_quantiles(df, columns, list(SUMMARY_PROBS.values()), exact_rows)
     rows = []
     for c in columns:
         n = F.count(c)
@@ -52,8 +49,7 @@ def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXA
             "skewness": F.when(varies, corrected_skewness(n, F.skewness(c))),
             "kurtosis": F.when(varies, corrected_kurtosis(n, F.kurtosis(c))),
         }
-        for i, (name, p) in enumerate(SUMMARY_PROBS.items()):
-            stats[name] = F.percentile(c, F.lit(p)) if small else F.lit(quantiles[c][i])
+        stats |= {name: F.lit(quantiles[c][i]) for i, name in enumerate(SUMMARY_PROBS)}
         for metric, value in stats.items():
             rows.append(
                 F.struct(
@@ -77,11 +73,37 @@ def _bounded(r: Column) -> Column:
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """(var1, var2, r) for the given pairs, all from one pass."""
+    """(var1, var2, r) for the given pairs over rows where both are known.
+
+    Columns without NULLs share their deviations between pairs. Many pairs of such
+    columns go through the distributed Gramian of Spark ML, whose size per task is
+    features squared.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+    complete = {c for c in columns if not missing[c]}
+    if len(pairs) > WIDE_PAIRS and len(complete) == len(columns):
+        return _gramian_pairs(df, columns, pairs)
+
+    def r(a: str, b: str) -> Column:
+        if a in complete and b in complete:
+            return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        return pearson(a, b)
+
+    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _bounded(r(a, b)).alias("r")) for a, b in pairs]
+    return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+
+
+def _gramian_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(*columns))
+    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
+    constant = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in columns]).first()
+    place = {c: i for i, c in enumerate(columns)}
     rows = [
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _bounded(pearson(a, b)).alias("r")) for a, b in pairs
+        (a, b, None if constant[a] or constant[b] else max(-1.0, min(1.0, float(matrix[place[a], place[b]]))))
+        for a, b in pairs
     ]
-    return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+    return df.sparkSession.createDataFrame(rows, "var1 STRING, var2 STRING, r DOUBLE")
 
 
 def upper_pairs(columns: list[str]) -> list[tuple[str, str]]:
@@ -122,11 +144,10 @@ def leaking_features(df: DataFrame, features: list[str], target: str, threshold:
 def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """ST9 without p-values: (feature, n, r, f_score) over complete rows."""
     known = df.dropna("any", subset=[*features, target])
-    rows = [
-        F.struct(F.lit(f).alias("feature"), F.count(F.lit(1)).alias("n"), _bounded(pearson(f, target)).alias("r"))
-        for f in features
-    ]
-    table = known.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+    rows = known.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    table = target_correlations(known, features, target).select(
+        "feature", F.lit(rows).alias("n"), F.col("pearson").alias("r")
+    )
     return table.withColumn("f_score", ratio(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")))
 
 

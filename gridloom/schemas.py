@@ -63,34 +63,35 @@ METER_TYPES = {
 }
 
 
-def _table(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
+# Layouts of the stored tables.
 STORED_TABLES = {
-    "households": _table(
+    "households": (
         "id BIGINT, name STRING NOT NULL, location STRING, surface_area DECIMAL(6,2), "
         "occupants INT, created_at TIMESTAMP"
     ),
-    "energy_measurements": _table(
+    "energy_measurements": (
         "id BIGINT, timestamp TIMESTAMP NOT NULL, household_id BIGINT NOT NULL, "
         "global_active_power DECIMAL(8,3), global_reactive_power DECIMAL(8,3), "
         "voltage DECIMAL(6,2), global_intensity DECIMAL(6,3), created_at TIMESTAMP"
     ),
-    "sub_meters": _table(
+    "sub_meters": (
         "id BIGINT, measurement_id BIGINT NOT NULL, meter_type STRING, energy_consumed DECIMAL(8,3)"
     ),
-    "hourly_consumption": _table(
+    "hourly_consumption": (
         "date DATE, hour INT, household_id BIGINT, avg_power DECIMAL(8,3), max_power DECIMAL(8,3), "
         "min_power DECIMAL(8,3), total_energy DECIMAL(10,3), record_count INT"
     ),
-    "daily_consumption": _table(
+    "daily_consumption": (
         "date DATE, household_id BIGINT, total_energy DECIMAL(10,3), avg_power DECIMAL(8,3), "
         "max_power DECIMAL(8,3), min_power DECIMAL(8,3), peak_hour INT"
     ),
-    "predictions": _table(
+    "predictions": (
         "timestamp TIMESTAMP, household_id BIGINT, predicted_power DECIMAL(8,3), "
         "actual_power DECIMAL(8,3), model_name STRING, confidence DECIMAL(5,4), "
         "error_abs DECIMAL(8,3), error_pct DECIMAL(6,2), created_at TIMESTAMP"
     ),
 }
+
+
+def stored_schema(table: str) -> T.StructType:
+    return T.StructType.fromDDL(STORED_TABLES[table])

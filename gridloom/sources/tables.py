@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gridloom.operators.columns import require_columns, to_storage_names
 from gridloom.operators.rollup import merge_by_key
-from gridloom.schemas import MEASUREMENT_COLUMNS, STORED_TABLES
+from gridloom.schemas import MEASUREMENT_COLUMNS, stored_schema
 from gridloom.session import settle
 
 FILE_ROWS = 5_000_000
@@ -50,7 +50,7 @@ def append_measurements(readings: DataFrame, path: str, household_id: int | None
     rows = measurement_rows(readings, household_id).withColumn(
         "id", F.xxhash64("household_id", "timestamp")
     )
-    typed = fit_schema(rows, STORED_TABLES["energy_measurements"])
+    typed = fit_schema(rows, stored_schema("energy_measurements"))
     write_dated(typed.withColumn("created_at", F.current_timestamp()), path, "timestamp", mode="append")
 
 
@@ -103,5 +103,5 @@ def add_households(new: DataFrame, existing: DataFrame | None) -> DataFrame:
 
 def append_predictions(predictions: DataFrame, path: str) -> None:
     """SNK5: append scored rows, one folder per model."""
-    typed = fit_schema(predictions, STORED_TABLES["predictions"])
+    typed = fit_schema(predictions, stored_schema("predictions"))
     typed.withColumn("created_at", F.current_timestamp()).write.mode("append").partitionBy("model_name").parquet(path)
