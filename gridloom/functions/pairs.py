@@ -40,9 +40,12 @@ def crossed_weight(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> int:
     return crossed
 
 
-def crossed_in_group(a: str, b: str):
+def crossed_in_group(a: str, b: str, name: str | None = None):
+    """Function for ``applyInPandas``; the result repeats the group's ``name`` column if asked."""
+
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         crossed = crossed_weight(rows[a].to_numpy(), rows[b].to_numpy(), rows["w"].to_numpy())
-        return pd.DataFrame({"crossed": [Decimal(crossed)]})
+        out = {name: [rows[name].iloc[0]]} if name else {}
+        return pd.DataFrame({**out, "crossed": [Decimal(crossed)]})
 
     return count

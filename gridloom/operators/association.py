@@ -32,7 +32,7 @@ def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """ST5: (var1, var2, r); ties share their average rank."""
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    return pearson_pairs(with_ranks(df, columns), pairs)
+    return pearson_pairs(with_ranks(df, columns), pairs, complete_rows=True)
 
 
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,7 +70,8 @@ def discordant_weight(points: DataFrame, stripe_rows: int = STRIPE_ROWS) -> int:
     n = points.count()
     size = max(stripe_rows, 4 * math.isqrt(n))
     if n <= size:
-        whole = points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
+        whole = points.withColumn("_all", F.lit(0)).groupBy("_all")
+        whole = whole.applyInPandas(crossed_in_group("x", "y"), "crossed DECIMAL(38,0)")
         row = whole.first()
         return int(row["crossed"]) if row else 0
     placed = settle(points.join(_stripes(points, "x", size), "x").join(_stripes(points, "y", size), "y"))
@@ -91,35 +92,61 @@ def discordant_weight(points: DataFrame, stripe_rows: int = STRIPE_ROWS) -> int:
     return int(inside) + discordant_weight(cells, stripe_rows)
 
 
-def _tied_pairs(counts: DataFrame) -> int:
-    c = F.col("w").cast("decimal(19,0)")
-    return int(counts.agg(F.sum(c * (c - 1) / 2).cast("decimal(38,0)")).first()[0] or 0)
+def _pairs_of(weight: Column) -> Column:
+    w = weight.cast("decimal(19,0)")
+    return F.sum(w * (w - 1) / 2).cast("decimal(38,0)")
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, stripe_rows: int = STRIPE_ROWS) -> float | None:
-    """ST6: tau-b of two columns over complete rows, exact for any number of rows.
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+    """ST6: (var1, var2, r) with tau-b over rows complete in all named columns.
 
-    Only distinct (x, y) points with their counts are kept, so copies cost nothing.
+    Exact for any number of rows. Only distinct points with their counts are kept, so
+    copies cost nothing; all pairs share the passes over them. A pair with few points is
+    one task, the others are counted stripe by stripe.
     """
-    known = df.select(F.col(x).alias("x"), F.col(y).alias("y")).dropna()
-    points = settle(known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    n = points.agg(F.sum("w")).first()[0] or 0
-    all_pairs = n * (n - 1) // 2
-    tied_x = _tied_pairs(points.groupBy("x").agg(F.sum("w").alias("w")))
-    tied_y = _tied_pairs(points.groupBy("y").agg(F.sum("w").alias("w")))
-    tied_both = _tied_pairs(points)
-    if all_pairs in (tied_x, tied_y):
-        return None
-    discordant = discordant_weight(points, stripe_rows)
-    concordant = all_pairs - tied_x - tied_y + tied_both - discordant
-    return (concordant - discordant) / math.sqrt((all_pairs - tied_x) * (all_pairs - tied_y))
-
-
-def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], stripe_rows: int = STRIPE_ROWS) -> DataFrame:
-    """ST6: (var1, var2, r) over rows complete in all named columns."""
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     known = df.select(*columns).dropna()
-    rows = [(a, b, kendall_tau(known, a, b, stripe_rows)) for a, b in pairs]
+    listed = F.array(
+        *[
+            F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    points = settle(
+        known.select(F.inline(listed)).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w"))
+    )
+    facts = {
+        r["pair"]: r
+        for r in points.groupBy("pair")
+        .agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("points"), _pairs_of(F.col("w")).alias("tied"))
+        .collect()
+    }
+
+    def tied_on(axis: str) -> DataFrame:
+        equal = points.groupBy("pair", axis).agg(F.sum("w").alias("w"))
+        return equal.groupBy("pair").agg(_pairs_of(F.col("w")).alias("tied")).withColumn("axis", F.lit(axis))
+
+    tied = {(r["pair"], r["axis"]): int(r["tied"]) for r in tied_on("x").unionByName(tied_on("y")).collect()}
+    small = [i for i, f in facts.items() if f["points"] <= stripe_rows]
+    counted = (
+        points.where(F.col("pair").isin(small))
+        .groupBy("pair")
+        .applyInPandas(crossed_in_group("x", "y", "pair"), "pair INT, crossed DECIMAL(38,0)")
+    )
+    discordant = {r["pair"]: int(r["crossed"]) for r in counted.collect()} if small else {}
+    rows = []
+    for i, (a, b) in enumerate(pairs):
+        tau = None
+        if i in facts:
+            n, both = facts[i]["n"], int(facts[i]["tied"])
+            every, tied_x, tied_y = n * (n - 1) // 2, tied[(i, "x")], tied[(i, "y")]
+            if every not in (tied_x, tied_y):
+                if i not in discordant:
+                    own = points.where(F.col("pair") == i).select("x", "y", "w")
+                    discordant[i] = discordant_weight(own, stripe_rows)
+                concordant = every - tied_x - tied_y + both - discordant[i]
+                tau = (concordant - discordant[i]) / math.sqrt((every - tied_x) * (every - tied_y))
+        rows.append((a, b, tau))
     return df.sparkSession.createDataFrame(rows, "var1 STRING, var2 STRING, r DOUBLE")
 
 
@@ -136,7 +163,7 @@ def target_association(df: DataFrame, features: list[str], target: str) -> DataF
     by_rank = spearman_pairs(known, pairs).select(F.col("var1").alias("feature"), F.col("r").alias("spearman"))
     by_order = kendall_pairs(known, pairs).select(F.col("var1").alias("feature"), F.col("r").alias("kendall"))
     return (
-        target_correlations(known, features, target)
+        target_correlations(known, features, target, True)
         .join(by_rank, "feature")
         .join(by_order, "feature")
         .orderBy(F.abs("pearson").desc_nulls_last(), "feature")

@@ -214,19 +214,18 @@ def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFr
     )
     if slices is None:
         slices = 1 + df.agg(F.approx_count_distinct(column)).first()[0] // VALUES_PER_SLICE
-    if slices > 1:
-        points = [i / slices for i in range(1, slices)]
-        cuts = counted.agg(F.percentile_approx(F.col("value").cast("double"), points, 10 * slices)).first()[0]
-        splits = [-math.inf, *sorted(set(cuts)), math.inf]
-        numbered = counted.withColumn("_number", F.col("value").cast("double"))
-        counted = (
-            Bucketizer(splits=splits, inputCol="_number", outputCol="_range", handleInvalid="keep")
-            .transform(numbered)
-            .drop("_number")
+    if slices == 1:
+        whole = Window.orderBy("value")
+        below = F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return counted.select(
+            "value", "n", (below + (F.col("n") + 1) / 2.0).alias("rank"), (F.row_number().over(whole) - 1).alias("position")
         )
-    else:
-        counted = counted.withColumn("_range", F.lit(0.0))
-    totals = counted.groupBy("_range").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
+    points = [i / slices for i in range(1, slices)]
+    cuts = counted.agg(F.percentile_approx(F.col("value").cast("double"), points, 10 * slices)).first()[0] or []
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    numbered = counted.withColumn("_number", F.col("value").cast("double"))
+    ranged = Bucketizer(splits=splits, inputCol="_number", outputCol="_range", handleInvalid="keep").transform(numbered)
+    totals = ranged.groupBy("_range").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         "_range",
@@ -237,7 +236,7 @@ def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFr
     below = F.coalesce(
         F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     ) + F.col("_rows_before")
-    return counted.join(offsets, "_range").select(
+    return ranged.join(offsets, "_range").select(
         "value",
         "n",
         (below + (F.col("n") + 1) / 2.0).alias("rank"),

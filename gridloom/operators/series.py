@@ -135,11 +135,12 @@ def with_look_back(df: DataFrame, key: SeriesKey, rows: int) -> DataFrame:
         .withColumn(BUCKET, F.col("_copy").getField("col1"))
         .withColumn(HALO, F.col("_copy").getField("col2"))
         .drop("_copy")
+        .repartition(*key.by(BUCKET))
     )
 
 
 def look_back_window(key: SeriesKey) -> WindowSpec:
-    """One exchange on (entity, bucket) serves every look-back column."""
+    """The one exchange on (entity, bucket) serves every look-back column."""
     return _spec(key.by(BUCKET), [F.col(POS)])
 
 

@@ -72,16 +72,18 @@ def _bounded(r: Column) -> Column:
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
-def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], complete_rows: bool = False) -> DataFrame:
     """(var1, var2, r) for the given pairs over rows where both are known.
 
-    Columns without NULLs share their deviations between pairs. Many pairs of such
+    ``complete_rows`` promises that no value is NULL and saves the pass that looks. Columns without NULLs share their deviations between pairs. Many pairs of such
     columns go through the distributed Gramian of Spark ML, whose size per task is
     features squared.
     """
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
-    complete = {c for c in columns if not missing[c]}
+    complete = set(columns)
+    if not complete_rows:
+        missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
+        complete = {c for c in columns if not missing[c]}
     if len(pairs) > WIDE_PAIRS and len(complete) == len(columns):
         return _gramian_pairs(df, columns, pairs)
 
@@ -124,9 +126,11 @@ def strong_pairs(df: DataFrame, columns: list[str], threshold: float = 0.8) -> D
     return pearson_pairs(df, upper_pairs(columns)).where(F.abs("r") > threshold)
 
 
-def target_correlations(df: DataFrame, features: list[str], target: str) -> DataFrame:
+def target_correlations(
+    df: DataFrame, features: list[str], target: str, complete_rows: bool = False
+) -> DataFrame:
     """(feature, pearson) for every feature against the target."""
-    return pearson_pairs(df, [(f, target) for f in features]).select(
+    return pearson_pairs(df, [(f, target) for f in features], complete_rows).select(
         F.col("var1").alias("feature"), F.col("r").alias("pearson")
     )
 
@@ -145,7 +149,7 @@ def f_scores(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """ST9 without p-values: (feature, n, r, f_score) over complete rows."""
     known = df.dropna("any", subset=[*features, target])
     rows = known.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    table = target_correlations(known, features, target).select(
+    table = target_correlations(known, features, target, True).select(
         "feature", F.lit(rows).alias("n"), F.col("pearson").alias("r")
     )
     return table.withColumn("f_score", ratio(F.col("r") * F.col("r") * (F.col("n") - 2), 1 - F.col("r") * F.col("r")))
@@ -233,7 +237,7 @@ def variance_inflation(df: DataFrame, features: list[str]) -> DataFrame:
     """ST14: diagonal of the inverse correlation matrix (features x features, on the driver)."""
     place = {f: i for i, f in enumerate(features)}
     matrix = np.eye(len(features))
-    for row in pearson_pairs(df.dropna("any", subset=features), upper_pairs(features)).collect():
+    for row in pearson_pairs(df.dropna("any", subset=features), upper_pairs(features), True).collect():
         r = row["r"] if row["r"] is not None else 0.0
         matrix[place[row["var1"]], place[row["var2"]]] = r
         matrix[place[row["var2"]], place[row["var1"]]] = r
