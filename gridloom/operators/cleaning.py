@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from gridloom.functions.calendar import epoch_micros
 from gridloom.functions.numeric import numeric_columns, percent, present
@@ -23,6 +23,7 @@ from gridloom.session import settle
 FILL_LIMIT = 60
 IQR_REACH = 1.5
 Z_LIMIT = 3.0
+FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def _between_neighbours(column: str, at: Column) -> Column:
@@ -76,12 +77,19 @@ def fill_missing(
 def keep_first(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
     """CLN5: one row per key, the first in ``order``.
 
-    The smallest (order, rest) struct per key is an ordinary aggregate, so any number of
-    copies of one key shrink to one row per task before the shuffle.
+    An ordinary aggregate, so any number of copies of one key shrink to one row per task
+    before the shuffle. Fixed-width columns each follow the smallest order value, which
+    stays a hash aggregate; otherwise the smallest (order, rest) struct is kept. ``order``
+    should be unique within a key.
     """
     rest = [c for c in df.columns if c not in subset and c not in order]
-    packed = F.struct(*order, *rest)
-    firsts = df.groupBy(*subset).agg(F.min(packed).alias("_first"))
+    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in [*order, *rest])
+    if len(order) == 1 and fixed:
+        firsts = df.groupBy(*subset).agg(
+            F.min(order[0]).alias(order[0]), *[F.min_by(c, order[0]).alias(c) for c in rest]
+        )
+        return firsts.select(*df.columns)
+    firsts = df.groupBy(*subset).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return firsts.select(*[F.col(c) if c in subset else F.col("_first").getField(c).alias(c) for c in df.columns])
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -81,16 +82,20 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[tu
             )
             for i, b in enumerate(brackets)
         ]
+        # Rows outside every bracket become one group; a filter on the bracket would
+        # repeat the expression behind the value once per bracket.
+        reach = v.between(F.lit(min(b.low for b in brackets)), F.lit(max(b.high for b in brackets)))
         counted = (
-            df.select(v.alias("_v"), F.coalesce(*cases).alias("h"))
-            .where(F.col("h").isNotNull())
+            df.where(reach)
+            .select(v.alias("_v"), F.coalesce(*cases).alias("h"))
             .groupBy("h.bracket", "h.bin", "h.exact")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"))
             .collect()
         )
         parts = defaultdict(list)
         for r in counted:
-            parts[brackets[r["bracket"]]].append((r["low"], r["high"], r["rows"]))
+            if r["bracket"] is not None:
+                parts[brackets[r["bracket"]]].append((r["low"], r["high"], r["rows"]))
         for name, (b, rank) in wanted.items():
             below = 0
             for low, high, rows in sorted(parts[b]):
@@ -113,12 +118,28 @@ def _interpolated(at: float, low: float, high: float) -> float:
     return low + (high - low) * part
 
 
+def _narrowed_quantiles(
+    df: DataFrame, group: list[str], value: str, counts: dict[tuple, int], probs: list[float]
+) -> dict[tuple, list[float] | None]:
+    ranks = {g: _ranks_for(n, probs) for g, n in counts.items() if n}
+    stats = order_statistics(df, group, value, ranks) if ranks else {}
+    found: dict[tuple, list[float] | None] = {}
+    for g, n in counts.items():
+        found[g] = None
+        if n:
+            at = [p * (n - 1) for p in probs]
+            ends = [(stats[(g, math.floor(a))], stats[(g, min(math.floor(a) + 1, n - 1))]) for a in at]
+            found[g] = [_interpolated(a, float(low), float(high)) for a, (low, high) in zip(at, ends)]
+    return found
+
+
 def grouped_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float], exact_rows: int = EXACT_ROWS
 ) -> DataFrame:
     """ST2 per group: ``group``, ``rows`` and an array ``q`` of linear-interpolated quantiles.
 
-    Meant for few groups (hours, features); each may hold any number of rows.
+    Groups larger than ``exact_rows`` must be few (hours, features); each may hold any
+    number of rows.
     """
     sizes = df.groupBy(*group).agg(F.count(value).alias("rows"))
     if (sizes.agg(F.max("rows")).first()[0] or 0) <= exact_rows:
@@ -127,35 +148,25 @@ def grouped_quantiles(
             F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"),
         )
     counts = {tuple(r[:-1]): r[-1] for r in sizes.collect()}
-    stats = order_statistics(df, group, value, {g: _ranks_for(n, probs) for g, n in counts.items() if n})
-    rows = []
-    for g, n in counts.items():
-        q = None
-        if n:
-            q = []
-            for p in probs:
-                at = p * (n - 1)
-                low = stats[(g, math.floor(at))]
-                high = stats[(g, min(math.floor(at) + 1, n - 1))]
-                q.append(_interpolated(at, float(low), float(high)))
-        rows.append((*g, n, q))
+    found = _narrowed_quantiles(df, group, value, counts, probs)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([f"`{name}` {types[name]}" for name in group] + ["rows BIGINT", "q ARRAY<DOUBLE>"])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame([(*g, counts[g], q) for g, q in found.items()], schema)
 
 
 def column_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], exact_rows: int = EXACT_ROWS
 ) -> dict[str, list[float | None]]:
     """ST2: the quantiles of several columns, computed together."""
-    grid = F.array(*[F.lit(p) for p in probs])
-    if df.count() <= exact_rows:
+    unknown = [None] * len(probs)
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    if max(sizes) <= exact_rows:
+        grid = F.array(*[F.lit(p) for p in probs])
         row = df.agg(*[F.percentile(c, grid).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in columns}
+        return {c: list(row[c]) if row[c] is not None else unknown for c in columns}
     tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
-    table = grouped_quantiles(tall, ["feature"], "value", probs, exact_rows).collect()
-    found = {r["feature"]: r["q"] for r in table}
-    return {c: list(found[c]) if found.get(c) else [None] * len(probs) for c in columns}
+    found = _narrowed_quantiles(tall, ["feature"], "value", {(c,): sizes[c] for c in columns}, probs)
+    return {c: found[(c,)] or unknown for c in columns}
 
 
 def approximate_quantiles(df: DataFrame, columns: list[str], probs: list[float], accuracy: int = 10_000) -> dict:
@@ -182,12 +193,22 @@ def row_at(df: DataFrame, order: list[str], index: int) -> list:
     return boundary
 
 
+def _literal(df: DataFrame, column: str, value) -> Column:
+    """The boundary as a literal of the column's own type, so the comparison reaches the scan."""
+    kind = df.schema[column].dataType.typeName()
+    if kind == "timestamp":
+        return F.timestamp_micros(F.lit(value))
+    if kind == "timestamp_ntz":
+        return F.lit(str(datetime(1970, 1, 1) + timedelta(microseconds=value))).cast("timestamp_ntz")
+    return F.lit(value)
+
+
 def before_row(df: DataFrame, order: list[str], boundary: list) -> Column:
     """True for rows strictly before the boundary in lexicographic order."""
     condition = F.lit(False)
     for c, value in reversed(list(zip(order, boundary))):
-        number = _as_number(df, c)
-        condition = (number < F.lit(value)) | ((number == F.lit(value)) & condition)
+        limit = _literal(df, c, value)
+        condition = (F.col(c) < limit) | ((F.col(c) == limit) & condition)
     return condition
 
 

@@ -110,13 +110,15 @@ def with_positions(df: DataFrame, key: SeriesKey) -> DataFrame:
     return number_rows(df, key, total)
 
 
-def with_look_back(df: DataFrame, key: SeriesKey, rows: int) -> DataFrame:
+def with_look_back(
+    df: DataFrame, key: SeriesKey, rows: int, sizes: tuple[int, int] | None = None
+) -> DataFrame:
     """Prepare a table for windows that look back at most ``rows`` rows.
 
     Adds ``_pos``, ``_bucket`` and ``_halo``; use ``look_back_window`` for the windows
-    and ``drop_halo`` afterwards.
+    and ``drop_halo`` afterwards. ``sizes`` saves counting the rows again.
     """
-    total, longest = longest_series(df, key.entity)
+    total, longest = sizes or longest_series(df, key.entity)
     if longest <= key.plain_rows:
         return (
             df.withColumn(POS, (F.row_number().over(key.forward()) - 1).cast("long"))

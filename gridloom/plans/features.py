@@ -23,7 +23,7 @@ from gridloom.schemas import TARGET
 NEAR_LAGS = [1, 2, 3, 5, 10]
 FAR_LAGS = [60, 120, 360, 720, 1440, 10080]
 WINDOWS = [60, 360, 1440]
-FRAME_LIMIT = 16
+FRAME_LIMIT = 128
 
 
 def lag_offsets(horizon: int, series_rows: int | None = None) -> list[int]:
@@ -44,10 +44,15 @@ def add_history(
     windows: list[int],
     shift: int = 1,
     by_frame: bool | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """WIN1-WIN3 over one shared layout of the rows."""
+    """WIN1-WIN3 over one shared layout of the rows.
+
+    A row frame costs its length per row, merged blocks cost two more sorts; frames win
+    up to about FRAME_LIMIT rows.
+    """
     reach = max([0, *offsets, *[w + shift for w in windows]])
-    out = with_look_back(df, key, reach)
+    out = with_look_back(df, key, reach, sizes)
     out = lags(out, key, target, {f"target_lag_{k}": k for k in offsets})
     for w in windows:
         frame = w <= FRAME_LIMIT if by_frame is None else by_frame
@@ -58,8 +63,8 @@ def add_history(
 
 def lag_features(df: DataFrame, key: SeriesKey, target: str = TARGET, horizon: int = 1) -> DataFrame:
     """WIN1"""
-    _, longest = longest_series(df, key.entity)
-    return add_history(df, key, target, lag_offsets(horizon, longest), [])
+    sizes = longest_series(df, key.entity)
+    return add_history(df, key, target, lag_offsets(horizon, sizes[1]), [], sizes=sizes)
 
 
 def rolling_features(
@@ -89,11 +94,10 @@ def feature_table(
     drop_incomplete: bool = True,
 ) -> DataFrame:
     """Calendar, lag and trailing columns in one plan; incomplete rows are dropped last."""
-    _, longest = longest_series(df, key.entity)
+    sizes = longest_series(df, key.entity)
     base = add_calendar(drop_leaky(df), ts_col)
-    table = add_history(
-        base, key, target, lag_offsets(horizon, longest), window_sizes(horizon), max(1, horizon)
-    )
+    offsets, windows = lag_offsets(horizon, sizes[1]), window_sizes(horizon)
+    table = add_history(base, key, target, offsets, windows, max(1, horizon), sizes=sizes)
     return complete_rows(table) if drop_incomplete else table
 
 

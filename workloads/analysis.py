@@ -451,3 +451,75 @@ def _(spark, sf):
 @query("ch6_value_range", f"SELECT min(y) AS low, max(y) AS high FROM {PREDICTIONS}")
 def _(spark, sf):
     return charts.value_range(_predictions(spark, sf))
+
+
+@query(
+    "jn4_aligned_scores",
+    f"SELECT feature, pearson, f_score FROM ({_target_sql(FEATURES, TARGET, FRAME, 'pearson')}) JOIN ({F_SQL}) USING (feature)",
+    pearson=8, f_score=3,
+)
+def _(spark, sf):
+    data = frame(spark, sf)
+    correlations = statistics.target_correlations(data, FEATURES, TARGET)
+    return correlations.join(statistics.f_scores(data, FEATURES, TARGET), "feature").select("feature", "pearson", "f_score")
+
+
+@query(
+    "srt2_features_by_strength",
+    f"""SELECT feature, pearson, row_number() OVER (ORDER BY abs(pearson) DESC, feature) AS place
+FROM ({_target_sql(FEATURES, TARGET, FRAME, 'pearson')})""",
+    pearson=8,
+)
+def _(spark, sf):
+    ordered = statistics.strongest(statistics.target_correlations(frame(spark, sf), FEATURES, TARGET), len(FEATURES))
+    return spark.createDataFrame(
+        [(r["feature"], r["pearson"], i + 1) for i, r in enumerate(ordered.collect())],
+        "feature STRING, pearson DOUBLE, place BIGINT",
+    )
+
+
+@query(
+    "top2_importances_per_group",
+    f"""SELECT model_name, feature, importance, place FROM (SELECT *,
+  row_number() OVER (PARTITION BY model_name ORDER BY importance DESC, feature) AS place FROM (
+  {_union([f"SELECT l_returnflag AS model_name, '{f}' AS feature, avg({f}) / max({f}) AS importance FROM {FRAME} GROUP BY 1" for f in FEATURES])}))
+WHERE place <= 2""",
+    importance=8,
+)
+def _(spark, sf):
+    rows = [F.struct(F.lit(f).alias("feature"), (F.avg(f) / F.max(f)).alias("importance")) for f in FEATURES]
+    weights = frame(spark, sf).groupBy(F.col("l_returnflag").alias("model_name")).agg(F.array(*rows).alias("s"))
+    return evaluation.top_importances(weights.select("model_name", F.inline("s")), 2)
+
+
+def _price_metric(name: str, sql: str, metric: str, digits: int) -> None:
+    """One quality measure of the discounted price as a forecast of the price."""
+
+    @query(name, f"SELECT l_returnflag AS model_name, {sql} AS {metric} FROM {FRAME} GROUP BY 1", **{metric: digits})
+    def _(spark, sf):
+        scores = evaluation.evaluate(frame(spark, sf), "l_returnflag", "l_extendedprice", "disc_price")
+        return scores.select(F.col("l_returnflag").alias("model_name"), metric)
+
+
+_price_metric("ev2_rmse", "sqrt(avg(power(l_extendedprice - disc_price, 2)))", "rmse", 4)
+_price_metric("ev3_mae", "avg(abs(l_extendedprice - disc_price))", "mae", 4)
+_price_metric("ev4_mape", "100 * avg(abs((l_extendedprice - disc_price) / (l_extendedprice + 1e-8)))", "mape", 6)
+_price_metric("ev5_explained_variance", "1 - var_pop(l_extendedprice - disc_price) / var_pop(l_extendedprice)", "evs", 6)
+_price_metric(
+    "ev6_tolerance_accuracy",
+    "100 * avg(CASE WHEN abs(disc_price - l_extendedprice) <= 0.1::DOUBLE * abs(l_extendedprice) THEN 1.0::DOUBLE ELSE 0 END)",
+    "accuracy",
+    6,
+)
+
+
+@query(
+    "ev6_tolerance_of_counts",
+    """SELECT l_returnflag AS model_name, count(*) AS n, 100 * avg(CASE WHEN abs(40 - l_quantity) <= 0.25::DOUBLE * abs(l_quantity)
+  THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM lineitem GROUP BY 1""",
+    accuracy=6,
+)
+def _(spark, sf):
+    guess = table(spark, sf, "lineitem").withColumn("guess", F.lit(40.0))
+    scores = evaluation.evaluate(guess, "l_returnflag", "l_quantity", "guess", tolerance=0.25)
+    return scores.select(F.col("l_returnflag").alias("model_name"), "n", "accuracy")

@@ -476,3 +476,82 @@ def _(spark, sf):
     lines = frame(spark, sf)
     price = [c for c in numeric_columns(lines) if c.startswith("disc")][0]
     return lines.agg(F.count(F.lit(1)).alias("n"), F.avg(price).alias("mean"))
+
+
+@query(
+    "scl3_season",
+    """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber,
+  (CASE WHEN month(l_shipdate) IN (12, 1, 2) THEN 0 WHEN month(l_shipdate) <= 5 THEN 1 WHEN month(l_shipdate) <= 8 THEN 2 ELSE 3 END)::BIGINT
+  AS season FROM lineitem""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", calendar.season(F.month("l_shipdate")).alias("season"))
+
+
+@query(
+    "scl4_time_of_day",
+    """SELECT event_id, (CASE WHEN hour(ts) <= 6 THEN 0 WHEN hour(ts) <= 12 THEN 1 WHEN hour(ts) <= 18 THEN 2 ELSE 3 END)::BIGINT
+  AS time_of_day FROM events""",
+)
+def _(spark, sf):
+    return table(spark, sf, "events").select("event_id", calendar.time_of_day(F.hour("ts")).alias("time_of_day"))
+
+
+@query(
+    "scl5_peak_flags",
+    """SELECT (hour(ts) BETWEEN 7 AND 9)::BIGINT AS is_morning_peak, (hour(ts) BETWEEN 18 AND 21)::BIGINT AS is_evening_peak,
+  (hour(ts) >= 23 OR hour(ts) <= 6)::BIGINT AS is_night, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2, 3""",
+    total=3,
+)
+def _(spark, sf):
+    flags = ["is_morning_peak", "is_evening_peak", "is_night"]
+    flagged = calendar.add_calendar(table(spark, sf, "events"), "ts")
+    return flagged.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query("scl8_text_to_timestamp", "SELECT event_id, epoch_us(ts) AS ts FROM events")
+def _(spark, sf):
+    from gridloom.sources.logs import restore_timestamp
+
+    text = table(spark, sf, "events").select("event_id", F.col("ts").cast("string").alias("ts"))
+    return restore_timestamp(text, "ts")
+
+
+@query(
+    "jn5_known_pairs",
+    f"""SELECT count(*) AS n, corr(reading, event_id) AS r FROM {READINGS} WHERE reading IS NOT NULL AND event_id IS NOT NULL""",
+    r=8,
+)
+def _(spark, sf):
+    from gridloom.operators.statistics import pearson
+
+    known = columns.complete_rows(readings(spark, sf), ["reading", "event_id"])
+    return known.agg(F.count(F.lit(1)).alias("n"), pearson("reading", "event_id").alias("r"))
+
+
+@query(
+    "top4_busiest_hour",
+    f"""SELECT household_id, hour AS busiest_hour FROM (
+  SELECT household_id, hour(ts)::BIGINT AS hour, count(*) AS n FROM {READINGS} GROUP BY 1, 2)
+QUALIFY row_number() OVER (PARTITION BY household_id ORDER BY n DESC, hour) = 1""",
+)
+def _(spark, sf):
+    hours = readings(spark, sf).groupBy("household_id", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.groupBy("household_id").agg(rollup.peak("hour", "n").alias("busiest_hour"))
+
+
+@query(
+    "set3_union_of_meters",
+    f"""SELECT meter_type, count(*) AS n, count(energy_consumed) AS known, sum(energy_consumed) AS total FROM (
+  SELECT 'kitchen' AS meter_type, Sub_metering_1 AS energy_consumed FROM {WIDE}
+  UNION ALL SELECT 'laundry', Sub_metering_2 FROM {WIDE} UNION ALL SELECT 'climate', Sub_metering_3 FROM {WIDE}) GROUP BY 1""",
+    total=2,
+)
+def _(spark, sf):
+    tall = reshape.submeters_long(_wide(spark, sf), ["household_id", "timestamp"])
+    return tall.groupBy("meter_type").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("energy_consumed").alias("known"),
+        F.sum("energy_consumed").alias("total"),
+    )

@@ -9,6 +9,7 @@ from gridloom.functions.calendar import add_calendar
 from gridloom.operators import evaluation, learning
 from gridloom.operators.series import drop_halo, lags, with_look_back
 from gridloom.plans.training import train_and_evaluate
+from gridloom.session import settle
 from workloads.base import BY_USER, query, readings, table
 
 ORDER = ["ts", "event_id"]
@@ -78,10 +79,10 @@ FEATURES = ["hour", "dayofweek", "hour_sin", "hour_cos", "lag_1", "lag_2"]
 
 
 def _training_table(spark, sf):
-    """Hourly power of all households together, with calendar and lag columns."""
+    """Readings of all households with calendar and lag columns."""
     log = readings(spark, sf)
     seen = drop_halo(lags(with_look_back(log, BY_USER, 2), BY_USER, "value", {"lag_1": 1, "lag_2": 2}))
-    return add_calendar(seen.select("event_id", "ts", "value", "lag_1", "lag_2"), "ts").dropna()
+    return settle(add_calendar(seen.select("event_id", "ts", "value", "lag_1", "lag_2"), "ts").dropna())
 
 
 def _fitted(spark, sf, model):
@@ -93,13 +94,13 @@ def _fitted(spark, sf, model):
 
 @query("ml5_random_forest")
 def _(spark, sf):
-    _, test, model = _fitted(spark, sf, learning.forest_model("value", trees=20, depth=8))
+    _, test, model = _fitted(spark, sf, learning.forest_model("value"))
     return evaluation.evaluate(learning.score({"Random Forest": model}, test, "value", ["event_id"]))
 
 
 @query("ml6_gradient_boosting")
 def _(spark, sf):
-    _, test, model = _fitted(spark, sf, learning.boosted_model("value", rounds=10, depth=3))
+    _, test, model = _fitted(spark, sf, learning.boosted_model("value"))
     return evaluation.evaluate(learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]))
 
 
@@ -111,7 +112,7 @@ def _(spark, sf):
 
 @query("ml8_selection_forest")
 def _(spark, sf):
-    data, _, model = _fitted(spark, sf, learning.selection_forest("value", trees=10, depth=6))
+    data, _, model = _fitted(spark, sf, learning.selection_forest("value", trees=20, depth=8))
     return learning.importances(data, {"Random Forest": model}, FEATURES)
 
 
