@@ -29,6 +29,7 @@ HALO = "_halo"
 
 PLAIN_ROWS = 1_000_000
 SLICE_ROWS = 500_000
+FRAME_LIMIT = 128
 
 
 @dataclass(frozen=True)
@@ -152,56 +153,72 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 def lags(df: DataFrame, key: SeriesKey, value: str, offsets: dict[str, int]) -> DataFrame:
     """Columns holding the value of earlier rows; expects ``with_look_back``."""
-    window = look_back_window(key)
-    return df.withColumns({name: F.lag(value, k).over(window) for name, k in offsets.items()})
+    return history(df, key, value, offsets, {})
 
 
-def trailing_stats(df: DataFrame, key: SeriesKey, value: str, rows: int, shift: int, mean: str, std: str) -> DataFrame:
-    """Mean and sample deviation of the ``rows`` values that end ``shift`` rows back.
+def _running(value: str, spec: WindowSpec) -> Column:
+    """Count, mean and squared deviation from the start of the window to the current row."""
+    n = F.count(value).over(spec)
+    return F.struct(
+        n.alias("n"),
+        F.coalesce(F.avg(value).over(spec), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.var_pop(value).over(spec) * n, F.lit(0.0)).alias("dev"),
+    )
 
-    A frame over w rows costs w steps per row. Here the positions are cut into blocks of
-    w rows; any w consecutive rows are the tail of one block plus the head of the next,
-    so running totals from both block ends, merged pairwise, cost the same for every w.
-    Merging means and squared deviations (not raw squares) keeps the digits.
-    """
-    block = F.floor(F.col(POS) / rows)
-    head = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).asc()]))
-    tail = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).desc()]))
-    window = look_back_window(key)
 
-    def parts(spec: WindowSpec) -> Column:
-        n = F.count(value).over(spec)
-        return F.struct(
-            n.alias("n"),
-            F.coalesce(F.avg(value).over(spec), F.lit(0.0)).alias("mean"),
-            F.coalesce(F.var_pop(value).over(spec) * n, F.lit(0.0)).alias("dev"),
-        )
+def _merged(a: str, b: str) -> tuple[Column, Column]:
+    """Mean and sample deviation of two disjoint sets of rows; NULL sets are empty."""
 
-    whole_block = F.col(POS) % rows == rows - 1
-    out = df.withColumn("_head", parts(head)).withColumn("_tail", parts(tail))
-    earlier = F.lag("_tail", rows - 1).over(window) if rows > 1 else F.lit(None).cast(out.schema["_tail"].dataType)
-    out = out.withColumn("_earlier", F.when(~whole_block, earlier))
+    def part(name: str, field: str, empty) -> Column:
+        return F.coalesce(F.col(f"{name}.{field}"), F.lit(empty))
 
-    n1, n2 = F.coalesce(F.col("_earlier.n"), F.lit(0)), F.col("_head.n")
-    m1, m2 = F.coalesce(F.col("_earlier.mean"), F.lit(0.0)), F.col("_head.mean")
-    d1, d2 = F.coalesce(F.col("_earlier.dev"), F.lit(0.0)), F.col("_head.dev")
+    n1, m1, d1 = part(a, "n", 0), part(a, "mean", 0.0), part(a, "dev", 0.0)
+    n2, m2, d2 = part(b, "n", 0), part(b, "mean", 0.0), part(b, "dev", 0.0)
     n = n1 + n2
-    merged_mean = F.try_divide(n1 * m1 + n2 * m2, n)
-    merged_dev = d1 + d2 + F.coalesce(F.try_divide((m1 - m2) * (m1 - m2) * n1 * n2, n), F.lit(0.0))
-    out = out.withColumn("_mean", merged_mean).withColumn(
-        "_std", F.when(n > 1, F.sqrt(merged_dev / F.when(n > 1, n - 1)))
-    )
-    return out.withColumns(
-        {mean: F.lag("_mean", shift).over(window), std: F.lag("_std", shift).over(window)}
-    ).drop("_head", "_tail", "_earlier", "_mean", "_std")
-
-
-def trailing_stats_by_frame(
-    df: DataFrame, key: SeriesKey, value: str, rows: int, shift: int, mean: str, std: str
+    apart = F.coalesce(F.try_divide((m1 - m2) * (m1 - m2) * n1 * n2, n), F.lit(0.0))
+    return F.try_divide(n1 * m1 + n2 * m2, n), F.when(n > 1, F.sqrt((d1 + d2 + apart) / F.when(n > 1, n - 1)))
+
+
+def history(
+    df: DataFrame,
+    key: SeriesKey,
+    value: str,
+    offsets: dict[str, int],
+    stats: dict[int, tuple[str, str]],
+    shift: int = 1,
+    frame_limit: int = FRAME_LIMIT,
 ) -> DataFrame:
-    """The same statistics by an ordinary row frame; cheaper for short frames."""
-    frame = look_back_window(key).rowsBetween(-(shift + rows - 1), -shift)
-    return df.withColumns({mean: F.avg(value).over(frame), std: F.stddev_samp(value).over(frame)})
+    """Lags by name, and (mean, sample deviation) of the w values that end ``shift`` rows back.
+
+    Expects ``with_look_back``. A frame over w rows costs w steps per row, so it serves
+    short windows only. For a long one the positions are cut into blocks of w rows: any w
+    consecutive rows are the tail of one block plus the head of the next, and running
+    totals from both block ends, merged pairwise, cost the same for every w. Merging means
+    and squared deviations (not raw squares) keeps the digits. All columns that look back
+    share one window.
+    """
+    window = look_back_window(key)
+    blocks = {w: names for w, names in stats.items() if w > frame_limit}
+    for w in blocks:
+        block = F.floor(F.col(POS) / w)
+        head = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).asc()]))
+        tail = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).desc()]))
+        df = df.withColumn(f"_head_{w}", _running(value, head)).withColumn(f"_tail_{w}", _running(value, tail))
+
+    columns = {name: F.lag(value, k).over(window) for name, k in offsets.items()}
+    for w, (mean, std) in stats.items():
+        if w in blocks:
+            ends_block = (F.col(POS) - shift) % w == w - 1
+            columns[f"_new_{w}"] = F.lag(f"_head_{w}", shift).over(window)
+            columns[f"_old_{w}"] = F.when(~ends_block, F.lag(f"_tail_{w}", w - 1 + shift).over(window))
+        else:
+            frame = window.rowsBetween(-(shift + w - 1), -shift)
+            columns[mean], columns[std] = F.avg(value).over(frame), F.stddev_samp(value).over(frame)
+    df = df.withColumns(columns)
+    for w, (mean, std) in blocks.items():
+        both = _merged(f"_old_{w}", f"_new_{w}")
+        df = df.withColumns({mean: both[0], std: both[1]})
+    return df.drop(*[f"_{part}_{w}" for w in blocks for part in ("head", "tail", "new", "old")])
 
 
 def known_neighbours(df: DataFrame, key: SeriesKey, axis: Column, values: list[str]) -> DataFrame:

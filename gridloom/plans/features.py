@@ -8,12 +8,11 @@ from gridloom.functions.calendar import add_calendar
 from gridloom.functions.numeric import numeric_columns
 from gridloom.operators.columns import complete_rows, drop_leaky
 from gridloom.operators.series import (
+    FRAME_LIMIT,
     SeriesKey,
     drop_halo,
-    lags,
+    history,
     longest_series,
-    trailing_stats,
-    trailing_stats_by_frame,
     with_look_back,
 )
 from gridloom.operators.statistics import leaking_features
@@ -23,7 +22,6 @@ from gridloom.schemas import TARGET
 NEAR_LAGS = [1, 2, 3, 5, 10]
 FAR_LAGS = [60, 120, 360, 720, 1440, 10080]
 WINDOWS = [60, 360, 1440]
-FRAME_LIMIT = 128
 
 
 def lag_offsets(horizon: int, series_rows: int | None = None) -> list[int]:
@@ -43,22 +41,15 @@ def add_history(
     offsets: list[int],
     windows: list[int],
     shift: int = 1,
-    by_frame: bool | None = None,
+    frame_limit: int = FRAME_LIMIT,
     sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """WIN1-WIN3 over one shared layout of the rows.
-
-    A row frame costs its length per row, merged blocks cost two more sorts; frames win
-    up to about FRAME_LIMIT rows.
-    """
+    """WIN1-WIN3 over one shared layout of the rows."""
     reach = max([0, *offsets, *[w + shift for w in windows]])
     out = with_look_back(df, key, reach, sizes)
-    out = lags(out, key, target, {f"target_lag_{k}": k for k in offsets})
-    for w in windows:
-        frame = w <= FRAME_LIMIT if by_frame is None else by_frame
-        stats = trailing_stats_by_frame if frame else trailing_stats
-        out = stats(out, key, target, w, shift, f"target_rolling_mean_{w}", f"target_rolling_std_{w}")
-    return drop_halo(out)
+    lag_names = {f"target_lag_{k}": k for k in offsets}
+    stat_names = {w: (f"target_rolling_mean_{w}", f"target_rolling_std_{w}") for w in windows}
+    return drop_halo(history(out, key, target, lag_names, stat_names, shift, frame_limit))
 
 
 def lag_features(df: DataFrame, key: SeriesKey, target: str = TARGET, horizon: int = 1) -> DataFrame:
@@ -74,7 +65,7 @@ def rolling_features(
     windows: list[int] | None = None,
     horizon: int = 1,
     compatible: bool = False,
-    by_frame: bool | None = None,
+    frame_limit: int = FRAME_LIMIT,
 ) -> DataFrame:
     """WIN2, WIN3: statistics of readings known at forecast time.
 
@@ -82,7 +73,7 @@ def rolling_features(
     both agree at horizon 1.
     """
     shift = 1 if compatible else max(1, horizon)
-    return add_history(df, key, target, [], window_sizes(horizon, windows), shift, by_frame)
+    return add_history(df, key, target, [], window_sizes(horizon, windows), shift, frame_limit)
 
 
 def feature_table(

@@ -55,7 +55,7 @@ def test_positions(skewed, key, plain):
 @pytest.mark.parametrize("key,plain", [(SLICED, PLAIN), (ONE, ONE_PLAIN)])
 def test_lags_and_trailing_statistics(skewed, key, plain):
     names = ["target_lag_1", "target_lag_7", "target_rolling_mean_20", "target_rolling_std_20"]
-    out = add_history(skewed, key, "v", [1, 7], [20, 5], by_frame=False)
+    out = add_history(skewed, key, "v", [1, 7], [20, 5], frame_limit=0)
     frame = plain.forward().rowsBetween(-20, -1)
     expected = skewed.withColumns(
         {
@@ -72,8 +72,8 @@ def test_lags_and_trailing_statistics(skewed, key, plain):
 @pytest.mark.parametrize("shift", [1, 4])
 def test_blocks_equal_frames(skewed, rows, shift):
     names = [f"target_rolling_mean_{rows}", f"target_rolling_std_{rows}"]
-    blocks = add_history(skewed, ONE, "v", [], [rows], shift, by_frame=False)
-    frames = add_history(skewed, ONE_PLAIN, "v", [], [rows], shift, by_frame=True)
+    blocks = add_history(skewed, ONE, "v", [], [rows], shift, frame_limit=0)
+    frames = add_history(skewed, ONE_PLAIN, "v", [], [rows], shift, frame_limit=10_000)
     close(by_seq(blocks, *names), by_seq(frames, *names))
 
 
@@ -81,7 +81,7 @@ def test_trailing_deviation_survives_huge_values(spark):
     """A spike in the same bucket must not cost digits of later frames."""
     rows = [(1, i, 1e12 if i == 3 else 1.0 + (i % 2) * 1e-3) for i in range(200)]
     df = spark.createDataFrame(rows, "household_id BIGINT, seq BIGINT, v DOUBLE").withColumn("ts", F.col("seq"))
-    last = add_history(df, PLAIN, "v", [], [20], by_frame=False).orderBy("seq").collect()[-1]
+    last = add_history(df, PLAIN, "v", [], [20], frame_limit=0).orderBy("seq").collect()[-1]
     assert last["target_rolling_std_20"] == pytest.approx(1e-3 / 2 * (20 / 19) ** 0.5, rel=1e-9)
 
 
