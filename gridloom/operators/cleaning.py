@@ -241,7 +241,10 @@ def quality_profile(df: DataFrame, ts_col: str, values: list[str]) -> DataFrame:
 
 
 def before_after_summary(before: DataFrame, after: DataFrame, ts_col: str, values: list[str]) -> DataFrame:
-    """CLN10: the two profiles side by side, plus rows removed and quality gained."""
+    """CLN10: the two profiles side by side, plus rows removed and quality gained.
+
+    The profile rows (a few per described column) pass through the driver once.
+    """
     left = quality_profile(before, ts_col, values).withColumnRenamed("value", "before")
     right = quality_profile(after, ts_col, values).withColumnRenamed("value", "after")
     repeated = duplicate_timestamps(before, [], ts_col).select(
@@ -249,7 +252,8 @@ def before_after_summary(before: DataFrame, after: DataFrame, ts_col: str, value
         F.col("duplicates").cast("double").alias("before"),
         F.lit(None).cast("double").alias("after"),
     )
-    both = left.join(right, "metric", "full")
+    joined = left.join(right, "metric", "full")
+    both = before.sparkSession.createDataFrame(joined.collect(), joined.schema)
     impact = both.agg(
         F.max(F.when(F.col("metric") == "rows", F.col("before"))).alias("n0"),
         F.max(F.when(F.col("metric") == "rows", F.col("after"))).alias("n1"),

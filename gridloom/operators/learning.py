@@ -46,8 +46,8 @@ def stratified_sample(df: DataFrame, target: str, n: int, identity: list[str], b
     last = order_statistics(binned, ["_bin"], "_hash", {(b,): [q - 1] for b, q in quota.items()})
 
     def per_bin(values: dict[int, int]) -> Column:
-        cases = [F.when(F.col("_bin") == b, F.lit(v).cast("long")) for b, v in values.items()]
-        return F.coalesce(*cases)
+        listed = F.array(*[F.lit(values.get(b)).cast("long") for b in range(len(edges) + 1)])
+        return F.element_at(listed, F.col("_bin") + 1)
 
     border = per_bin({b: last[((b,), q - 1)] for b, q in quota.items()})
     sure = binned.where(F.col("_hash") < border)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -23,6 +24,7 @@ BINS = 2048
 EXACT_ROWS = 500_000
 SMALLEST_STEP = 1e-290
 VALUES_PER_SLICE = 1_000_000
+BROADCAST_VALUES = 100_000
 
 
 @dataclass(frozen=True)
@@ -45,13 +47,21 @@ def _bin(value: Column, low, high) -> Column:
     return F.least(F.floor(position), F.lit(BINS - 1)).cast("int")
 
 
-def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[tuple, list[int]]) -> dict:
+def order_statistics(
+    df: DataFrame,
+    group: list[str],
+    value: str,
+    ranks: dict[tuple, list[int]],
+    between: Callable[[float, float], Column] | None = None,
+) -> dict:
     """Values at 0-based ranks per group: {(group key, rank): value}.
 
     ``ranks`` maps a group key to its ranks; groups are few (features, hours, bins).
     Brackets of one group never overlap, so a row takes part in at most one of them.
+    ``between`` may state the outer limits on a stored column, so later passes skip files.
     """
     v = F.col(value)
+    between = between or (lambda low, high: v.between(F.lit(low), F.lit(high)))
     spans = {
         tuple(r[:-3]): _Bracket(tuple(r[:-3]), r[-3], r[-2], r[-1])
         for r in df.where(v.isNotNull()).groupBy(*group).agg(F.min(v), F.max(v), F.count(v)).collect()
@@ -84,9 +94,9 @@ def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[tu
         ]
         # Rows outside every bracket become one group; a filter on the bracket would
         # repeat the expression behind the value once per bracket.
-        reach = v.between(F.lit(min(b.low for b in brackets)), F.lit(max(b.high for b in brackets)))
+        reach = (min(b.low for b in brackets), max(b.high for b in brackets))
         counted = (
-            df.where(reach)
+            df.where(between(*reach))
             .select(v.alias("_v"), F.coalesce(*cases).alias("h"))
             .groupBy("h.bracket", "h.bin", "h.exact")
             .agg(F.count(F.lit(1)).alias("rows"), F.min("_v").alias("low"), F.max("_v").alias("high"))
@@ -182,14 +192,19 @@ def _as_number(df: DataFrame, column: str) -> Column:
 
 def row_at(df: DataFrame, order: list[str], index: int) -> list:
     """The order columns of the row at a 0-based index, found column by column."""
-    rest = df.select(*[_as_number(df, c).alias(c) for c in order])
+    rest = df.select(*order)
     boundary = []
     for position, c in enumerate(order):
-        value = order_statistics(rest, [], c, {(): [index]})[((), index)]
+        numbered = rest.withColumn("_number", _as_number(rest, c))
+
+        def between(low, high, c=c) -> Column:
+            return F.col(c).between(_literal(df, c, low), _literal(df, c, high))
+
+        value = order_statistics(numbered, [], "_number", {(): [index]}, between)[((), index)]
         boundary.append(value)
         if position + 1 < len(order):
-            index -= rest.where(F.col(c) < F.lit(value)).count()
-            rest = rest.where(F.col(c) == F.lit(value))
+            index -= rest.where(F.col(c) < _literal(df, c, value)).count()
+            rest = rest.where(F.col(c) == _literal(df, c, value))
     return boundary
 
 
@@ -223,6 +238,11 @@ def first_rows(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return df.where(before_row(df, order, row_at(df, order, n)))
 
 
+def small_side(values: DataFrame, distinct: int) -> DataFrame:
+    """Broadcast a table of distinct values where their counted number is small."""
+    return F.broadcast(values) if distinct <= BROADCAST_VALUES else values
+
+
 def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFrame:
     """WIN8: every distinct value with its count, average rank and dense position.
 

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts
 from gridloom.schemas import stored_schema
-from gridloom.sources.tables import append_measurements, fit_schema, upsert
+from gridloom.session import settle
+from gridloom.sources.tables import append_measurements, fit_schema, on_dates_of, upsert
 
 
 def refresh_rollups(measurements: DataFrame, hourly_path: str, daily_path: str) -> None:
     """Upsert the hours of the given measurements, then the days of those hours."""
     spark = measurements.sparkSession
-    hours = fit_schema(hourly_rollup(measurements), stored_schema("hourly_consumption"))
+    hours = settle(fit_schema(hourly_rollup(measurements), stored_schema("hourly_consumption")))
     upsert(hours, hourly_path, HOURLY_KEYS)
-    stored = spark.read.parquet(hourly_path)
+    stored = on_dates_of(spark.read.parquet(hourly_path), hours)
     touched = stored.join(hours.select("date", "household_id").distinct(), ["date", "household_id"], "left_semi")
     days = fit_schema(daily_rollup(touched), stored_schema("daily_consumption"))
     upsert(days, daily_path, DAILY_KEYS)

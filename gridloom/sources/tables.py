@@ -63,6 +63,16 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def on_dates_of(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The stored partitions of the fresh rows' dates, chosen while planning.
+
+    There are as many dates as days, so listing them is cheap, and the literal list prunes
+    folders where a join might read and shuffle the whole table.
+    """
+    dates = [r["date"] for r in fresh.select("date").distinct().collect()]
+    return stored.where(F.col("date").isin(dates))
+
+
 def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
     """SNK3: replace rows by key in a table partitioned by ``date``.
 
@@ -74,7 +84,7 @@ def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
     existing = _read_or_none(spark, path)
     merged = fresh
     if existing is not None:
-        touched = existing.join(fresh.select("date").distinct(), "date", "left_semi")
+        touched = on_dates_of(existing, fresh)
         merged = settle(merge_by_key(touched.select(*fresh.columns), fresh, keys))
     (
         merged.hint("rebalance", "date")
