@@ -29,6 +29,7 @@ HALO = "_halo"
 
 PLAIN_ROWS = 1_000_000
 SLICE_ROWS = 500_000
+MAX_SLICES = 20_000
 FRAME_LIMIT = 128
 
 
@@ -40,6 +41,7 @@ class SeriesKey:
     order: tuple[str, ...]
     plain_rows: int = PLAIN_ROWS
     slice_rows: int = SLICE_ROWS
+    max_slices: int = MAX_SLICES
 
     def by(self, *more: str | Column) -> list[Column]:
         return [F.col(c) if isinstance(c, str) else c for c in (*self.entity, *more)]
@@ -71,8 +73,9 @@ def longest_series(df: DataFrame, entity: tuple[str, ...]) -> tuple[int, int]:
 
 
 def rows_per_slice(df: DataFrame, key: SeriesKey, total: int) -> int:
-    """At most ``key.slice_rows``; less when the rows would not occupy every core."""
-    return max(1, min(key.slice_rows, -(-total // df.sparkSession.sparkContext.defaultParallelism)))
+    """``key.slice_rows``, but enough slices to occupy every core and no more than can be scheduled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(key.slice_rows, -(-total // cores)), -(-total // key.max_slices))
 
 
 def slice_rows(df: DataFrame, key: SeriesKey, total: int) -> DataFrame:
@@ -126,7 +129,7 @@ def with_look_back(
             .withColumn(BUCKET, F.lit(0).cast("long"))
             .withColumn(HALO, F.lit(False))
         )
-    size = max(4 * rows, rows_per_slice(df, key, total))
+    size = max(4 * rows, min(key.slice_rows, rows_per_slice(df, key, total)))
     numbered = number_rows(df, key, total).drop(SLICE)
     bucket = F.floor(F.col(POS) / size)
     copies = F.when(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -14,6 +16,7 @@ from gridloom.functions.numeric import ratio
 from gridloom.operators.quantiles import EXACT_ROWS, column_quantiles
 
 WIDE_PAIRS = 60
+SUMMARY_COLUMNS = 12
 SUMMARY_PROBS = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
@@ -36,8 +39,8 @@ def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXA
     they would keep the whole aggregate out of code generation.
     """
     quantiles = column_quantiles(df, columns, list(SUMMARY_PROBS.values()), exact_rows)
-    rows = []
-    for c in columns:
+
+    def described(c: str) -> list[Column]:
         n = F.count(c)
         varies = F.stddev_pop(c) > 0
         stats = {
@@ -50,13 +53,12 @@ def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXA
             "kurtosis": F.when(varies, corrected_kurtosis(n, F.kurtosis(c))),
         }
         stats |= {name: F.lit(quantiles[c][i]) for i, name in enumerate(SUMMARY_PROBS)}
-        for metric, value in stats.items():
-            rows.append(
-                F.struct(
-                    F.lit(c).alias("feature"), F.lit(metric).alias("metric"), value.cast("double").alias("value")
-                )
-            )
-    return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+        return [
+            F.struct(F.lit(c).alias("feature"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+            for metric, value in stats.items()
+        ]
+
+    return _in_parts(df, columns, SUMMARY_COLUMNS, described)
 
 
 def pearson(a: str | Column, b: str | Column) -> Column:
@@ -92,8 +94,26 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], complete_rows: bo
             return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
         return pearson(a, b)
 
-    rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), _bounded(r(a, b)).alias("r")) for a, b in pairs]
-    return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
+    return _in_parts(
+        df,
+        pairs,
+        WIDE_PAIRS,
+        lambda pair: [
+            F.struct(F.lit(pair[0]).alias("var1"), F.lit(pair[1]).alias("var2"), _bounded(r(*pair)).alias("r"))
+        ],
+    )
+
+
+def _in_parts(df: DataFrame, items: list, size: int, structs: Callable[..., list[Column]]) -> DataFrame:
+    """One row per struct of aggregates, a bounded number of items per aggregate.
+
+    Very wide aggregates outgrow code generation; each part reads only its own columns.
+    """
+    parts = []
+    for start in range(0, len(items), size):
+        rows = [row for item in items[start : start + size] for row in structs(item)]
+        parts.append(df.agg(F.array(*rows).alias("s")).select(F.inline("s")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _gramian_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:

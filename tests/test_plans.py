@@ -5,9 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import cleaning, columns, rollup, series
+from gridloom.operators import association, cleaning, columns, learning, rollup, series
 from gridloom.operators.series import SeriesKey
 from gridloom.plans.features import add_history
+from gridloom.sources import tables
 from workloads import REGISTRY
 from workloads.base import BY_USER, readings
 
@@ -80,3 +81,28 @@ def test_limits_reach_the_scan(spark, data_dir):
     events = spark.read.parquet(f"{data_dir}/events.parquet").select("event_id", "value")
     text = plan(columns.within_limits(events, {"value": (0.0, 400.0)}))
     assert "GreaterThanOrEqual(value,0.0)" in text and "LessThanOrEqual(value,400.0)" in text
+
+
+def test_time_borders_reach_the_scan(spark, data_dir):
+    events = spark.read.parquet(f"{data_dir}/events.parquet").select("event_id", "ts")
+    train, test = learning.chronological_split(events, ["ts", "event_id"])
+    assert "LessThanOrEqual(ts," in plan(train) or "LessThan(ts," in plan(train)
+
+
+def test_few_values_are_broadcast_when_ranked(spark, data_dir):
+    lines = spark.read.parquet(f"{data_dir}/lineitem.parquet")
+    assert "BroadcastHashJoin" in plan(association.with_ranks(lines, ["l_tax", "l_discount"]))
+
+
+def test_upsert_reads_only_touched_dates(spark, data_dir, tmp_path):
+    hours = rollup.hourly_rollup(readings(spark, data_dir), "household_id", "ts", "value")
+    tables.upsert(hours, str(tmp_path / "t"), rollup.HOURLY_KEYS)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    touched = tables.on_dates_of(stored, hours.where("date = DATE'2024-01-03'"))
+    assert re.search(r"PartitionFilters: \[.*2024-01-03", plan(touched))
+
+
+def test_slices_stay_schedulable(spark):
+    key = SeriesKey((), ("ts",))
+    for total in (10**4, 10**9, 10**13):
+        assert total / series.rows_per_slice(spark.range(1), key, total) <= 20_000

@@ -219,7 +219,7 @@ def _(spark, sf):
     "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey)",
 )
 def _(spark, sf):
-    seen = table(spark, sf, "events").select(F.col("user_id").alias("o_custkey"))
+    seen = table(spark, sf, "events").select(F.col("user_id").alias("o_custkey")).distinct()
     return rollup.orphans(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), seen, "o_custkey")
 
 
