@@ -180,9 +180,9 @@ def clean_with_report(
         df = fill_time_grid(df, key, ts_col)
     rows = F.count(F.lit(1)).alias("rows")
     before, filled, deduped = Observation(), Observation(), Observation()
-    work = df.observe(before, rows, missing_count(df, values).alias("missing"))
+    work = df.observe(before, rows, missing_count(df).alias("missing"))
     work = interpolate_by_time(work, key, ts_col, values)
-    work = work.observe(filled, rows, missing_count(work, values).alias("missing"))
+    work = work.observe(filled, rows, missing_count(work).alias("missing"))
     work = keep_first(work, [*key.entity, ts_col], [c for c in key.order if c != ts_col])
     work = work.observe(deduped, rows)
     work = settle(cols.within_limits(work, limits))

@@ -69,29 +69,33 @@ def order_statistics(
     wanted = {(g, rank): (spans[g], rank) for g, listed in ranks.items() for rank in listed}
     found: dict[tuple, float] = {}
 
-    def holds(b: _Bracket) -> Column:
-        match = v.between(F.lit(b.low), F.lit(b.high))
-        for name, part in zip(group, b.group):
+    def of_group(g: tuple) -> Column:
+        match = F.lit(True)
+        for name, part in zip(group, g):
             match = match & F.col(name).eqNullSafe(F.lit(part))
         return match
 
+    def place(number: int, b: _Bracket) -> Column:
+        listed = b.rows <= BINS
+        return F.when(
+            v.between(F.lit(b.low), F.lit(b.high)),
+            F.struct(
+                F.lit(number).alias("bracket"),
+                (F.lit(0) if listed else _bin(v, b.low, b.high)).alias("bin"),
+                F.when(F.lit(listed), v).alias("exact"),
+            ),
+        )
+
     while True:
         for name in [n for n, (b, _) in wanted.items() if b.low == b.high]:
             found[name] = wanted.pop(name)[0].low
         if not wanted:
             return found
         brackets = list(dict.fromkeys(b for b, _ in wanted.values()))
-        cases = [
-            F.when(
-                holds(b),
-                F.struct(
-                    F.lit(i).alias("bracket"),
-                    (F.lit(0) if b.rows <= BINS else _bin(v, b.low, b.high)).alias("bin"),
-                    F.when(F.lit(b.rows <= BINS), v).alias("exact"),
-                ),
-            )
-            for i, b in enumerate(brackets)
-        ]
+        places = defaultdict(list)
+        for i, b in enumerate(brackets):
+            places[b.group].append(place(i, b))
+        cases = [F.when(of_group(g), F.coalesce(*found_in)) for g, found_in in places.items()]
         # Rows outside every bracket become one group; a filter on the bracket would
         # repeat the expression behind the value once per bracket.
         reach = (min(b.low for b in brackets), max(b.high for b in brackets))

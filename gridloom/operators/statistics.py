@@ -21,15 +21,16 @@ SUMMARY_PROBS = {"25%": 0.25, "50%": 0.5, "75%": 0.75}
 
 
 def corrected_skewness(n: Column, g1: Column) -> Column:
-    """Sample skewness from the population one; needs three values."""
+    """Sample skewness from the population one; needs three values, 0 for equal ones."""
     n = n.cast("double")
-    return F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2))
+    return F.when(n > 2, F.coalesce(g1 * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2), F.lit(0.0)))
 
 
 def corrected_kurtosis(n: Column, g2: Column) -> Column:
-    """Sample excess kurtosis from the population one; needs four values."""
+    """Sample excess kurtosis from the population one; needs four values, 0 for equal ones."""
     n = n.cast("double")
-    return F.when(n > 3, (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+    corrected = (n - 1) / F.when(n > 3, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    return F.when(n > 3, F.coalesce(corrected, F.lit(0.0)))
 
 
 def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
@@ -49,8 +50,8 @@ def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXA
             "std": F.stddev_samp(c),
             "min": F.min(c),
             "max": F.max(c),
-            "skewness": F.when(varies, corrected_skewness(n, F.skewness(c))),
-            "kurtosis": F.when(varies, corrected_kurtosis(n, F.kurtosis(c))),
+            "skewness": corrected_skewness(n, F.when(varies, F.skewness(c))),
+            "kurtosis": corrected_kurtosis(n, F.when(varies, F.kurtosis(c))),
         }
         stats |= {name: F.lit(quantiles[c][i]) for i, name in enumerate(SUMMARY_PROBS)}
         return [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts
 from gridloom.schemas import stored_schema
@@ -22,9 +22,12 @@ def refresh_rollups(measurements: DataFrame, hourly_path: str, daily_path: str)
 
 
 def store_and_roll_up(spark: SparkSession, readings: DataFrame, folder: str, household_id: int | None = None) -> DataFrame:
-    """Append readings, refresh both rollups, and count the stored rows."""
+    """Append readings, refresh both rollups on their dates, and count the stored rows."""
     paths = {name: f"{folder}/{name}" for name in ("energy_measurements", "hourly_consumption", "daily_consumption")}
     append_measurements(readings, paths["energy_measurements"], household_id)
-    measurements = spark.read.parquet(paths["energy_measurements"])
-    refresh_rollups(measurements, paths["hourly_consumption"], paths["daily_consumption"])
+    stored = spark.read.parquet(paths["energy_measurements"])
+    touched = on_dates_of(stored, readings.select(F.to_date("timestamp").alias("date")))
+    if household_id is not None:
+        touched = touched.where(F.col("household_id") == household_id)
+    refresh_rollups(touched, paths["hourly_consumption"], paths["daily_consumption"])
     return table_row_counts({name: spark.read.parquet(path) for name, path in paths.items()})

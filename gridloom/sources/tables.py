@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gridloom.operators.columns import require_columns, to_storage_names
+from gridloom.operators.reshape import submeter_rows
 from gridloom.operators.rollup import merge_by_key
 from gridloom.schemas import MEASUREMENT_COLUMNS, stored_schema
 from gridloom.session import settle
@@ -54,6 +55,14 @@ def append_measurements(readings: DataFrame, path: str, household_id: int | None
     write_dated(typed.withColumn("created_at", F.current_timestamp()), path, "timestamp", mode="append")
 
 
+def append_submeters(readings: DataFrame, measurements: DataFrame, path: str) -> None:
+    """RSH1 stored: one row per measurement and meter, linked by household and time."""
+    rows = submeter_rows(readings, measurements, ["household_id", "timestamp"]).withColumn(
+        "id", F.xxhash64("measurement_id", "meter_type")
+    )
+    fit_schema(rows, stored_schema("sub_meters")).write.mode("append").partitionBy("meter_type").parquet(path)
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

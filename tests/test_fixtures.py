@@ -93,6 +93,12 @@ def test_moments_and_quantiles(spark):
     assert found["kurtosis"] == pytest.approx(1.8954319322348585)
 
 
+def test_moments_of_equal_values(spark):
+    df = spark.createDataFrame([(3.0,)] * 5, "v DOUBLE")
+    found = {r["metric"]: r["value"] for r in statistics.statistical_summary(df, ["v"]).collect()}
+    assert (found["std"], found["skewness"], found["kurtosis"]) == (0.0, 0.0, 0.0)
+
+
 def test_log_dates_are_day_first(spark, tmp_path):
     path = tmp_path / "log.txt"
     path.write_text(

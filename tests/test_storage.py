@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import rollup
 from gridloom.plans.exploration import exploration_report, selection_report
+from gridloom.plans.rollups import store_and_roll_up
 from gridloom.plans.training import train_and_evaluate
 from gridloom.schemas import READING_COLUMNS, STORED_TABLES, stored_schema
 from gridloom.session import scratch_folder, settle
@@ -26,6 +27,21 @@ def test_upsert_keeps_other_keys_and_dates(spark, tmp_path):
     assert found == [(d1, 1, 9), (d1, 2, 2), (d2, 2, 3), (d2, 7, 4)]
 
 
+def test_second_append_refreshes_only_its_dates(spark, tmp_path):
+    def log(day, power):
+        rows = [(datetime(2024, 1, day, 5, m), power, 0.0, 240.0, 1.0) for m in range(3)]
+        names = "timestamp TIMESTAMP, Global_active_power DOUBLE, Global_reactive_power DOUBLE, Voltage DOUBLE, Global_intensity DOUBLE"
+        return spark.createDataFrame(rows, names)
+
+    folder = str(tmp_path)
+    store_and_roll_up(spark, log(1, 1.0), folder, 7)
+    store_and_roll_up(spark, log(2, 2.0), folder, 7)
+    counts = {r[0]: r[1] for r in store_and_roll_up(spark, log(2, 4.0), folder, 7).collect()}
+    assert counts == {"energy_measurements": 9, "hourly_consumption": 2, "daily_consumption": 2}
+    days = spark.read.parquet(f"{folder}/daily_consumption").orderBy("date").collect()
+    assert [(float(d["avg_power"]), d["peak_hour"]) for d in days] == [(1.0, 5), (3.0, 5)]
+
+
 def test_append_rejects_missing_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="global_intensity"):
         tables.append_measurements(spark.range(1), str(tmp_path / "m"), 1)

@@ -232,7 +232,7 @@ def _(spark, sf):
     return _hours(spark, sf).groupBy("date", "household_id").agg(rollup.peak("hour", "avg_power").alias("peak_hour"))
 
 
-def _wide(spark, sf):
+def wide(spark, sf):
     """Sub-meter readings per household and hour, one column per meter."""
     hours = readings(spark, sf).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     sums = [F.sum(F.when(F.col("event_type") == kind, F.col("value"))).alias(c) for kind, c in METERS.items()]
@@ -246,7 +246,7 @@ WIDE = f"""(SELECT household_id, date_trunc('hour', ts) AS timestamp, sum(value)
 FROM {READINGS} GROUP BY 1, 2)"""
 
 
-def _measurements(spark, sf):
+def measurements(spark, sf):
     firsts = readings(spark, sf).withColumn("timestamp", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return firsts.groupBy("household_id", "timestamp").agg(F.min("event_id").alias("id"))
 
@@ -262,7 +262,7 @@ FROM {WIDE} JOIN {MEASUREMENTS} USING (household_id, timestamp)""",
     Global_active_power=2,
 )
 def _(spark, sf):
-    joined = reshape.attach_measurement_ids(_wide(spark, sf), _measurements(spark, sf), ["household_id", "timestamp"], "id")
+    joined = reshape.attach_measurement_ids(wide(spark, sf), measurements(spark, sf), ["household_id", "timestamp"], "id")
     return joined.select("measurement_id", "household_id", "Global_active_power")
 
 
@@ -276,7 +276,7 @@ UNION ALL SELECT measurement_id, 'climate', c FROM j""",
     energy_consumed=2,
 )
 def _(spark, sf):
-    return reshape.submeter_rows(_wide(spark, sf), _measurements(spark, sf), ["household_id", "timestamp"])
+    return reshape.submeter_rows(wide(spark, sf), measurements(spark, sf), ["household_id", "timestamp"])
 
 
 @query(
@@ -355,12 +355,12 @@ UNION ALL SELECT 'Autres', d, 100 * d / (a + b + c + d) FROM s"""
 
 @query("agg7_submeter_shares", _shares_sql("1"), energy_kwh=3, share_pct=6)
 def _(spark, sf):
-    return profiles.submeter_shares(_wide(spark, sf))
+    return profiles.submeter_shares(wide(spark, sf))
 
 
 @query("agg7_submeter_shares_kwh", _shares_sql("(1.0::DOUBLE / 60)"), energy_kwh=3, share_pct=6)
 def _(spark, sf):
-    return profiles.submeter_shares(_wide(spark, sf), power_factor=1 / 60.0)
+    return profiles.submeter_shares(wide(spark, sf), power_factor=1 / 60.0)
 
 
 @query(
@@ -549,7 +549,7 @@ def _(spark, sf):
     total=2,
 )
 def _(spark, sf):
-    tall = reshape.submeters_long(_wide(spark, sf), ["household_id", "timestamp"])
+    tall = reshape.submeters_long(wide(spark, sf), ["household_id", "timestamp"])
     return tall.groupBy("meter_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("energy_consumed").alias("known"),

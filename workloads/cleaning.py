@@ -175,7 +175,7 @@ def _log(spark, sf):
     return readings(spark, sf).select("event_id", "ts", "household_id", "reading")
 
 
-@query("cln8_clean_pipeline", f"{CLEAN_SQL} SELECT event_id, household_id, reading FROM cleaned", reading=6)
+@query("cln8_clean_all", f"{CLEAN_SQL} SELECT event_id, household_id, reading FROM cleaned", reading=6)
 def _(spark, sf):
     out = cleaning.clean_readings(_log(spark, sf), BY_USER, "ts", ["reading"], LIMITS, ["reading"])
     return out.select("event_id", "household_id", "reading")

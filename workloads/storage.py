@@ -13,7 +13,7 @@ from gridloom.session import scratch_folder
 from gridloom.sources import logs, tables
 from gridloom.streaming import rollup as streams
 from workloads.base import READINGS, query, readings, table
-from workloads.basics import HOURS_SQL
+from workloads.basics import HOURS_SQL, MEASUREMENTS, WIDE, measurements, wide
 
 
 def _folder(spark) -> str:
@@ -106,6 +106,21 @@ def _(spark, sf):
     )
 
 
+@query(
+    "snk2_append_submeters",
+    f"""WITH j AS (SELECT id AS measurement_id, Sub_metering_1 AS k, Sub_metering_2 AS l, Sub_metering_3 AS c
+  FROM {WIDE} JOIN {MEASUREMENTS} USING (household_id, timestamp))
+SELECT measurement_id, 'kitchen' AS meter_type, k AS energy_consumed FROM j
+UNION ALL SELECT measurement_id, 'laundry', l FROM j
+UNION ALL SELECT measurement_id, 'climate', c FROM j""",
+    energy_consumed=2,
+)
+def _(spark, sf):
+    path = _folder(spark)
+    tables.append_submeters(wide(spark, sf), measurements(spark, sf), path)
+    return spark.read.parquet(path).select("measurement_id", "meter_type", "energy_consumed")
+
+
 FRESH_SQL = HOURS_SQL.replace("GROUP BY 1, 2, 3", "WHERE event_type = 'purchase' GROUP BY 1, 2, 3")
 
 
