@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F, types as
 from gridloom.functions.calendar import epoch_micros
 from gridloom.functions.numeric import numeric_columns, percent, present
 from gridloom.operators import columns as cols
-from gridloom.operators.quantiles import column_quantiles
+from gridloom.operators.quantiles import approximate_quantiles, column_quantiles
 from gridloom.operators.series import (
     POS,
     SeriesKey,
@@ -93,35 +93,32 @@ def keep_first(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
     return firsts.select(*[F.col(c) if c in subset else F.col("_first").getField(c).alias(c) for c in df.columns])
 
 
-def iqr_limits(df: DataFrame, column: str, reach: float = IQR_REACH) -> tuple[float, float] | None:
-    low, high = column_quantiles(df, [column], [0.25, 0.75])[column]
-    if low is None:
-        return None
-    return low - reach * (high - low), high + reach * (high - low)
+def iqr_fences(
+    df: DataFrame, columns: list[str], reach: float = IQR_REACH, exact: bool = True
+) -> dict[str, tuple[float, float] | None]:
+    """Quartile fences per column; None for a column without values."""
+    quantiles = column_quantiles if exact else approximate_quantiles
+    fences = {}
+    for c, (q1, q3) in quantiles(df, columns, [0.25, 0.75]).items():
+        fences[c] = None if q1 is None else (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1))
+    return fences
 
 
 def drop_iqr_outliers(
-    df: DataFrame, columns: list[str], reach: float = IQR_REACH, mode: str = "sequential"
+    df: DataFrame, columns: list[str], reach: float = IQR_REACH, mode: str = "sequential", exact: bool = True
 ) -> DataFrame:
     """CLN6: keep readings inside the quartile fences, fences included.
 
     ``sequential`` takes the quartiles of a column from rows that passed the columns
     before it; ``joint`` takes all quartiles from the input in one pass. The fences are
     two numbers per column and enter the plan as literals, so they reach the scan.
+    ``exact=False`` takes quartiles with a small bounded rank error in one pass.
     """
     columns = present(df, columns)
-    if mode == "joint":
-        quartiles = column_quantiles(df, columns, [0.25, 0.75])
-        for c in columns:
-            q1, q3 = quartiles[c]
-            if q1 is not None:
-                df = df.where(F.col(c).between(q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)))
-            else:
-                df = df.where(F.lit(False))
-        return df
-    for c in columns:
-        limits = iqr_limits(df, c, reach)
-        df = df.where(F.col(c).between(*limits)) if limits else df.where(F.lit(False))
+    groups = [columns] if mode == "joint" else [[c] for c in columns]
+    for group in groups:
+        for c, fence in iqr_fences(df, group, reach, exact).items():
+            df = df.where(F.col(c).between(*fence) if fence else F.lit(False))
     return df
 
 

@@ -523,3 +523,78 @@ def _(spark, sf):
     guess = table(spark, sf, "lineitem").withColumn("guess", F.lit(40.0))
     scores = evaluation.evaluate(guess, "l_returnflag", "l_quantity", "guess", tolerance=0.25)
     return scores.select(F.col("l_returnflag").alias("model_name"), "n", "accuracy")
+
+
+PRICES = ["l_extendedprice", "disc_price"]
+
+
+@query(
+    "st12_pca_of_two",
+    f"""WITH c AS (SELECT abs(corr(l_extendedprice, disc_price)) AS r FROM {FRAME})
+SELECT 1::BIGINT AS pc, 'PC1' AS name, (1 + r) / 2 AS variance_explained, (1 + r) / 2 AS cumulative_variance FROM c
+UNION ALL SELECT 2, 'PC2', (1 - r) / 2, 1.0::DOUBLE FROM c""",
+    variance_explained=8, cumulative_variance=8,
+)
+def _(spark, sf):
+    return statistics.explained_variance(frame(spark, sf), PRICES)
+
+
+@query(
+    "st14_variance_inflation_of_two",
+    f"""WITH c AS (SELECT corr(l_extendedprice, disc_price) AS r FROM {FRAME})
+SELECT 'l_extendedprice' AS feature, 1 / (1 - r * r) AS vif, 'severe' AS multicollinearity FROM c
+UNION ALL SELECT 'disc_price', 1 / (1 - r * r), 'severe' FROM c""",
+    vif=3,
+)
+def _(spark, sf):
+    return statistics.variance_inflation(frame(spark, sf), PRICES)
+
+
+@query(
+    "ch2_observed_quantiles",
+    """WITH q AS (SELECT quantile_cont(value, list_transform(generate_series(1, 99), lambda i: i::DOUBLE / 100)) AS q FROM events)
+SELECT i::DOUBLE / 100 AS probability, q[i] AS observed FROM q, (SELECT unnest(generate_series(1, 99)) AS i)""",
+    probability=4, observed=6,
+)
+def _(spark, sf):
+    return charts.normal_plot(table(spark, sf, "events"), "value").select("probability", "observed")
+
+
+def _section(source: str) -> list[str]:
+    return [
+        f"SELECT model_name AS section, '{m}' AS name, {m} AS value FROM {source}"
+        for m in ("r2", "rmse", "mae", "mape", "accuracy", "f1")
+    ]
+
+
+@query(
+    "ev10_run_report",
+    f"""WITH s AS ({SCORES_SQL}), n AS (SELECT count(*) AS n FROM events),
+k AS (SELECT n, floor(n * 0.8::DOUBLE)::DOUBLE AS train FROM n)
+SELECT 'dataset' AS section, 'train_samples' AS name, train AS value FROM k
+UNION ALL SELECT 'dataset', 'test_samples', n - train FROM k UNION ALL SELECT 'dataset', 'total_samples', n FROM k
+UNION ALL SELECT 'dataset', 'n_features', 2.0::DOUBLE
+UNION ALL {_union(_section("s"))}
+UNION ALL SELECT * FROM (SELECT 'best_model', model_name, r2 FROM s ORDER BY r2 DESC LIMIT 1)""",
+    value=4,
+)
+def _(spark, sf):
+    from gridloom.operators.learning import chronological_split
+
+    train, test = chronological_split(table(spark, sf, "events").select("ts", "event_id"), ["ts", "event_id"])
+    return evaluation.run_report(_scores(spark, sf), train, test, 2)
+
+
+@query(
+    "cln6_iqr_fences",
+    f"""WITH b AS (SELECT quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.75) AS q3 FROM lineitem)
+SELECT 'l_quantity' AS feature, q1 - 1.5::DOUBLE * (q3 - q1) AS low, q3 + 1.5::DOUBLE * (q3 - q1) AS high FROM b
+UNION ALL SELECT 'l_tax', a1 - 1.5::DOUBLE * (a3 - a1), a3 + 1.5::DOUBLE * (a3 - a1)
+FROM (SELECT quantile_cont(l_tax, 0.25) AS a1, quantile_cont(l_tax, 0.75) AS a3 FROM lineitem)""",
+    low=6, high=6,
+)
+def _(spark, sf):
+    from gridloom.operators.cleaning import iqr_fences
+
+    fences = iqr_fences(table(spark, sf, "lineitem"), ["l_quantity", "l_tax"])
+    return spark.createDataFrame([(c, *f) for c, f in fences.items()], "feature STRING, low DOUBLE, high DOUBLE")
