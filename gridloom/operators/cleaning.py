@@ -57,7 +57,7 @@ def interpolate_by_row(df: DataFrame, key: SeriesKey, values: list[str] | None =
 def forward_fill(df: DataFrame, key: SeriesKey, values: list[str], limit: int = FILL_LIMIT) -> DataFrame:
     """CLN3: carry the last known value at most ``limit`` rows."""
     placed = with_look_back(df, key, limit)
-    frame = look_back_window(key).rowsBetween(-limit, 0)
+    frame = look_back_window(placed, key).rowsBetween(-limit, 0)
     return drop_halo(placed.withColumns({c: F.last(c, ignorenulls=True).over(frame) for c in values}))
 
 
@@ -284,7 +284,7 @@ def duplicate_timestamps(df: DataFrame, entity: list[str], ts_col: str) -> DataF
 def find_gaps(df: DataFrame, key: SeriesKey, ts_col: str, step_seconds: int = 60) -> DataFrame:
     """CLN11: rows that follow a hole, with the number of whole steps missing."""
     placed = with_look_back(df, key, 1)
-    seen = placed.withColumn("prev_ts", F.lag(ts_col).over(look_back_window(key)))
+    seen = placed.withColumn("prev_ts", F.lag(ts_col).over(look_back_window(placed, key)))
     seconds = F.timestamp_diff("SECOND", F.col("prev_ts"), F.col(ts_col))
     return (
         drop_halo(seen)

@@ -34,6 +34,15 @@ def trough(of: str, by: str) -> Column:
     return F.min_by(of, F.struct(F.col(by), F.col(of)))
 
 
+def peak_of_day(hour: str, by: str) -> Column:
+    """JN2 for hours 0 to 23: the first of 24 slots that equals the largest.
+
+    Plain maxima stay a hash aggregate, where an argmax over a struct would need a sort.
+    """
+    slots = F.array(*[F.max(F.when(F.col(hour) == h, F.col(by))) for h in range(24)])
+    return (F.array_position(slots, F.array_max(slots)) - 1).cast("int")
+
+
 def daily_rollup(hourly: DataFrame) -> DataFrame:
     """AGG2: days from hours. ``avg_power`` is the plain mean of the hourly means."""
     return hourly.groupBy(*DAILY_KEYS).agg(
@@ -41,7 +50,7 @@ def daily_rollup(hourly: DataFrame) -> DataFrame:
         F.avg("avg_power").alias("avg_power"),
         F.max("max_power").alias("max_power"),
         F.min("min_power").alias("min_power"),
-        peak("hour", "avg_power").alias("peak_hour"),
+        peak_of_day("hour", "avg_power").alias("peak_hour"),
     )
 
 

@@ -119,16 +119,13 @@ def with_look_back(
 ) -> DataFrame:
     """Prepare a table for windows that look back at most ``rows`` rows.
 
-    Adds ``_pos``, ``_bucket`` and ``_halo``; use ``look_back_window`` for the windows
-    and ``drop_halo`` afterwards. ``sizes`` saves counting the rows again.
+    Short series stay as they are. Long ones get ``_pos``, ``_bucket`` and ``_halo``. Use
+    ``look_back_window`` for the windows and ``drop_halo`` afterwards. ``sizes`` saves
+    counting the rows again.
     """
     total, longest = sizes or longest_series(df, key.entity)
     if longest <= key.plain_rows:
-        return (
-            df.withColumn(POS, (F.row_number().over(key.forward()) - 1).cast("long"))
-            .withColumn(BUCKET, F.lit(0).cast("long"))
-            .withColumn(HALO, F.lit(False))
-        )
+        return df
     size = max(4 * rows, min(key.slice_rows, rows_per_slice(df, key, total)))
     numbered = number_rows(df, key, total).drop(SLICE)
     bucket = F.floor(F.col(POS) / size)
@@ -145,13 +142,13 @@ def with_look_back(
     )
 
 
-def look_back_window(key: SeriesKey) -> WindowSpec:
-    """The one exchange on (entity, bucket) serves every look-back column."""
-    return _spec(key.by(BUCKET), [F.col(POS)])
+def look_back_window(df: DataFrame, key: SeriesKey) -> WindowSpec:
+    """One window, so one exchange and one sort, for every look-back column."""
+    return _spec(key.by(BUCKET), [F.col(POS)]) if BUCKET in df.columns else key.forward()
 
 
 def drop_halo(df: DataFrame) -> DataFrame:
-    return df.where(~F.col(HALO)).drop(POS, BUCKET, HALO)
+    return df.where(~F.col(HALO)).drop(POS, BUCKET, HALO) if HALO in df.columns else df.drop(POS)
 
 
 def lags(df: DataFrame, key: SeriesKey, value: str, offsets: dict[str, int]) -> DataFrame:
@@ -200,12 +197,15 @@ def history(
     and squared deviations (not raw squares) keeps the digits. All columns that look back
     share one window.
     """
-    window = look_back_window(key)
+    window = look_back_window(df, key)
+    group = key.by(BUCKET) if BUCKET in df.columns else key.by()
     blocks = {w: names for w, names in stats.items() if w > frame_limit}
+    if blocks and POS not in df.columns:
+        df = df.withColumn(POS, (F.row_number().over(key.forward()) - 1).cast("long"))
     for w in blocks:
         block = F.floor(F.col(POS) / w)
-        head = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).asc()]))
-        tail = _until_now(_spec(key.by(BUCKET, block), [F.col(POS).desc()]))
+        head = _until_now(_spec([*group, block], [F.col(POS).asc()]))
+        tail = _until_now(_spec([*group, block], [F.col(POS).desc()]))
         df = df.withColumn(f"_head_{w}", _running(value, head)).withColumn(f"_tail_{w}", _running(value, tail))
 
     columns = {name: F.lag(value, k).over(window) for name, k in offsets.items()}

@@ -86,9 +86,10 @@ def feature_table(
 ) -> DataFrame:
     """Calendar, lag and trailing columns in one plan; incomplete rows are dropped last."""
     sizes = longest_series(df, key.entity)
-    base = add_calendar(drop_leaky(df), ts_col)
     offsets, windows = lag_offsets(horizon, sizes[1]), window_sizes(horizon)
-    table = add_history(base, key, target, offsets, windows, max(1, horizon), sizes=sizes)
+    known = add_history(drop_leaky(df), key, target, offsets, windows, max(1, horizon), sizes=sizes)
+    # The calendar comes last, so its columns take no part in the shuffle and the sorts.
+    table = add_calendar(known, ts_col)
     return complete_rows(table) if drop_incomplete else table
 
 

@@ -39,6 +39,16 @@ def test_short_series_need_one_exchange(spark, data_dir):
     assert row_exchanges(plan(out)) == 1
 
 
+def test_lags_need_one_sort(spark, data_dir):
+    text = plan(add_history(readings(spark, data_dir), BY_USER, "value", [1, 5], [60]))
+    assert len(re.findall(r"Sort \[", text)) == 1
+
+
+def test_days_are_hash_aggregates(spark, data_dir):
+    hours = rollup.hourly_rollup(readings(spark, data_dir), "household_id", "ts", "value")
+    assert "SortAggregate" not in plan(rollup.daily_rollup(hours))
+
+
 def test_long_series_never_meet_in_one_task(spark, data_dir):
     log = readings(spark, data_dir)
     placed = series.with_look_back(log, SLICED, 20)

@@ -229,7 +229,7 @@ def _(spark, sf):
 QUALIFY row_number() OVER (PARTITION BY date, household_id ORDER BY avg_power DESC, hour) = 1""",
 )
 def _(spark, sf):
-    return _hours(spark, sf).groupBy("date", "household_id").agg(rollup.peak("hour", "avg_power").alias("peak_hour"))
+    return _hours(spark, sf).groupBy("date", "household_id").agg(rollup.peak_of_day("hour", "avg_power").alias("peak_hour"))
 
 
 def wide(spark, sf):
