@@ -31,8 +31,11 @@ def scratch_folder(spark: SparkSession) -> str:
     A local session without the setting gets a temporary folder; a cluster session
     without it is an error, since a machine-local folder would be lost with its host.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    active = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or active
     if configured:
+        if active is None:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")

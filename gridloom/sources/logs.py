@@ -22,18 +22,36 @@ def _log_reader(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def parse_log(raw: DataFrame) -> DataFrame:
+def parse_log(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """SRC1, SRC2, SCL8: merge date and time (day first), text that is no number becomes NULL."""
     stamp = F.concat_ws(" ", F.trim("Date"), F.trim("Time"))
     return raw.select(
         F.try_to_timestamp(stamp, F.lit(DAY_FIRST)).cast("timestamp_ntz").alias("timestamp"),
         *[F.trim(c).try_cast("double").alias(c) for c in READING_COLUMNS],
+        *(keep or []),
     )
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: the raw ``;`` log with ``?`` for missing readings."""
-    return parse_log(_log_reader(spark, path))
+# Columns that put the rows of a log in file order.
+FILE_ORDER = ["file", "block", "line"]
+
+
+def read_log(spark: SparkSession, path: str, file_order: bool = False) -> DataFrame:
+    """SRC1: the raw ``;`` log with ``?`` for missing readings.
+
+    ``file_order`` adds the columns of FILE_ORDER: the file, where its split starts, and a
+    number that grows inside the split. They decide which of two copies came first.
+    """
+    raw = _log_reader(spark, path)
+    if not file_order:
+        return parse_log(raw)
+    placed = raw.select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    return parse_log(placed, FILE_ORDER)
 
 
 def read_readings(spark: SparkSession, raw_path: str, cleaned_path: str) -> DataFrame:

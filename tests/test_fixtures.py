@@ -112,6 +112,32 @@ def test_log_dates_are_day_first(spark, tmp_path):
     assert rows[0]["Global_active_power"] is None and rows[0]["Voltage"] is None and rows[0]["Sub_metering_3"] is None
 
 
+def test_first_copy_in_file_order(spark, tmp_path):
+    path = tmp_path / "log.txt"
+    header = "Date;Time;Global_active_power;Global_reactive_power;Voltage;Global_intensity;Sub_metering_1;Sub_metering_2;Sub_metering_3\n"
+    lines = [f"1/1/2007;00:0{i % 5}:00;{i}.0;0;240;1;0;0;0\n" for i in range(20)]
+    path.write_text(header + "".join(lines))
+    log = logs.read_log(spark, str(path), file_order=True).repartition(7)
+    kept = cleaning.keep_first(log, ["timestamp"], logs.FILE_ORDER)
+    assert sorted(r["Global_active_power"] for r in kept.collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_keep_first_keeps_a_missing_reading(spark):
+    df = minutes(spark, [None, 7.0], at=[0, 0])
+    assert values(cleaning.keep_first(df, ["household_id", "ts"], ["seq"])) == [None]
+    texts = df.withColumn("note", F.lit("x"))
+    assert values(cleaning.keep_first(texts, ["household_id", "ts"], ["seq"])) == [None]
+
+
+def test_outlier_rules(spark):
+    df = spark.createDataFrame([(float(v), 5.0) for v in [*range(1, 21), 500]] + [(None, 5.0)], "v DOUBLE, c DOUBLE")
+    for options in ({}, {"mode": "joint"}, {"exact": False}):
+        kept = cleaning.drop_iqr_outliers(df, ["v", "absent", "c"], **options)
+        assert sorted(r["v"] for r in kept.collect()) == [float(v) for v in range(1, 21)]
+    assert cleaning.drop_zscore_outliers(df, ["v"]).count() == 20
+    assert cleaning.drop_zscore_outliers(df, ["c"]).count() == 0
+
+
 def test_keep_first_by_sequence(spark):
     df = minutes(spark, [5.0, 7.0, 8.0], at=[0, 0, 1])
     assert values(cleaning.keep_first(df, ["household_id", "ts"], ["seq"])) == [5.0, 8.0]

@@ -1,17 +1,19 @@
 """Tables on disk, whole jobs and streams."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import rollup
+from gridloom.operators import cleaning, rollup
+from gridloom.operators.series import SeriesKey
 from gridloom.plans.exploration import exploration_report, selection_report
+from gridloom.plans.features import feature_table
 from gridloom.plans.rollups import store_and_roll_up
 from gridloom.plans.training import train_and_evaluate
 from gridloom.schemas import READING_COLUMNS, STORED_TABLES, stored_schema
 from gridloom.session import scratch_folder, settle
-from gridloom.sources import tables
+from gridloom.sources import logs, tables
 from workloads.base import frame, readings
 from workloads.learning import FEATURES, ORDER, _training_table
 
@@ -110,3 +112,25 @@ def test_training_is_repeatable(spark, data_dir):
     assert scores[0] == scores[1] and set(scores[0]) == {"Linear Regression", "Random Forest", "Gradient Boosting"}
     assert runs[0].report.where("section = 'best_model'").count() == 1
     assert runs[0].importances.count() == 2 * len(FEATURES)
+
+
+def test_raw_log_to_features(spark, tmp_path):
+    """Two days of minutes with missing, repeated and impossible readings."""
+    lines = ["Date;Time;" + ";".join(READING_COLUMNS)]
+    for i in range(2880):
+        at = datetime(2007, 1, 1) + timedelta(minutes=i)
+        power = f"{1 + (i % 7) / 10:.3f}" if i % 80 else "?"
+        voltage = "999" if i == 100 else "240.5"
+        row = f"{at.day}/{at.month}/{at.year};{at:%H:%M:%S};{power};0.1;{voltage};4.2;0;1;17"
+        lines += [row, row] if i == 200 else [row]
+    (tmp_path / "log.txt").write_text("\n".join(lines) + "\n")
+    log = logs.read_log(spark, str(tmp_path / "log.txt"), file_order=True).withColumn("household_id", F.lit(1))
+    key = SeriesKey(("household_id",), ("timestamp", *logs.FILE_ORDER))
+    cleaned, report = cleaning.clean_with_report(log, key, "timestamp", READING_COLUMNS)
+    found = {(r["step"], r["metric"]): r["value"] for r in report.collect()}
+    assert found[("missing_values", "initial")] == 36 and found[("missing_values", "final")] == 0
+    assert found[("duplicates", "removed")] == 1 and found[("physical_validation", "invalid_removed")] == 1
+    assert cleaned.count() == 2879 == found[("total", "final_rows")]
+    table = feature_table(cleaned, key).drop(*logs.FILE_ORDER, "household_id")
+    assert len(table.columns) == 2 + 24 + 10 + 6
+    assert table.count() == 2879 - 1440
