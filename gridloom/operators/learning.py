@@ -49,14 +49,17 @@ def stratified_sample(df: DataFrame, target: str, n: int, identity: list[str], b
         listed = F.array(*[F.lit(values.get(b)).cast("long") for b in range(len(edges) + 1)])
         return F.element_at(listed, F.col("_bin") + 1)
 
-    border = per_bin({b: last[((b,), q - 1)] for b, q in quota.items()})
+    found = {b: last[((b,), q - 1)] for b, q in quota.items()}
+    border = per_bin({b: f.value for b, f in found.items()})
+    if all(f.smaller + f.equal == quota[b] for b, f in found.items()):
+        return binned.where(F.col("_hash") <= border).select(*df.columns)
     sure = binned.where(F.col("_hash") < border)
-    taken = {b: 0 for b in quota}
-    taken |= {r["_bin"]: r["n"] for r in sure.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     tied = binned.where(F.col("_hash") == border)
     copies = tied.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_bin").orderBy("_digest", *df.columns).rowsBetween(Window.unboundedPreceding, -1)
-    room = per_bin({b: quota[b] - taken[b] for b in quota}) - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    room = per_bin({b: quota[b] - f.smaller for b, f in found.items()}) - F.coalesce(
+        F.sum("_n").over(earlier), F.lit(0)
+    )
     filled = (
         copies.withColumn("_take", F.least(F.col("_n"), room))
         .where(F.col("_take") > 0)

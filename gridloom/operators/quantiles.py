@@ -14,6 +14,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,14 +48,22 @@ def _bin(value: Column, low, high) -> Column:
     return F.least(F.floor(position), F.lit(BINS - 1)).cast("int")
 
 
+class Located(NamedTuple):
+    """An order statistic with the numbers of smaller and of equal rows."""
+
+    value: float
+    smaller: int
+    equal: int
+
+
 def order_statistics(
     df: DataFrame,
     group: list[str],
     value: str,
     ranks: dict[tuple, list[int]],
     between: Callable[[float, float], Column] | None = None,
-) -> dict:
-    """Values at 0-based ranks per group: {(group key, rank): value}.
+) -> dict[tuple, Located]:
+    """Values at 0-based ranks per group: {(group key, rank): located value}.
 
     ``ranks`` maps a group key to its ranks; groups are few (features, hours, bins).
     Brackets of one group never overlap, so a row takes part in at most one of them.
@@ -67,7 +76,7 @@ def order_statistics(
         for r in df.where(v.isNotNull()).groupBy(*group).agg(F.min(v), F.max(v), F.count(v)).collect()
     }
     wanted = {(g, rank): (spans[g], rank) for g, listed in ranks.items() for rank in listed}
-    found: dict[tuple, float] = {}
+    found: dict[tuple, Located] = {}
 
     def of_group(g: tuple) -> Column:
         match = F.lit(True)
@@ -88,7 +97,8 @@ def order_statistics(
 
     while True:
         for name in [n for n, (b, _) in wanted.items() if b.low == b.high]:
-            found[name] = wanted.pop(name)[0].low
+            bracket, inside = wanted.pop(name)
+            found[name] = Located(bracket.low, name[1] - inside, bracket.rows)
         if not wanted:
             return found
         brackets = list(dict.fromkeys(b for b, _ in wanted.values()))
@@ -142,8 +152,9 @@ def _narrowed_quantiles(
         found[g] = None
         if n:
             at = [p * (n - 1) for p in probs]
-            ends = [(stats[(g, math.floor(a))], stats[(g, min(math.floor(a) + 1, n - 1))]) for a in at]
-            found[g] = [_interpolated(a, float(low), float(high)) for a, (low, high) in zip(at, ends)]
+            lows = [float(stats[(g, math.floor(a))].value) for a in at]
+            highs = [float(stats[(g, min(math.floor(a) + 1, n - 1))].value) for a in at]
+            found[g] = [_interpolated(*ends) for ends in zip(at, lows, highs)]
     return found
 
 
@@ -195,20 +206,24 @@ def _as_number(df: DataFrame, column: str) -> Column:
 
 
 def row_at(df: DataFrame, order: list[str], index: int) -> list:
-    """The order columns of the row at a 0-based index, found column by column."""
+    """The order columns of the row at a 0-based index, found column by column.
+
+    Stops at the first column that leaves a single row, so the list may be shorter.
+    """
     rest = df.select(*order)
-    boundary = []
-    for position, c in enumerate(order):
+    boundary: list = []
+    for c in order:
         numbered = rest.withColumn("_number", _as_number(rest, c))
 
         def between(low, high, c=c) -> Column:
             return F.col(c).between(_literal(df, c, low), _literal(df, c, high))
 
-        value = order_statistics(numbered, [], "_number", {(): [index]}, between)[((), index)]
-        boundary.append(value)
-        if position + 1 < len(order):
-            index -= rest.where(F.col(c) < _literal(df, c, value)).count()
-            rest = rest.where(F.col(c) == _literal(df, c, value))
+        found = order_statistics(numbered, [], "_number", {(): [index]}, between)[((), index)]
+        boundary.append(found.value)
+        if found.equal == 1:
+            break
+        index -= found.smaller
+        rest = rest.where(F.col(c) == _literal(df, c, found.value))
     return boundary
 
 

@@ -88,11 +88,10 @@ def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
     Only the touched dates are read and rewritten. They are settled first, since a path
     cannot be overwritten while it is read; dynamic overwrite leaves other dates alone.
     """
-    spark = fresh.sparkSession
-    fresh = settle(fresh)
-    existing = _read_or_none(spark, path)
     merged = fresh
+    existing = _read_or_none(fresh.sparkSession, path)
     if existing is not None:
+        fresh = settle(fresh)
         touched = on_dates_of(existing, fresh)
         merged = settle(merge_by_key(touched.select(*fresh.columns), fresh, keys))
     (

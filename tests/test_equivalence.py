@@ -131,7 +131,10 @@ def test_narrowing_extreme_ranges(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in numbers], "v DOUBLE")
     ranks = list(range(0, len(numbers), 9))
     found = quantiles.order_statistics(df, [], "v", {(): ranks})
-    assert [found[((), r)] for r in ranks] == [sorted(numbers)[r] for r in ranks]
+    assert [found[((), r)].value for r in ranks] == [sorted(numbers)[r] for r in ranks]
+    for r in ranks:
+        value = sorted(numbers)[r]
+        assert found[((), r)][1:] == (sum(n < value for n in numbers), numbers.count(value))
 
 
 def test_value_ranks(skewed):
@@ -156,6 +159,22 @@ def test_first_rows_and_split(skewed):
     assert train.agg(F.max(F.struct("ts", "seq"))).first() < test.agg(F.min(F.struct("ts", "seq"))).first()
 
 
+def test_sample_equals_smallest_hashes(spark, skewed):
+    import hashlib
+
+    rows = skewed.dropna().select("seq", "v").collect()
+    sample = learning.stratified_sample(skewed.dropna().select("seq", "v"), "v", 200, ["seq"])
+    edges = quantiles.column_quantiles(skewed, ["v"], [i / 10 for i in range(11)])["v"][1:-1]
+    bins = {}
+    for r in rows:
+        bins.setdefault(sum(r["v"] > e for e in edges), []).append(r)
+    wanted = set()
+    for members in bins.values():
+        members.sort(key=lambda r: hashlib.md5(str(r["seq"]).encode()).hexdigest())
+        wanted |= {r["seq"] for r in members[: int(len(members) * (200 / len(rows)))]}
+    assert {r["seq"] for r in sample.collect()} == wanted
+
+
 def brute_force_crossed(points):
     return sum(
         p[2] * q[2] for p, q in itertools.combinations(points, 2) if (p[0] - q[0]) * (p[1] - q[1]) < 0
