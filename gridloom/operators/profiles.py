@@ -111,9 +111,16 @@ def dataset_profile(df: DataFrame, ts_col: str) -> DataFrame:
 
 
 def column_types(df: DataFrame) -> DataFrame:
-    """AGG8: the column types, from the schema alone."""
-    rows = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "column_name STRING, data_type STRING")
+    """AGG8: type and missing values per column."""
+    rows = [
+        F.struct(
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("data_type"),
+            F.count_if(F.col(f.name).isNull()).alias("missing"),
+        )
+        for f in df.schema.fields
+    ]
+    return df.agg(F.array(*rows).alias("c")).select(F.inline("c"))
 
 
 def seasonal_means(df: DataFrame, ts_col: str, value: str = TARGET) -> DataFrame:

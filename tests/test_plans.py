@@ -2,17 +2,14 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import association, cleaning, columns, learning, rollup, series
 from gridloom.operators.series import SeriesKey
 from gridloom.plans.features import add_history
 from gridloom.sources import tables
-from workloads import REGISTRY
 from workloads.base import BY_USER, readings
 
-PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
 SLICED = SeriesKey((), ("ts", "event_id"), plain_rows=0, slice_rows=100)
 
 
@@ -24,16 +21,6 @@ def row_exchanges(text):
     return len(re.findall(r"Exchange (?:hash|range)partitioning", text))
 
 
-SLOW = ("ml", "ev10", "str", "st5", "st6", "st7", "plan_store")
-
-
-@pytest.mark.parametrize("name", [n for n in REGISTRY if not n.startswith(SLOW)])
-def test_queries_stay_in_the_engine(spark, data_dir, name):
-    text = plan(REGISTRY[name].run(spark, data_dir))
-    assert not any(node in text for node in PYTHON_NODES)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_short_series_need_one_exchange(spark, data_dir):
     out = add_history(readings(spark, data_dir), BY_USER, "value", [1, 5], [60, 360])
     assert row_exchanges(plan(out)) == 1

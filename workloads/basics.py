@@ -391,11 +391,13 @@ def _(spark, sf):
 
 @query(
     "agg8_column_types",
-    """SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'),
-  ('event_type', 'string'), ('value', 'double'), ('props', 'string')) AS t(column_name, data_type)""",
+    f"""SELECT t.column_name, t.data_type, CASE t.column_name WHEN 'reading' THEN (SELECT count(*) - count(reading) FROM {READINGS})
+  WHEN 'event_type' THEN (SELECT count(*) - count(event_type) FROM {READINGS}) ELSE 0 END AS missing
+FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('household_id', 'bigint'), ('event_type', 'string'),
+  ('value', 'double'), ('reading', 'double')) AS t(column_name, data_type)""",
 )
 def _(spark, sf):
-    return profiles.column_types(table(spark, sf, "events"))
+    return profiles.column_types(readings(spark, sf))
 
 
 @query("agg9_missing_cells", f"SELECT count(*) - count(reading) AS missing FROM {READINGS}")
