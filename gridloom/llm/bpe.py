@@ -12,8 +12,9 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
+from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import flat_ranges, pieces, utf8
 
 CORPUS_BYTES = 16 << 20
@@ -196,7 +197,6 @@ def encode_documents(
     Decoding goes through the ids: ``decoded_sha256`` is the digest of the bytes they stand for.
     """
     lookup = documents.sparkSession.sparkContext.broadcast(vocabulary)
-    columns = list(dict.fromkeys(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lookup.value
@@ -212,23 +212,18 @@ def encode_documents(
             at = cuts.tolist()
             byte_at = sizes[cuts].tolist()
             arrays = [
-                *(batch.column(c) for c in columns),
+                batch.column(ROW),
                 pa.array(np.diff(cuts), pa.int64()),
                 pa.array([hashlib.sha256(coded[4 * a : 4 * b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()),
                 pa.array([hashlib.sha256(plain[a:b]).hexdigest() for a, b in zip(byte_at, byte_at[1:])], pa.string()),
             ]
             if with_ids:
                 arrays.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-
-    schema = ", ".join(
-        [
-            *(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns),
-            "n_tokens long, ids_sha256 string, decoded_sha256 string",
-            *["ids array<int>"] * with_ids,
-        ]
-    )
-    return documents.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    source = with_row(documents, keep, _text=named(text))
+    return opened(source.mapInArrow(run, row_schema(source, made)))
 
 
 def read_vocabulary(path: str) -> Vocabulary:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import utf8
 
 WINDOW = 13
@@ -77,11 +78,11 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
 
-def _scan(column: str, lookup, keep: list[str]):
+def _scan(lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lookup.value
         for batch in batches:
-            data, offsets = utf8(batch.column(column))
+            data, offsets = utf8(batch.column("_text"))
             raw = data.tobytes()
             counts, hits, items, spans = [], [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -99,13 +100,13 @@ def _scan(column: str, lookup, keep: list[str]):
                 spans.append([{"start": s, "end": e} for s, e in _spans(raw[a:b], hit)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in keep),
+                    batch.column(ROW),
                     pa.array(counts, pa.int64()),
                     pa.array(hits, pa.int64()),
                     pa.array(items, pa.list_(pa.string())),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
-                names=[*keep, "n_words", "n_hit", "items", "spans"],
+                names=[ROW, "n_words", "n_hit", "items", "spans"],
             )
 
     return run
@@ -142,10 +143,8 @@ def find_benchmark_passages(
         raise ValueError(f"the benchmark holds {held} bytes of text; {most_bytes} are allowed")
     automaton = Windows([tuple(r) for r in known.collect()], size)
     lookup = spark.sparkContext.broadcast(automaton)
-    columns = list(dict.fromkeys(keep))
-    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns), FOUND])
-    source = documents.select(*columns, F.col(text).alias("_text"))
-    return source.mapInArrow(_scan("_text", lookup, columns), schema)
+    source = with_row(documents, keep, _text=named(text))
+    return opened(source.mapInArrow(_scan(lookup), row_schema(source, FOUND)))
 
 
 def contaminated() -> F.Column:
@@ -153,10 +152,14 @@ def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their columns unchanged."""
-    found = find_benchmark_passages(documents, benchmark, keep=tuple(documents.columns), **options)
-    return found.filter(~contaminated()).select(*(F.col(f"`{c}`") for c in documents.columns))
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their columns unchanged.
+
+    Cases of null, empty and repeated rows as in ``find_benchmark_passages``: such documents stay.
+    """
+    whole = documents.select(F.struct(*(named(c) for c in documents.columns)).alias("document"), named(text).alias("text"))
+    found = find_benchmark_passages(whole, benchmark, keep=("document",), **options)
+    return found.filter(~contaminated()).select(*(F.col("document")[c].alias(c) for c in documents.columns))
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination
+from gridloom.llm import bpe, chat, contamination, substrings, suffixes
 from gridloom.llm.base import QUERIES, query, table
 
 __all__ = ["QUERIES"]
 
 
+@query("op1_substring_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeated_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_byte_bpe")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -30,3 +36,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contamination.contamination_digest(found)
+
+
+@query("op6_suffix_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
