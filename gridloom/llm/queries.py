@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination, substrings, suffixes
+from gridloom.llm import bpe, chat, contamination, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
 
 __all__ = ["QUERIES"]
@@ -42,3 +42,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_embedding_dedup")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
