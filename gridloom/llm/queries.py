@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, contamination, languages, quality, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
+from gridloom.llm.folds import held_out
 
 __all__ = ["QUERIES"]
 
@@ -47,3 +48,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_dedup")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_quality")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality.learn(documents, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op10_language_id")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = languages.predict(documents, languages.learn(documents))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
