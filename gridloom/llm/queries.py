@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination, languages, quality, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, contamination, languages, licences, quality, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
@@ -62,3 +62,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = languages.predict(documents, languages.learn(documents))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_license_scan", licences.brute_force_sql())
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    names = F.array_join("licences", ",")
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), names.alias("licences"))
