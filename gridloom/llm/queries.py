@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination, languages, licences, quality, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
@@ -18,6 +18,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op2_jaccard_join")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.similar_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op3_byte_bpe")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
