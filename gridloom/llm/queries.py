@@ -5,20 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, checks, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
 __all__ = ["QUERIES"]
 
 
-@query("op1_substring_dedup")
+@query("op1_substring_dedup", checks.REPEATED_WORDS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeated_words(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op2_jaccard_join")
+@query("op2_jaccard_join", checks.SIMILAR_DOCUMENTS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -29,7 +29,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
-@query("op4_chat_format")
+@query("op4_chat_format", checks.CHAT)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
@@ -38,10 +38,10 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_conversations(rendered)
 
 
-@query("op5_benchmark_decontamination")
+@query("op5_benchmark_decontamination", checks.CONTAMINATION)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return contamination.contamination_digest(found)
+    return contamination.contamination_digest(found).drop("spans")
 
 
 @query("op6_suffix_dedup")
@@ -50,7 +50,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_embedding_dedup")
+@query("op7_embedding_dedup", checks.NEAR_VECTORS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 

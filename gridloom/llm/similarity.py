@@ -380,7 +380,8 @@ def _large_clusters(members: DataFrame, similarity: float) -> tuple[list[DataFra
         pivots = here.filter(pivot).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         keys = ["cluster", "part"]
         columns = [*keys, "rep", "copies", "text"]
-        compared = parted.select(*columns).groupBy(*keys).cogroup(pivots.select(*columns).groupBy(*keys))
+        pivots = pivots.select(*(F.col(c).alias(c) for c in columns))
+        compared = parted.select(*columns).groupBy(*keys).cogroup(pivots.groupBy(*keys))
         rows = compared.applyInArrow(_against_pivots(similarity), LINKED + ", core boolean, shell boolean, pivot boolean").checkpoint()
         found.append(rows.select("rep", "links", "least").filter("links > 0 or least <> rep"))
         state = rows.groupBy("rep").agg(*(F.max(c).alias(c) for c in ("core", "shell", "pivot")))

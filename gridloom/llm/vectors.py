@@ -203,7 +203,7 @@ def brute_force(rows: list[tuple[int, list[float] | None]], cosine: float = COSI
     if good:
         ids = np.array([i for i, _ in good])
         order = np.argsort(ids)
-        x = np.stack([good[k][1] for k in order])
+        x = np.stack([good[k][1] / np.abs(good[k][1]).max() for k in order])
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         i, j = np.nonzero(np.triu(x @ x.T >= cosine, 1))
         links = np.bincount(np.concatenate((i, j)), minlength=len(ids))
