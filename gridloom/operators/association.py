@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.pairs import crossed_in_group
-from gridloom.operators.quantiles import VALUES_PER_SLICE, column_quantiles, small_side, value_ranks
+from gridloom.operators.quantiles import column_quantiles, ordered_values, small_side, value_ranks
 from gridloom.operators.statistics import pearson_pairs, target_correlations, upper_pairs
 from gridloom.session import settle
 
@@ -17,16 +17,18 @@ STRIPE_ROWS = 200_000
 def with_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by its average rank; complete rows only.
 
-    The rank tables hold one row per distinct value. A table counted to be small is
-    broadcast, so a column of few values does not send its rows to as few tasks; for the
-    others AQE splits a frequent value.
+    The values of all columns are counted and ordered together. A column's rank table holds
+    one row per distinct value. A table counted to be small is broadcast, so a column of few
+    values does not send its rows to as few tasks; for the others AQE splits a frequent value.
     """
-    known = df.select(*columns).dropna()
+    known = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    values = ordered_values(known.unpivot([], columns, "feature", "value"), ["feature"], "value")
+    ranks = settle(values.select("feature", "value", (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank")))
+    distinct = {r["feature"]: r["n"] for r in ranks.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     ranked = known
-    distinct = known.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
     for c in columns:
-        ranks = value_ranks(known, c, slices=1 + distinct[c] // VALUES_PER_SLICE).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
-        ranked = ranked.join(small_side(ranks, distinct[c]), c)
+        own = ranks.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
+        ranked = ranked.join(small_side(own, distinct.get(c, 0)), c)
     return ranked.select(*[F.col(f"_rank_{c}").alias(c) for c in columns])
 
 
@@ -54,12 +56,11 @@ def _stripes(points: DataFrame, axis: str, size: int) -> DataFrame:
     A value with more points than that gets a stripe of its own (odd number): its points
     are tied, so nothing inside the stripe has to be counted.
     """
-    distinct = points.agg(F.approx_count_distinct(axis)).first()[0]
-    ranks = value_ranks(points, axis, slices=1 + distinct // VALUES_PER_SLICE)
+    ranks = value_ranks(points, axis)
     before = F.col("rank") - (F.col("n") + 1) / 2.0
     heavy = (F.col("n") > size).cast("long")
     stripes = ranks.select(F.col("value").alias(axis), (2 * F.floor(before / size) + heavy).alias(f"_s{axis}"))
-    return small_side(stripes, distinct)
+    return small_side(stripes, points.agg(F.approx_count_distinct(axis)).first()[0])
 
 
 def discordant_weight(points: DataFrame, stripe_rows: int = STRIPE_ROWS) -> int:

@@ -13,6 +13,7 @@ from gridloom.operators.series import (
     SeriesKey,
     drop_halo,
     known_neighbours,
+    longest_series,
     look_back_window,
     with_look_back,
     with_positions,
@@ -34,24 +35,33 @@ def _between_neighbours(column: str, at: Column) -> Column:
     return F.coalesce(F.col(column), line, v0, v1)
 
 
-def _interpolate(df: DataFrame, key: SeriesKey, axis: Column, values: list[str]) -> DataFrame:
-    filled = known_neighbours(df, key, axis, values)
+def _interpolate(
+    df: DataFrame, key: SeriesKey, axis: Column, values: list[str], sizes: tuple[int, int] | None = None
+) -> DataFrame:
+    filled = known_neighbours(df, key, axis, values, sizes)
     return filled.withColumns({c: _between_neighbours(c, axis) for c in values}).drop(
         *[f"_prev_{c}" for c in values], *[f"_next_{c}" for c in values]
     )
 
 
-def interpolate_by_time(df: DataFrame, key: SeriesKey, ts_col: str, values: list[str] | None = None) -> DataFrame:
+def interpolate_by_time(
+    df: DataFrame,
+    key: SeriesKey,
+    ts_col: str,
+    values: list[str] | None = None,
+    sizes: tuple[int, int] | None = None,
+) -> DataFrame:
     """CLN1: time-weighted linear interpolation of every numeric reading."""
     values = values or numeric_columns(df, [*key.entity, *key.order])
     at = "_micros"
-    return _interpolate(df.withColumn(at, epoch_micros(ts_col)), key, F.col(at), values).drop(at)
+    return _interpolate(df.withColumn(at, epoch_micros(ts_col)), key, F.col(at), values, sizes).drop(at)
 
 
 def interpolate_by_row(df: DataFrame, key: SeriesKey, values: list[str] | None = None) -> DataFrame:
     """CLN2: linear interpolation on row positions."""
     values = values or numeric_columns(df, [*key.entity, *key.order])
-    return _interpolate(with_positions(df, key), key, F.col(POS), values).drop(POS)
+    sizes = longest_series(df, key.entity)
+    return _interpolate(with_positions(df, key, sizes), key, F.col(POS), values, sizes).drop(POS)
 
 
 def forward_fill(df: DataFrame, key: SeriesKey, values: list[str], limit: int = FILL_LIMIT) -> DataFrame:
@@ -78,16 +88,15 @@ def keep_first(df: DataFrame, subset: list[str], order: list[str]) -> DataFrame:
     """CLN5: one row per key, the first in ``order``.
 
     An ordinary aggregate, so any number of copies of one key shrink to one row per task
-    before the shuffle. Fixed-width columns each follow the smallest order value, which
-    stays a hash aggregate; otherwise the smallest (order, rest) struct is kept. ``order``
-    should be unique within a key.
+    before the shuffle. A NULL order comes first. Fixed-width columns each follow the
+    smallest order number, which stays a hash aggregate; otherwise the smallest (order,
+    rest) struct is kept. ``order`` should be unique within a key.
     """
     rest = [c for c in df.columns if c not in subset and c not in order]
-    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in [*order, *rest])
-    if len(order) == 1 and fixed:
-        firsts = df.groupBy(*subset).agg(
-            F.min(order[0]).alias(order[0]), *[F.min_by(c, order[0]).alias(c) for c in rest]
-        )
+    fixed = all(isinstance(df.schema[c].dataType, FIXED_WIDTH) for c in rest)
+    if len(order) == 1 and fixed and isinstance(df.schema[order[0]].dataType, T.IntegralType):
+        number = F.coalesce(F.col(order[0]).cast("long"), F.lit(-(2**63)))
+        firsts = df.groupBy(*subset).agg(*[F.min_by(c, number).alias(c) for c in [*order, *rest]])
         return firsts.select(*df.columns)
     firsts = df.groupBy(*subset).agg(F.min(F.struct(*order, *rest)).alias("_first"))
     return firsts.select(*[F.col(c) if c in subset else F.col("_first").getField(c).alias(c) for c in df.columns])
@@ -176,9 +185,11 @@ def clean_with_report(
     if grid_gaps:
         df = fill_time_grid(df, key, ts_col)
     rows = F.count(F.lit(1)).alias("rows")
+    # measured below the observations, whose counts would keep every column in that scan
+    sizes = longest_series(df, key.entity)
     before, filled, deduped = Observation(), Observation(), Observation()
     work = df.observe(before, rows, missing_count(df).alias("missing"))
-    work = interpolate_by_time(work, key, ts_col, values)
+    work = interpolate_by_time(work, key, ts_col, values, sizes)
     work = work.observe(filled, rows, missing_count(work).alias("missing"))
     work = keep_first(work, [*key.entity, ts_col], [c for c in key.order if c != ts_col])
     work = work.observe(deduped, rows)
@@ -215,9 +226,8 @@ def clean_with_report(
 def quality_profile(df: DataFrame, ts_col: str, values: list[str]) -> DataFrame:
     """One side of the before/after summary as (metric, value), from one aggregate.
 
-    At most the first five numeric columns are described, as in the printed summary.
+    Every column in ``values`` is described; the printed summary named five of them.
     """
-    described = values[:5]
     stats = {
         "rows": F.count(F.lit(1)),
         "columns": F.lit(len(df.columns)),
@@ -225,7 +235,7 @@ def quality_profile(df: DataFrame, ts_col: str, values: list[str]) -> DataFrame:
         "last_second": F.max(epoch_micros(ts_col)) / 1e6,
         "missing": missing_count(df),
     }
-    for c in described:
+    for c in values:
         stats |= {
             f"{c}.mean": F.avg(c),
             f"{c}.std": F.stddev_samp(c),

@@ -16,15 +16,15 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.calendar import epoch_micros
+from gridloom.functions.joins import join_null_safe
+from gridloom.session import settle
 
 BINS = 2048
 EXACT_ROWS = 500_000
 SMALLEST_STEP = 1e-290
-VALUES_PER_SLICE = 1_000_000
 BROADCAST_VALUES = 100_000
 
 
@@ -69,6 +69,38 @@ def order_statistics(
     Brackets of one group never overlap, so a row takes part in at most one of them.
     ``between`` may state the outer limits on a stored column, so later passes skip files.
     """
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        return _among_infinities(df, group, value, ranks, between)
+    return _narrowed(df, group, value, ranks, between)
+
+
+def _among_infinities(
+    df: DataFrame, group: list[str], value: str, ranks: dict[tuple, list[int]], between: Callable | None
+) -> dict[tuple, Located]:
+    """Order statistics of floating values: NaN is missing, the infinities stand at the ends."""
+    v = F.col(value)
+    finite = F.abs(v) < F.lit(math.inf)
+    low, high = F.count_if(v == F.lit(-math.inf)), F.count_if(v == F.lit(math.inf))
+    counts = {tuple(r[:-3]): r[-3:] for r in df.groupBy(*group).agg(low, F.count_if(finite), high).collect()}
+    found: dict[tuple, Located] = {}
+    inner: dict[tuple, list[int]] = {}
+    for g, listed in ranks.items():
+        below, inside, above = counts[g]
+        for rank in listed:
+            if rank < below:
+                found[(g, rank)] = Located(-math.inf, 0, below)
+            elif rank < below + inside:
+                inner.setdefault(g, []).append(rank - below)
+            else:
+                found[(g, rank)] = Located(math.inf, below + inside, above)
+    for (g, rank), at in (_narrowed(df.where(finite), group, value, inner, between) if inner else {}).items():
+        found[(g, rank + counts[g][0])] = at._replace(smaller=at.smaller + counts[g][0])
+    return found
+
+
+def _narrowed(
+    df: DataFrame, group: list[str], value: str, ranks: dict[tuple, list[int]], between: Callable | None
+) -> dict[tuple, Located]:
     v = F.col(value)
     between = between or (lambda low, high: v.between(F.lit(low), F.lit(high)))
     spans = {
@@ -127,6 +159,8 @@ def order_statistics(
                     wanted[name] = (_Bracket(b.group, low, high, rows), rank - below)
                     break
                 below += rows
+            if wanted[name][0] == b:
+                raise RuntimeError(f"no progress between {b.low} and {b.high}; does {value} change between passes?")
 
 
 def _ranks_for(rows: int, probs: list[float]) -> list[int]:
@@ -139,6 +173,8 @@ def _ranks_for(rows: int, probs: list[float]) -> list[int]:
 
 def _interpolated(at: float, low: float, high: float) -> float:
     part = at - math.floor(at)
+    if math.isinf(low) or math.isinf(high):
+        return low if low == high or not part else (1 - part) * low + part * high
     return low + (high - low) * part
 
 
@@ -158,32 +194,47 @@ def _narrowed_quantiles(
     return found
 
 
+def _known(df: DataFrame, column: str) -> Column:
+    """The column with NaN as NULL."""
+    floating = df.schema[column].dataType.typeName() in ("double", "float")
+    return F.when(~F.isnan(column), F.col(column)) if floating else F.col(column)
+
+
 def grouped_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float], exact_rows: int = EXACT_ROWS
 ) -> DataFrame:
     """ST2 per group: ``group``, ``rows`` and an array ``q`` of linear-interpolated quantiles.
 
-    Groups larger than ``exact_rows`` must be few (hours, features); each may hold any
-    number of rows.
+    NULL and NaN are missing. Groups of at most ``exact_rows`` rows, of which there may be any
+    number, use ``percentile``; only the larger ones, few by their size, are known to the driver.
     """
+    df = df.select(*group, _known(df, value).alias(value))
     sizes = df.groupBy(*group).agg(F.count(value).alias("rows"))
-    if (sizes.agg(F.max("rows")).first()[0] or 0) <= exact_rows:
-        return df.groupBy(*group).agg(
-            F.count(value).alias("rows"),
-            F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"),
-        )
-    counts = {tuple(r[:-1]): r[-1] for r in sizes.collect()}
-    found = _narrowed_quantiles(df, group, value, counts, probs)
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    large = {tuple(r[:-1]): r[-1] for r in sizes.where(F.col("rows") > exact_rows).collect()}
+    rest, many = df, None
+    if large:
+        types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        keys = df.sparkSession.createDataFrame(list(large), ", ".join(f"`{name}` {types[name]}" for name in group)) if group else None
+        rest = join_null_safe(df, keys, group, "left_anti") if group else df.limit(0)
+        many = join_null_safe(df, keys, group, "left_semi") if group else df
+    exact = rest.groupBy(*group).agg(
+        F.count(value).alias("rows"),
+        F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("q"),
+    )
+    if many is None:
+        return exact
+    found = _narrowed_quantiles(many, group, value, large, probs)
     schema = ", ".join([f"`{name}` {types[name]}" for name in group] + ["rows BIGINT", "q ARRAY<DOUBLE>"])
-    return df.sparkSession.createDataFrame([(*g, counts[g], q) for g, q in found.items()], schema)
+    table = df.sparkSession.createDataFrame([(*g, large[g], q) for g, q in found.items()], schema)
+    return table.unionByName(exact) if group else table
 
 
 def column_quantiles(
     df: DataFrame, columns: list[str], probs: list[float], exact_rows: int = EXACT_ROWS
 ) -> dict[str, list[float | None]]:
-    """ST2: the quantiles of several columns, computed together."""
+    """ST2: the quantiles of several columns, computed together; NULL and NaN are missing."""
     unknown = [None] * len(probs)
+    df = df.select(*[_known(df, c).alias(c) for c in dict.fromkeys(columns)])
     sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
     if max(sizes) <= exact_rows:
         grid = F.array(*[F.lit(p) for p in probs])
@@ -262,43 +313,38 @@ def small_side(values: DataFrame, distinct: int) -> DataFrame:
     return F.broadcast(values) if distinct <= BROADCAST_VALUES else values
 
 
-def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFrame:
-    """WIN8: every distinct value with its count, average rank and dense position.
+def ordered_values(df: DataFrame, group: list[str], value: str, slices: int | None = None) -> DataFrame:
+    """Distinct known values per group with their rows ``n``, the rows ``below`` and their 0-based ``position``.
 
-    Values are counted first, so ties cost nothing. The distinct values are cut into
-    ranges of about equal size; running totals inside a range start from the total of
-    the ranges before.
+    Values are counted first, so ties cost nothing. The distinct values of all groups together
+    are range-partitioned into ``slices`` (by default the session's shuffle partitions), and
+    settled, since sampled borders may move. Running totals inside a slice start from the
+    totals of the slices before, a small table, so no group is ordered in one task.
     """
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    if slices is None:
-        slices = 1 + df.agg(F.approx_count_distinct(column)).first()[0] // VALUES_PER_SLICE
-    if slices == 1:
-        whole = Window.orderBy("value")
-        below = F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counted.select(
-            "value", "n", (below + (F.col("n") + 1) / 2.0).alias("rank"), (F.row_number().over(whole) - 1).alias("position")
-        )
-    points = [i / slices for i in range(1, slices)]
-    cuts = counted.agg(F.percentile_approx(F.col("value").cast("double"), points, 10 * slices)).first()[0] or []
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    numbered = counted.withColumn("_number", F.col("value").cast("double"))
-    ranged = Bucketizer(splits=splits, inputCol="_number", outputCol="_range", handleInvalid="keep").transform(numbered)
-    totals = ranged.groupBy("_range").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    known = df.select(*group, _known(df, value).alias("value")).where("value is not null")
+    counted = known.groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settle(counted.repartitionByRange(parts, *group, "value").withColumn("_slice", F.spark_partition_id()))
+    totals = ranged.groupBy(*group, "_slice").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("values"))
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_range",
+        *group,
+        "_slice",
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("values").over(before), F.lit(0)).alias("_values_before"),
     )
-    inside = Window.partitionBy("_range").orderBy("value")
-    below = F.coalesce(
-        F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    ) + F.col("_rows_before")
-    return ranged.join(offsets, "_range").select(
+    inside = Window.partitionBy(*group, "_slice").orderBy("value")
+    below = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return join_null_safe(ranged, offsets, [*group, "_slice"]).select(
+        *group,
         "value",
         "n",
-        (below + (F.col("n") + 1) / 2.0).alias("rank"),
+        (below + F.col("_rows_before")).alias("below"),
         (F.row_number().over(inside) - 1 + F.col("_values_before")).alias("position"),
     )
+
+
+def value_ranks(df: DataFrame, column: str, slices: int | None = None) -> DataFrame:
+    """WIN8: every distinct value with its count, average rank and dense position."""
+    values = ordered_values(df, [], column, slices)
+    return values.select("value", "n", (F.col("below") + (F.col("n") + 1) / 2.0).alias("rank"), "position")

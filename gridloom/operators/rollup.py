@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gridloom.functions.joins import join_null_safe
 from gridloom.functions.numeric import kw_minutes_to_kwh
 
 HOURLY_KEYS = ["date", "hour", "household_id"]
@@ -55,8 +56,8 @@ def daily_rollup(hourly: DataFrame) -> DataFrame:
 
 
 def merge_by_key(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """JN6, SNK3: fresh rows replace existing rows of the same key."""
-    kept = existing.join(fresh.select(*keys), keys, "left_anti")
+    """JN6, SNK3: fresh rows replace existing rows of the same key; NULL keys are equal."""
+    kept = join_null_safe(existing, fresh.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh)
 
 

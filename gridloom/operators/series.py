@@ -11,7 +11,9 @@ holds a large part of the data. So each operator measures the longest series fir
   Look-back operators then work on buckets of consecutive positions, each extended by
   a halo: copies of the last rows of the bucket before.
 
-An empty list of entity columns treats the whole table as one series.
+An empty list of entity columns treats the whole table as one series. A NULL entity or
+order value is a value like any other on both paths: NULL households form one series,
+and NULL times come first.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from gridloom.functions.joins import join_null_safe
 from gridloom.session import settle
 
 POS = "_pos"
@@ -100,15 +103,15 @@ def number_rows(df: DataFrame, key: SeriesKey, total: int | None = None) -> Data
         *key.by(SLICE), F.coalesce(F.sum("_rows").over(running), F.lit(0)).alias("_offset")
     )
     return (
-        df.join(offsets, [*key.entity, SLICE])
+        join_null_safe(df, offsets, [*key.entity, SLICE])
         .withColumn(POS, F.col("_offset") + F.row_number().over(key.forward(SLICE)) - 1)
         .drop("_offset")
     )
 
 
-def with_positions(df: DataFrame, key: SeriesKey) -> DataFrame:
+def with_positions(df: DataFrame, key: SeriesKey, sizes: tuple[int, int] | None = None) -> DataFrame:
     """``_pos`` by the cheaper of the two ways; keeps ``_slice`` where rows were sliced."""
-    total, longest = longest_series(df, key.entity)
+    total, longest = sizes or longest_series(df, key.entity)
     if longest <= key.plain_rows:
         return df.withColumn(POS, (F.row_number().over(key.forward()) - 1).cast("long"))
     return number_rows(df, key, total)
@@ -224,13 +227,16 @@ def history(
     return df.drop(*[f"_{part}_{w}" for w in blocks for part in ("head", "tail", "new", "old")])
 
 
-def known_neighbours(df: DataFrame, key: SeriesKey, axis: Column, values: list[str]) -> DataFrame:
+def known_neighbours(
+    df: DataFrame, key: SeriesKey, axis: Column, values: list[str], sizes: tuple[int, int] | None = None
+) -> DataFrame:
     """Add ``_prev_<c>`` and ``_next_<c>``: the nearest known (axis, value) on either side.
 
     Both directions use growing frames (ascending and descending order); a frame that
-    starts at the current row and runs to the end would be quadratic.
+    starts at the current row and runs to the end would be quadratic. ``sizes`` saves
+    counting the rows again.
     """
-    total, longest = longest_series(df, key.entity)
+    total, longest = sizes or longest_series(df, key.entity)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(axis.alias("x"), F.col(c).alias("v"))) for c in values}
     if longest <= key.plain_rows:
         ahead, back = _until_now(key.forward()), _until_now(key.backward())
@@ -253,7 +259,7 @@ def known_neighbours(df: DataFrame, key: SeriesKey, axis: Column, values: list[s
         *[F.last(f"_first_{c}", ignorenulls=True).over(later).alias(f"_to_{c}") for c in values],
     )
     ahead, back = _until_now(key.forward(SLICE)), _until_now(key.backward(SLICE))
-    joined = sliced.join(carried, [*key.entity, SLICE])
+    joined = join_null_safe(sliced, carried, [*key.entity, SLICE])
     return joined.withColumns(
         {
             f"_prev_{c}": F.coalesce(F.last(k, ignorenulls=True).over(ahead), F.col(f"_from_{c}"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,22 +27,36 @@ def build_session(app_name: str = "gridloom", master: str | None = None, **conf:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a temporary folder; a cluster session
-    without it is an error, since a machine-local folder would be lost with its host.
-    """
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``; it must be set."""
     active = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or active
-    if configured:
-        if active is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="gridloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    if active is None:
+        spark.sparkContext.setCheckpointDir(configured)
+    return configured.rstrip("/")
+
+
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables settled inside are deleted at the end.
+
+    What is built on them must be written inside the scope, since a DataFrame reads them
+    when it runs. Without a scope they stay until the owner of the folder expires them.
+    """
+    held: list[str] = []
+    _open_scopes.append(held)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(held)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in held:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(hadoop).delete(target, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -52,5 +67,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/gridloom-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from gridloom.functions.numeric import nan_to_null
 from gridloom.operators.quantiles import first_rows
 from gridloom.schemas import LOG_SCHEMA, READING_COLUMNS
 
@@ -23,13 +24,14 @@ def _log_reader(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_log(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """SRC1, SRC2, SCL8: merge date and time (day first), text that is no number becomes NULL."""
+    """SRC1, SRC2, SCL8: merge date and time (day first); text that is no number, NaN included, becomes NULL."""
     stamp = F.concat_ws(" ", F.trim("Date"), F.trim("Time"))
-    return raw.select(
+    parsed = raw.select(
         F.try_to_timestamp(stamp, F.lit(DAY_FIRST)).cast("timestamp_ntz").alias("timestamp"),
         *[F.trim(c).try_cast("double").alias(c) for c in READING_COLUMNS],
         *(keep or []),
     )
+    return nan_to_null(parsed, READING_COLUMNS)
 
 
 # Columns that put the rows of a log in file order.
@@ -61,16 +63,22 @@ def read_readings(spark: SparkSession, raw_path: str, cleaned_path: str) -> Data
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        found = read_table(spark, cleaned_path)
+        found = read_table(spark, cleaned_path, numeric=READING_COLUMNS)
     return found.dropna()
 
 
-def read_table(spark: SparkSession, path: str, ts_col: str = "timestamp") -> DataFrame:
-    """SRC4: an intermediate table; a text timestamp becomes a real one."""
+def read_table(
+    spark: SparkSession, path: str, ts_col: str = "timestamp", numeric: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """SRC4: an intermediate table; a text timestamp becomes a real one.
+
+    A CSV file holds text. Its ``numeric`` columns become numbers, NULL where they hold none;
+    the others stay as they are.
+    """
     if path.rstrip("/").endswith(".csv"):
         df = spark.read.option("header", True).csv(path)
         df = df.select(
-            *[F.col(c) if c == ts_col else F.col(c).try_cast("double").alias(c) for c in df.columns]
+            *[F.col(c).try_cast("double").alias(c) if c in numeric else F.col(c) for c in df.columns]
         )
     else:
         df = spark.read.parquet(path)

@@ -9,14 +9,34 @@ from gridloom.operators.columns import require_columns, to_storage_names
 from gridloom.operators.reshape import submeter_rows
 from gridloom.operators.rollup import merge_by_key
 from gridloom.schemas import MEASUREMENT_COLUMNS, stored_schema
-from gridloom.session import settle
+from gridloom.session import scratch_scope, settle
 
 FILE_ROWS = 5_000_000
 
 
 def fit_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast to the stored types; values that do not fit become NULL instead of failing the job."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns])
+    """Cast to the stored types. A value that does not fit fails the job; nothing is lost silently.
+
+    ``split_by_fit`` sets such rows aside first.
+    """
+    return df.select(*[_fitted(f) for f in schema.fields if f.name in df.columns])
+
+
+def _fitted(field: T.StructField) -> Column:
+    cast = F.col(field.name).try_cast(field.dataType)
+    told = F.concat(F.lit(f"{field.name} does not fit {field.dataType.simpleString()}: "), F.col(field.name).cast("string"))
+    return F.when(F.col(field.name).isNotNull() & cast.isNull(), F.raise_error(told)).otherwise(cast).alias(field.name)
+
+
+def split_by_fit(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows whose values all fit the stored types, and the others with ``misfits``, the columns that do not."""
+    bad = [
+        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name))
+        for f in schema.fields
+        if f.name in df.columns
+    ]
+    told = df.withColumn("misfits", F.array_compact(F.array(*bad)))
+    return told.where(F.size("misfits") == 0).drop("misfits"), told.where(F.size("misfits") > 0)
 
 
 def write_dated(df: DataFrame, path: str, ts_col: str | None = None, mode: str = "overwrite") -> None:
@@ -79,7 +99,8 @@ def on_dates_of(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     folders where a join might read and shuffle the whole table.
     """
     dates = [r["date"] for r in fresh.select("date").distinct().collect()]
-    return stored.where(F.col("date").isin(dates))
+    touched = F.col("date").isin([d for d in dates if d is not None])
+    return stored.where(touched | F.col("date").isNull() if None in dates else touched)
 
 
 def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
@@ -90,18 +111,19 @@ def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
     """
     merged = fresh
     existing = _read_or_none(fresh.sparkSession, path)
-    if existing is not None:
-        fresh = settle(fresh)
-        touched = on_dates_of(existing, fresh)
-        merged = settle(merge_by_key(touched.select(*fresh.columns), fresh, keys))
-    (
-        merged.hint("rebalance", "date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", FILE_ROWS)
-        .partitionBy("date")
-        .parquet(path)
-    )
+    with scratch_scope(fresh.sparkSession):
+        if existing is not None:
+            fresh = settle(fresh)
+            touched = on_dates_of(existing, fresh)
+            merged = settle(merge_by_key(touched.select(*fresh.columns), fresh, keys))
+        (
+            merged.hint("rebalance", "date")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("maxRecordsPerFile", FILE_ROWS)
+            .partitionBy("date")
+            .parquet(path)
+        )
 
 
 def household_rows(new: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -23,6 +24,8 @@ def spark():
             "spark.log.level": "ERROR",
         },
     )
+    if not session.conf.get("spark.checkpoint.dir", None):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="gridloom-tests-"))
     yield session
     session.stop()
 

@@ -49,10 +49,16 @@ def test_append_rejects_missing_columns(spark, tmp_path):
         tables.append_measurements(spark.range(1), str(tmp_path / "m"), 1)
 
 
-def test_values_that_do_not_fit_become_null(spark):
-    df = spark.createDataFrame([(123456.7,), (1.23456,)], "avg_power DOUBLE")
-    fitted = tables.fit_schema(df, stored_schema("hourly_consumption"))
-    assert [None if r[0] is None else float(r[0]) for r in fitted.collect()] == [None, 1.235]
+def test_values_that_do_not_fit(spark):
+    """Storing them fails; they can be set aside with the columns at fault."""
+    df = spark.createDataFrame([(1, 123456.7), (2, 1.23456), (3, None)], "household_id BIGINT, avg_power DOUBLE")
+    schema = stored_schema("hourly_consumption")
+    with pytest.raises(Exception, match="avg_power does not fit"):
+        tables.fit_schema(df, schema).collect()
+    good, rejected = tables.split_by_fit(df, schema)
+    stored = tables.fit_schema(good, schema).orderBy("household_id").collect()
+    assert [r["avg_power"] and float(r["avg_power"]) for r in stored] == [1.235, None]
+    assert [tuple(r) for r in rejected.collect()] == [(1, 123456.7, ["avg_power"])]
 
 
 def test_households_are_added_once(spark):

@@ -69,7 +69,7 @@ def _(spark, sf):
     table(spark, sf, "events").select(F.col("ts").cast("string").alias("timestamp"), "value").write.option(
         "header", True
     ).csv(path)
-    return logs.read_table(spark, path)
+    return logs.read_table(spark, path, numeric=["value"])
 
 
 @query("src5_first_rows", "SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 700")
