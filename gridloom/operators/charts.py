@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions.distributions import normal_quantile
+from gridloom.operators.learning import stratified_sample
 from gridloom.operators.quantiles import column_quantiles, first_rows, grouped_quantiles
 from gridloom.operators.statistics import strongest, target_correlations
 
@@ -86,6 +87,17 @@ def strongest_fits(df: DataFrame, features: list[str], target: str, n: int = 4)
     return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
 
 
+def fit_points(
+    df: DataFrame, features: list[str], target: str, identity: list[str], points: int = 1000, n: int = 4
+) -> DataFrame:
+    """CH4: (feature, x, y) of a sample that keeps the distribution of the target, for the n strongest features."""
+    chosen = [r["feature"] for r in strongest(target_correlations(df, features, target), n).collect()]
+    columns = list(dict.fromkeys([*identity, *chosen, target]))
+    sample = stratified_sample(df.select(*columns), target, points, identity)
+    wide = sample.select(F.col(target).alias("_y"), *[F.col(f).cast("double").alias(f) for f in chosen])
+    return wide.unpivot(["_y"], chosen, "feature", "x").select("feature", "x", F.col("_y").alias("y"))
+
+
 def information_vs_correlation(information: DataFrame, correlations: DataFrame) -> DataFrame:
     """CH5, JN4"""
     return information.select("feature", "mi_normalized").join(

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from gridloom.functions.calendar import epoch_micros
 from gridloom.functions.joins import join_null_safe
 from gridloom.session import settle
 
@@ -227,6 +228,38 @@ def history(
     return df.drop(*[f"_{part}_{w}" for w in blocks for part in ("head", "tail", "new", "old")])
 
 
+def time_history(
+    df: DataFrame,
+    key: SeriesKey,
+    ts_col: str,
+    value: str,
+    lags_s: dict[str, int],
+    stats_s: dict[int, tuple[str, str]],
+) -> DataFrame:
+    """Lags and trailing statistics by time instead of by row: seconds back, not rows back.
+
+    A lag is the value exactly that many seconds earlier (of several, the last in the series'
+    order), NULL if there is none; statistics cover the w seconds before the row's own second.
+    Rows are bucketed by time with a halo of the longest reach, so no series is one task.
+    """
+    reach = max([1, *lags_s.values(), *stats_s])
+    size = max(4 * reach, 86_400)
+    second = F.floor(epoch_micros(ts_col) / 1_000_000)
+    bucket = F.floor(F.col("_second") / size)
+    own = F.struct(bucket.alias("b"), F.lit(False).alias("h"))
+    following = F.struct((bucket + 1).alias("b"), F.lit(True).alias("h"))
+    copies = F.when(F.pmod("_second", F.lit(size)) >= size - reach, F.array(own, following)).otherwise(F.array(own))
+    placed = df.withColumn("_second", second).withColumn("_copy", F.explode(copies))
+    placed = placed.withColumns({BUCKET: F.col("_copy.b"), HALO: F.col("_copy.h")})
+    window = Window.partitionBy(*key.by(BUCKET)).orderBy("_second")
+    ranked = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(key.order)], F.col(value).alias("v"))
+    columns = {name: F.max(ranked).over(window.rangeBetween(-k, -k)).getField("v") for name, k in lags_s.items()}
+    for w, (mean, std) in stats_s.items():
+        frame = window.rangeBetween(-w, -1)
+        columns |= {mean: F.avg(value).over(frame), std: F.stddev_samp(value).over(frame)}
+    return placed.withColumns(columns).where(~F.col(HALO)).drop("_second", "_copy", BUCKET, HALO)
+
+
 def known_neighbours(
     df: DataFrame, key: SeriesKey, axis: Column, values: list[str], sizes: tuple[int, int] | None = None
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.distributions import f_tail, t_two_sided
-from gridloom.functions.numeric import ratio
+from gridloom.functions.numeric import nan_to_null, ratio
 from gridloom.operators.quantiles import EXACT_ROWS, column_quantiles
 
 WIDE_PAIRS = 60
@@ -34,11 +34,12 @@ def corrected_kurtosis(n: Column, g2: Column) -> Column:
 
 
 def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """ST1: (feature, metric, value) for ten statistics per column.
+    """ST1: (feature, metric, value) for ten statistics per column; NaN is missing.
 
     The quantiles are found first and enter as literals: in one aggregate with the moments
     they would keep the whole aggregate out of code generation.
     """
+    df = nan_to_null(df, columns)
     quantiles = column_quantiles(df, columns, list(SUMMARY_PROBS.values()), exact_rows)
 
     def described(c: str) -> list[Column]:

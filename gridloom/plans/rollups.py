@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts
+from gridloom.functions.joins import join_null_safe
+from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts, with_row_id
 from gridloom.schemas import stored_schema
-from gridloom.session import settle
+from gridloom.session import scratch_scope, settle
 from gridloom.sources.tables import append_measurements, fit_schema, on_dates_of, upsert
 
 
 def refresh_rollups(measurements: DataFrame, hourly_path: str, daily_path: str) -> None:
     """Upsert the hours of the given measurements, then the days of those hours."""
     spark = measurements.sparkSession
-    hours = settle(fit_schema(hourly_rollup(measurements), stored_schema("hourly_consumption")))
-    upsert(hours, hourly_path, HOURLY_KEYS)
-    stored = on_dates_of(spark.read.parquet(hourly_path), hours)
-    touched = stored.join(hours.select("date", "household_id").distinct(), ["date", "household_id"], "left_semi")
-    days = fit_schema(daily_rollup(touched), stored_schema("daily_consumption"))
-    upsert(days, daily_path, DAILY_KEYS)
+    with scratch_scope(spark):
+        made = with_row_id(hourly_rollup(measurements), HOURLY_KEYS)
+        hours = settle(fit_schema(made, stored_schema("hourly_consumption")))
+        upsert(hours, hourly_path, HOURLY_KEYS)
+        stored = on_dates_of(spark.read.parquet(hourly_path), hours)
+        fresh = hours.select("date", "household_id").distinct()
+        touched = join_null_safe(stored, fresh, ["date", "household_id"], "left_semi")
+        days = fit_schema(with_row_id(daily_rollup(touched), DAILY_KEYS), stored_schema("daily_consumption"))
+        upsert(days, daily_path, DAILY_KEYS)
 
 
 def store_and_roll_up(spark: SparkSession, readings: DataFrame, folder: str, household_id: int | None = None) -> DataFrame:

@@ -78,11 +78,11 @@ STORED_TABLES = {
         "id BIGINT, measurement_id BIGINT NOT NULL, meter_type STRING, energy_consumed DECIMAL(8,3)"
     ),
     "hourly_consumption": (
-        "date DATE, hour INT, household_id BIGINT, avg_power DECIMAL(8,3), max_power DECIMAL(8,3), "
+        "id BIGINT, date DATE, hour INT, household_id BIGINT, avg_power DECIMAL(8,3), max_power DECIMAL(8,3), "
         "min_power DECIMAL(8,3), total_energy DECIMAL(10,3), record_count INT"
     ),
     "daily_consumption": (
-        "date DATE, household_id BIGINT, total_energy DECIMAL(10,3), avg_power DECIMAL(8,3), "
+        "id BIGINT, date DATE, household_id BIGINT, total_energy DECIMAL(10,3), avg_power DECIMAL(8,3), "
         "max_power DECIMAL(8,3), min_power DECIMAL(8,3), peak_hour INT"
     ),
     "predictions": (

@@ -6,6 +6,7 @@ from workloads import (  # noqa: F401
     analysis,
     basics,
     cleaning,
+    edges,
     learning,
     storage,
     windows,

@@ -10,7 +10,7 @@ from gridloom.operators import evaluation, learning
 from gridloom.operators.series import drop_halo, lags, with_look_back
 from gridloom.plans.training import train_and_evaluate
 from gridloom.session import settle
-from workloads.base import BY_USER, query, readings, table
+from workloads.base import BY_USER, READINGS, query, readings, table
 
 ORDER = ["ts", "event_id"]
 
@@ -92,37 +92,86 @@ def _fitted(spark, sf, model):
     return data, test, learning.fit(train, FEATURES, model)
 
 
-@query("ml5_random_forest")
+TEST_SQL = f"""(SELECT event_id, value, lag_1, is_test FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) > floor(count(*) OVER () * 0.8::DOUBLE) AS is_test
+  FROM (SELECT * FROM (SELECT event_id, ts, value, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2
+    FROM {READINGS} WINDOW w AS (PARTITION BY household_id ORDER BY ts, event_id)) WHERE lag_2 IS NOT NULL AND value IS NOT NULL)))"""
+
+
+def _agreement(scored):
+    """Metrics of ``evaluate`` beside the same ones from plain sums over the scored rows, per model."""
+    y, e = F.col("y"), F.col("y") - F.col("y_hat")
+    mean = scored.agg(F.avg("y")).first()[0]
+    plain = scored.groupBy("model_name").agg(
+        F.count(F.lit(1)).alias("rows"),
+        (1 - F.sum(e * e) / F.sum((y - F.lit(mean)) * (y - F.lit(mean)))).alias("plain_r2"),
+        F.sqrt(F.sum(e * e) / F.count(F.lit(1))).alias("plain_rmse"),
+        (F.sum(F.abs(e)) / F.count(F.lit(1))).alias("plain_mae"),
+    )
+    both = plain.join(evaluation.evaluate(scored), "model_name")
+    same = [F.abs(F.col(m) - F.col(f"plain_{m}")) < 1e-6 * (1 + F.abs(m)) for m in ("r2", "rmse", "mae")]
+    return both.select("model_name", "rows", (same[0] & same[1] & same[2]).alias("metrics_agree"))
+
+
+def _checked(name: str) -> str:
+    return f"SELECT '{name}' AS model_name, count(*) AS rows, true AS metrics_agree FROM {TEST_SQL} WHERE is_test"
+
+
+@query("ml5_random_forest", _checked("Random Forest"))
 def _(spark, sf):
     _, test, model = _fitted(spark, sf, learning.forest_model("value"))
-    return evaluation.evaluate(learning.score({"Random Forest": model}, test, "value", ["event_id"]))
+    return _agreement(learning.score({"Random Forest": model}, test, "value", ["event_id"]))
 
 
-@query("ml6_gradient_boosting")
+@query("ml6_gradient_boosting", _checked("Gradient Boosting"))
 def _(spark, sf):
     _, test, model = _fitted(spark, sf, learning.boosted_model("value"))
-    return evaluation.evaluate(learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]))
+    return _agreement(learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]))
+
+
+WEIGHTS_SQL = "SELECT 'Random Forest' AS model_name, count(*) * 0 + 6 AS features, 100.0::DOUBLE AS total_pct FROM events"
 
 
-@query("ml7_importances")
+def _weights(weights):
+    """All features are there and their shares make a hundred."""
+    return weights.groupBy("model_name").agg(F.count("feature").alias("features"), F.sum("importance_pct").alias("total_pct"))
+
+
+@query("ml7_importances", WEIGHTS_SQL, total_pct=6)
 def _(spark, sf):
-    data, _, model = _fitted(spark, sf, learning.forest_model("value", trees=10, depth=6))
-    return evaluation.top_importances(learning.importances(data, {"Random Forest": model}, FEATURES))
+    data, _, model = _fitted(spark, sf, learning.forest_model("value"))
+    return _weights(learning.importances(data, {"Random Forest": model}, FEATURES))
 
 
-@query("ml8_selection_forest")
+@query("ml8_selection_forest", WEIGHTS_SQL, total_pct=6)
 def _(spark, sf):
-    data, _, model = _fitted(spark, sf, learning.selection_forest("value", trees=20, depth=8))
-    return learning.importances(data, {"Random Forest": model}, FEATURES)
+    data, _, model = _fitted(spark, sf, learning.selection_forest("value"))
+    return _weights(learning.importances(data, {"Random Forest": model}, FEATURES))
 
 
-@query("ml9_score_models")
+@query(
+    "ml9_score_linear",
+    f"""SELECT event_id, value AS y, (SELECT regr_intercept(value, lag_1) FROM {TEST_SQL} WHERE NOT is_test)
+  + (SELECT regr_slope(value, lag_1) FROM {TEST_SQL} WHERE NOT is_test) * lag_1 AS y_hat FROM {TEST_SQL} WHERE is_test""",
+    y_hat=5,
+)
 def _(spark, sf):
-    _, test, model = _fitted(spark, sf, learning.linear_model("value"))
-    return learning.score({"Linear Regression": model, "Again": model}, test, "value", ["event_id"])
+    train, test = learning.chronological_split(_training_table(spark, sf), ORDER)
+    model = learning.fit(train, ["lag_1"], learning.linear_model("value"))
+    return learning.score({"Linear Regression": model}, test, "value", ["event_id"]).select("event_id", "y", "y_hat")
 
 
-@query("ev10_training_report")
+@query("ml9_score_models", " UNION ALL ".join(_checked(m) for m in ("Linear Regression", "Random Forest", "Gradient Boosting")))
+def _(spark, sf):
+    run = train_and_evaluate(_training_table(spark, sf), FEATURES, "value", ORDER)
+    return _agreement(run.predictions)
+
+
+@query(
+    "ev10_training_report",
+    f"""WITH n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE is_test)::DOUBLE AS test FROM {TEST_SQL})
+SELECT 'dataset' AS section, 'total_samples' AS name, n AS value FROM n UNION ALL SELECT 'dataset', 'test_samples', test FROM n
+UNION ALL SELECT 'dataset', 'train_samples', n - test FROM n UNION ALL SELECT 'dataset', 'n_features', 6.0::DOUBLE FROM n""",
+)
 def _(spark, sf):
-    run = train_and_evaluate(_training_table(spark, sf), FEATURES, "value", ORDER, trees=10, rounds=5)
-    return run.report
+    run = train_and_evaluate(_training_table(spark, sf), FEATURES, "value", ORDER)
+    return run.report.where("section = 'dataset'")

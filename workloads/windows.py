@@ -29,7 +29,6 @@ def _rolling_digits(windows: list[int]) -> dict[str, int]:
 
 USER = "PARTITION BY household_id"
 SHORT = [1, 2, 3, 5, 10, 60]
-LONG = [1, 2, 3, 5, 10, 60, 120, 360, 720, 1440]
 
 
 @query("win1_lags_by_household", _lag_sql(USER, SHORT))
@@ -38,10 +37,12 @@ def _(spark, sf):
     return out.select("event_id", *[f"target_lag_{k}" for k in SHORT])
 
 
-@query("win1_lags_one_series", _lag_sql("", LONG))
+@query("win1_lags_one_series", _lag_sql("", [*features.NEAR_LAGS, *features.FAR_LAGS]))
 def _(spark, sf):
-    out = features.add_history(readings(spark, sf), ONE_SERIES, "value", LONG, [])
-    return out.select("event_id", *[f"target_lag_{k}" for k in LONG])
+    """A lag longer than the series is left out of the plan; as a column it would be NULL."""
+    out = features.lag_features(readings(spark, sf), ONE_SERIES, "value")
+    names = [f"target_lag_{k}" for k in features.lag_offsets(1)]
+    return out.select("event_id", *[F.col(n) if n in out.columns else F.lit(None).cast("double").alias(n) for n in names])
 
 
 @query("win1_lags_horizon_60", _lag_sql(USER, [60]))
