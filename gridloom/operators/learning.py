@@ -14,6 +14,7 @@ from gridloom.operators.association import inner_edges, quantile_bin
 from gridloom.operators.quantiles import before_row, column_quantiles, order_statistics, row_at
 
 SEED = 42
+MOST_TIED = 100_000
 
 
 def _hash_text(columns: list[str]) -> Column:
@@ -25,7 +26,8 @@ def stratified_sample(df: DataFrame, target: str, n: int, identity: list[str], b
 
     Each quantile bin gives the rows with the smallest identity hashes, as many as its
     share of n. The hash of the last row taken is an order statistic, so no bin is ever
-    sorted in one task; identical rows are counted rather than listed.
+    sorted in one task; identical rows are counted rather than listed. ``identity`` must tell
+    rows apart but for a few copies.
     """
     total = df.count()
     if total <= n:
@@ -50,6 +52,8 @@ def stratified_sample(df: DataFrame, target: str, n: int, identity: list[str], b
         return F.element_at(listed, F.col("_bin") + 1)
 
     found = {b: last[((b,), q - 1)] for b, q in quota.items()}
+    if any(f.equal > MOST_TIED for f in found.values()):
+        raise ValueError(f"{identity} is no identity: more than {MOST_TIED} rows of a bin share one value of it")
     border = per_bin({b: f.value for b, f in found.items()})
     if all(f.smaller + f.equal == quota[b] for b, f in found.items()):
         return binned.where(F.col("_hash") <= border).select(*df.columns)

@@ -119,8 +119,8 @@ def _in_parts(df: DataFrame, items: list, size: int, structs: Callable[..., list
 
 
 def _gramian_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
-    vectors = VectorAssembler(inputCols=columns, outputCol="v").transform(df.select(*columns))
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
+    vectors = VectorAssembler(inputCols=columns, outputCol="_vector").transform(df.select(*columns))
+    matrix = Correlation.corr(vectors.select("_vector"), "_vector").first()[0].toArray()
     constant = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in columns]).first()
     place = {c: i for i, c in enumerate(columns)}
     rows = [
