@@ -10,7 +10,7 @@ from gridloom.llm.base import Query, table
 from gridloom.llm.rows import named
 from gridloom.session import settle
 
-LEAST_LANGUAGE_SCORE = 0.5
+LEAST_LANGUAGE_SCORE = 0.35
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _columns(docs: DataFrame) -> list:
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no language, and those whose words agree on one by less than a half.
+    """Drop documents of no language, and those whose words lean to no language by ``LEAST_LANGUAGE_SCORE``.
 
     Learns from the documents' own non-null ``lang`` outside the held-out part; if there is none,
     nothing can be judged and every document stays.
