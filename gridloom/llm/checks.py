@@ -93,3 +93,19 @@ degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN classes ON node = vec_id LEFT JOIN degrees ON a = vec_id
 """
+
+REPEATED_BYTES = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+windows AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM texts, unnest(range(0, n - 49)) AS t(i) WHERE n >= 50),
+least AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+marked AS (SELECT doc_id, i FROM windows JOIN least USING (s) WHERE d < doc_id),
+gone AS (SELECT DISTINCT doc_id, k FROM marked, unnest(range(i, i + 50)) AS t(k)),
+spans AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < k - 1) AS n_spans
+  FROM (SELECT doc_id, k, lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM gone) GROUP BY doc_id),
+bytes AS (SELECT doc_id, k, substring(h, 2 * k + 1, 2) AS b FROM texts JOIN spans USING (doc_id), unnest(range(0, n)) AS t(k)),
+kept AS (SELECT doc_id, string_agg(b, '' ORDER BY k) AS h FROM bytes ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_removed IS NULL THEN t.h ELSE coalesce(k.h, '') END)) AS kept_sha256
+FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

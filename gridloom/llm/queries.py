@@ -44,7 +44,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination_digest(found).drop("spans")
 
 
-@query("op6_suffix_dedup")
+@query("op6_suffix_dedup", checks.REPEATED_BYTES)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
