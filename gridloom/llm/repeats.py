@@ -4,14 +4,15 @@ Every stretch (a window) has an anchor that depends on its content alone. Consec
 the same anchor travel as one packed string to the bucket of that anchor, where sorting brings equal
 windows together. What a window needs to know is only the least doc_id that holds it.
 
-Three shuffles: packed strings to buckets, marks of repeated windows to blocks of documents, and the
-documents to the same blocks. Rows of the first two are compressed blocks of arrays, so their number
-follows tasks times buckets and not windows.
+Two shuffles: packed strings to buckets, then marks of repeated windows together with the documents to
+blocks of documents. Rows are compressed blocks of arrays, so their number follows tasks times buckets
+and not windows.
 
 Skew. A task sends each distinct packed string once, for its least doc_id: copies in the same piece
-of input are resolved on the spot. An anchor found in more than ``HOT_SHARE`` of sampled documents is
-hot: its windows are sent one by one, to buckets by their own content, so that a passage shared by a
-third of all documents fills no bucket. The sample only chooses routes; results do not depend on it.
+of input are resolved on the spot. An anchor that would fill half a bucket by itself is hot: its windows
+are sent one by one, to buckets by their own content, so that a passage shared by a third of all
+documents fills no bucket. Hot anchors are found on a sample of documents, which only chooses routes;
+results do not depend on it.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
-from gridloom.llm.text import Rolling, byte_codes, flat_ranges, gather, joined, pieces, utf8, word_spans
+from gridloom.llm.text import Rolling, byte_codes, flat_ranges, gather, give_back, joined, pieces, utf8, word_spans
 
 WIDTH = 50
-PIECE_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20
-SLICES = 12
-BLOCK_BYTES = 4 << 20
+FLUSH_BYTES = 6 << 20
+BUCKET_BYTES = 12 << 20
+SLICES = 24
+BLOCK_BYTES = 2 << 20
 SAMPLE_DOCUMENTS = 20_000
-HOT_SHARE = 0.01
+SAMPLE_SHARE = 0.001
+ROWS_AT_ONCE = 16
 
 _NOT_SPACE = np.arange(256) != 0x20
 
@@ -48,16 +51,17 @@ class Symbols:
     ends: np.ndarray
     offsets: np.ndarray  # of the n+1 texts, in symbols
     codes: np.ndarray
+    bounds: np.ndarray  # of the n+1 texts, in bytes
 
 
 def _words_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Symbols:
     starts, ends, cuts = word_spans(data, offsets, _NOT_SPACE)
-    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(seed)[data], seed).stretches(starts, ends))
+    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(seed)[data], seed).stretches(starts, ends), offsets)
 
 
-def _bytes_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Symbols:
-    place = np.arange(len(data))
-    return Symbols(data, place, place + 1, offsets, byte_codes(seed)[data])
+def _bytes_of(data: np.ndarray, offsets: np.ndarray) -> Symbols:
+    place = np.arange(len(data) + 1, dtype=np.int32 if len(data) < 2**31 - 1 else np.int64)
+    return Symbols(data, place[:-1], place[1:], offsets, byte_codes(0)[data], offsets)
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -72,7 +76,10 @@ class Method:
     normalise: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     symbols: Callable[..., Symbols]
     anchors: Callable[[Rolling, int], np.ndarray]  # by window start, for windows of a width
+    places: Callable[[Symbols, np.ndarray, int], np.ndarray]  # order of windows that may be equal, by start
     growth: float  # packed bytes for each byte of text, roughly
+    string_bytes: int  # bytes of a packed string, roughly
+    piece_bytes: int  # text worked on at a time
 
 
 def as_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,11 +93,13 @@ def unchanged(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _pack(arrays: list[np.ndarray], text: np.ndarray | None = None) -> bytes:
+    """Arrays of one length, the first as differences, and a text after them."""
     parts = [np.array([len(arrays[0]), 0 if text is None else len(text)], np.int64).tobytes()]
-    parts += [a.tobytes() for a in arrays]
+    parts.append(np.diff(arrays[0], prepend=arrays[0].dtype.type(0)).tobytes())
+    parts += [a.tobytes() for a in arrays[1:]]
     if text is not None:
         parts.append(text.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
@@ -100,6 +109,7 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     for kind in kinds:
         out.append(np.frombuffer(raw, kind, n, at))
         at += n * np.dtype(kind).itemsize
+    out[0] = np.cumsum(out[0])
     return [*out, np.frombuffer(raw, np.uint8, size, at)]
 
 
@@ -107,6 +117,13 @@ _PACKED = [np.int64, np.int32, np.int32, np.int32, np.uint8]  # doc_id, first wi
 _MARKS = [np.int64, np.int32, np.int32]  # doc_id, first window, windows
 
 
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    kinds = [pa.int32()] * (len(columns) - 1) + [pa.binary()]
+    names = ["bucket", "block", "blob"][-len(columns) :]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
 @dataclass
 class _Runs:
     """Windows [at, at + count) of a text that share an anchor; ``at`` counts symbols of the piece."""
@@ -116,9 +133,10 @@ class _Runs:
     anchor: np.ndarray
     doc: np.ndarray
     first: np.ndarray  # symbol where the text begins
+    content: np.ndarray  # hash of all symbols of the windows
 
     def take(self, which: np.ndarray) -> _Runs:
-        return _Runs(self.at[which], self.count[which], self.anchor[which], self.doc[which], self.first[which])
+        return _Runs(*(x[which] for x in vars(self).values()))
 
     def marks(self) -> list[np.ndarray]:
         return [self.doc, (self.at - self.first).astype(np.int32), self.count.astype(np.int32)]
@@ -130,27 +148,32 @@ def _runs(symbols: Symbols, rolling: Rolling, ids: np.ndarray, known: np.ndarray
     at = flat_ranges(symbols.offsets[:-1], windows)
     if not len(at):
         none = np.zeros(0, np.int64)
-        return _Runs(none, none, none.astype(np.uint64), none, none)
+        return _Runs(none, none, none.astype(np.uint64), none, none, none.astype(np.uint64))
     anchor = method.anchors(rolling, width)[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     new[np.cumsum(windows)[:-1][windows[1:] > 0]] = True
     begin = np.flatnonzero(new)
     row = np.searchsorted(symbols.offsets, at[begin], "right") - 1
-    return _Runs(at[begin], np.diff(np.append(begin, len(at))), anchor[begin], ids[row], symbols.offsets[row])
+    count = np.diff(np.append(begin, len(at)))
+    content = rolling.stretches(at[begin], at[begin] + count + width - 1)
+    return _Runs(at[begin], count, anchor[begin], ids[row], symbols.offsets[row], content)
 
 
-def _once(runs: _Runs, rolling: Rolling, width: int) -> tuple[_Runs, _Runs]:
-    """Those that hold the least doc_id of their content, and the others, whose windows all repeat."""
-    if not len(runs.at):
-        return runs, runs
-    content = rolling.stretches(runs.at, runs.at + runs.count + width - 1)
-    order = np.lexsort((runs.doc, runs.anchor, content))
+def _repeats_earlier(doc: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which strings also stand in a smaller doc_id among these; all their windows repeat."""
+    order = np.lexsort((doc, anchor, content))
     new = np.ones(len(order), bool)
-    new[1:] = (content[order[1:]] != content[order[:-1]]) | (runs.anchor[order[1:]] != runs.anchor[order[:-1]])
-    least = runs.doc[order][new][np.cumsum(new) - 1]
+    new[1:] = (content[order[1:]] != content[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
     later = np.zeros(len(order), bool)
-    later[order] = runs.doc[order] > least
+    if len(order):
+        later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    return later
+
+
+def _once(runs: _Runs) -> tuple[_Runs, _Runs]:
+    """Those that hold the least doc_id of their content, and the others."""
+    later = _repeats_earlier(runs.doc, runs.anchor, runs.content)
     return runs.take(~later), runs.take(later)
 
 
@@ -158,7 +181,8 @@ def _one_by_one(runs: _Runs, rolling: Rolling, width: int) -> _Runs:
     """Each window as a run of its own, with its content as its anchor."""
     at = flat_ranges(runs.at, runs.count)
     each = lambda x: np.repeat(x, runs.count)
-    return _Runs(at, np.ones(len(at), np.int64), rolling.stretches(at, at + width), each(runs.doc), each(runs.first))
+    content = rolling.stretches(at, at + width)
+    return _Runs(at, np.ones(len(at), np.int64), content, each(runs.doc), each(runs.first), content)
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -188,47 +212,73 @@ def _block_column(doc: str, text: str, blocks: int) -> Column:
 
 def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", PIECE_BYTES):
+        held, size = [], 0
+        for batch in pieces(batches, "_text", method.piece_bytes):
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
             rolling = Rolling(symbols.codes, 1)
-            runs, repeated = _once(_runs(symbols, rolling, ids, known, method, width), rolling, width)
+            runs, repeated = _once(_runs(symbols, rolling, ids, known, method, width))
             marks = [repeated.marks()]
             if len(hot):
                 is_hot = np.isin(runs.anchor, hot)
                 if is_hot.any():
-                    single, repeated = _once(_one_by_one(runs.take(is_hot), rolling, width), rolling, width)
+                    single, repeated = _once(_one_by_one(runs.take(is_hot), rolling, width))
                     marks.append(repeated.marks())
                     runs = runs.take(~is_hot)
                     runs = _Runs(*(np.concatenate(x) for x in zip(vars(runs).values(), vars(single).values())))
-            out: list[tuple[int, int, bytes]] = []
-            bucket = (runs.anchor % np.uint64(buckets)).astype(np.int64)
-            part = (runs.anchor // np.uint64(buckets) % np.uint64(SLICES)).astype(np.int64)
-            order = np.lexsort((part, bucket))
-            runs, bucket, part = runs.take(order), bucket[order], part[order]
             begin, end = symbols.starts[runs.at], symbols.ends[runs.at + runs.count + width - 2]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            columns = [*runs.marks(), (end - begin).astype(np.int32), part.astype(np.uint8)]
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-                if b > a:
-                    text = gather(symbols.data, begin[a:b], end[a:b])
-                    out.append((int(bucket[a]), -1, _pack([x[a:b] for x in columns], text)))
-            marks = [np.concatenate(x) for x in zip(*marks)]
-            out += [(block % buckets, block, _pack(x)) for block, x in _grouped(_block_of(marks[0], blocks), marks)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))],
-                    names=["bucket", "block", "blob"],
-                )
+            held.append((symbols.data, begin.astype(np.int64) + size, end.astype(np.int64) + size, runs.content, runs.anchor, *runs.marks(), marks))
+            size += len(symbols.data)
+            if size >= FLUSH_BYTES:
+                yield from flush(held)
+                held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
+        texts, *columns, marks = zip(*held)
+        data = np.concatenate(texts)
+        columns = [np.concatenate(c) for c in columns]
+        content, anchor, doc = columns[2:5]
+        later = _repeats_earlier(doc, anchor, content)
+        marks = [*(m for each in marks for m in each), [c[later] for c in columns[4:]]]
+        begin, end, _, anchor, doc, first, count = (c[~later] for c in columns)
+        bucket = (anchor % np.uint64(buckets)).astype(np.int64)
+        part = (anchor // np.uint64(buckets) % np.uint64(SLICES)).astype(np.uint8)
+        order = np.lexsort((part, bucket))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+        out: list[tuple[int, int, bytes]] = []
+        for b, (i, k) in enumerate(zip(cuts, cuts[1:])):
+            if k > i:
+                own = order[i:k]
+                text = gather(data, begin[own], end[own])
+                out.append((b, -1, _pack([doc[own], first[own], count[own], (end - begin)[own].astype(np.int32), part[own]], text)))
+        joint = [np.concatenate(x) for x in zip(*marks)]
+        out += [(block % buckets, block, _pack(x)) for block, x in _grouped(_block_of(joint[0], blocks), joint)]
+        for i in range(0, len(out), ROWS_AT_ONCE):
+            yield _blobs(out[i : i + ROWS_AT_ONCE])
+        give_back()
 
     return run
 
 
-def repeated_windows(symbols: Symbols, second: np.ndarray, count: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def by_second_print(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
+    """A second fingerprint, of other codes."""
+    again = _words_of(symbols.data, symbols.bounds, 2)
+    return Rolling(again.codes, 2).every(width)[at]
+
+
+def by_bytes(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
+    """The rank of each suffix among those given, in lexicographic order of its first ``width`` bytes."""
+    suffixes = np.lib.stride_tricks.sliding_window_view(symbols.data, width)[at].reshape(-1).view(f"S{width}")
+    return np.unique(suffixes, return_inverse=True)[1]
+
+
+def repeated_windows(symbols: Symbols, method: Method, count: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For packed strings: which window of which string repeats one of a smaller doc_id.
 
-    Windows are sorted by a 64-bit fingerprint; those that meet another one are told apart by a
-    second fingerprint of other codes (128 bits together) and compared with the least doc_id.
+    Windows are sorted by a 64-bit fingerprint. Those that meet another one are sorted again by
+    ``method.places``, so that equal ones stand together, and compared with the least doc_id.
     """
     at = flat_ranges(symbols.offsets[:-1], count)
     owner = np.repeat(np.arange(len(count)), count)
@@ -243,7 +293,7 @@ def repeated_windows(symbols: Symbols, second: np.ndarray, count: np.ndarray, do
     if not len(chosen):
         return chosen, chosen
     one = print_[chosen]
-    two = Rolling(second, 2).every(width)[at[chosen]]
+    two = method.places(symbols, at[chosen], width)
     docs = doc[owner[chosen]]
     by = np.lexsort((docs, two, one))
     new = np.ones(len(by), bool)
@@ -257,13 +307,13 @@ def _settle_bucket(method: Method, width: int, blocks: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_pylist()
         blobs = table.column("blob").to_pylist()
-        out = [(b, blob) for b, blob in zip(block, blobs) if b >= 0]
+        out = [(b, b"M" + blob) for b, blob in zip(block, blobs) if b >= 0]
         packed = [_unpack(blob, _PACKED) for b, blob in zip(block, blobs) if b < 0]
         marks = []
         for part in range(SLICES if packed else 0):
             docs, firsts, counts, texts, sizes = [], [], [], [], []
             for doc, first, count, size, slice_, text in packed:
-                a, b = np.searchsorted(slice_, [part, part + 1]).tolist()
+                a, b = np.searchsorted(slice_, np.array([part, part + 1], np.uint8)).tolist()
                 if b > a:
                     begin = int(size[:a].sum(dtype=np.int64))
                     sizes.append(size[a:b].astype(np.int64))
@@ -275,7 +325,7 @@ def _settle_bucket(method: Method, width: int, blocks: int):
             data = np.concatenate(texts)
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
             symbols = method.symbols(data, offsets)
-            owner, place = repeated_windows(symbols, method.symbols(data, offsets, 2).codes, count, doc, width)
+            owner, place = repeated_windows(symbols, method, count, doc, width)
             if len(owner):
                 new = np.ones(len(owner), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
@@ -285,8 +335,9 @@ def _settle_bucket(method: Method, width: int, blocks: int):
                 marks.append([doc[o], (first[o] + place[begin]).astype(np.int32), length.astype(np.int32)])
         if marks:
             joint = [np.concatenate(x) for x in zip(*marks)]
-            out += [(b, _pack(x)) for b, x in _grouped(_block_of(joint[0], blocks), joint)]
+            out += [(b, b"M" + _pack(x)) for b, x in _grouped(_block_of(joint[0], blocks), joint)]
         rows = list(zip(*out)) if out else [[], []]
+        give_back()
         return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["block", "blob"])
 
     return run
@@ -310,24 +361,55 @@ def _covered(symbols_offsets: np.ndarray, ids: np.ndarray, known: np.ndarray, bl
     return np.cumsum(edges[:-1]) > 0
 
 
-def _finish(method: Method, width: int, result: Callable[[Symbols, np.ndarray], list[pa.Array]], names: list[str]):
-    def run(documents: pa.Table, marks: pa.Table) -> pa.Table:
-        batch = documents.combine_chunks()
-        batch = batch.to_batches()[0] if batch.num_rows else pa.RecordBatch.from_pylist([], batch.schema)
+def _ship_documents(blocks: int):
+    """Documents to their blocks, many in one compressed row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "_text", FLUSH_BYTES):
+            block = batch.column("_block").to_numpy()
+            out = []
+            for b, (rows,) in _grouped(block, [np.arange(len(block))]):
+                sink = pa.BufferOutputStream()
+                part = batch.take(pa.array(rows))
+                with pa.ipc.new_stream(sink, part.schema) as writer:
+                    writer.write_batch(part)
+                out.append((b, b"D" + zstandard.ZstdCompressor(level=3).compress(sink.getvalue())))
+            yield _blobs(out)
+
+    return run
+
+
+def _read_documents(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob[1:])).read_all()
+
+
+def _finish(method: Method, width: int, result: Callable[[Symbols, np.ndarray], list[pa.Array]], schema: pa.Schema):
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("blob").to_pylist()
+        documents = [_read_documents(b) for b in blobs if b[:1] == b"D"]
+        batches = pa.concat_tables(documents).combine_chunks().to_batches() if documents else []
+        if not batches:
+            return schema.empty_table()
+        (batch,) = batches
         ids, known = _documents(batch)
         symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
-        gone = _covered(symbols.offsets, ids, known, marks.column("blob").to_pylist(), width)
-        return pa.table([batch.column(ROW), *result(symbols, gone)], names=[ROW, *names])
+        gone = _covered(symbols.offsets, ids, known, [b[1:] for b in blobs if b[:1] == b"M"], width)
+        made = pa.table([batch.column(ROW), *result(symbols, gone)], names=schema.names)
+        give_back()
+        return made
 
     return run
 
 
 def _hot_anchors(source: DataFrame, rows: int, method: Method, width: int) -> np.ndarray:
-    """Anchors of more than ``HOT_SHARE`` of the sampled documents; a document has few, so there are few."""
-    step = max(1, rows // SAMPLE_DOCUMENTS)
+    """Anchors whose packed strings, by the sampled documents, fill half a bucket; so at most two a bucket."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(rows, 1)))
+    least = BUCKET_BYTES // 2 // method.string_bytes
+    if rows <= least:  # not even an anchor of all documents would
+        return np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", PIECE_BYTES):
+        for batch in pieces(batches, "_text", method.piece_bytes):
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
             runs = _runs(symbols, Rolling(symbols.codes, 1), ids, known, method, width)
@@ -338,10 +420,10 @@ def _hot_anchors(source: DataFrame, rows: int, method: Method, width: int) -> np
             anchor, documents = np.unique(runs.anchor[order[once]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(documents.astype(np.int64))], names=["anchor", "n"])
 
-    sampled = source.filter(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0) if step > 1 else source
+    sampled = source.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     counts = sampled.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    least = max(20, int(HOT_SHARE * rows / step))
-    return np.array([r[0] for r in counts.filter(F.col("n") > least).select("anchor").collect()], np.int64).view(np.uint64)
+    hot = counts.filter(F.col("n") > max(3, int(share * least))).select("anchor").collect()
+    return np.array([r[0] for r in hot], np.int64).view(np.uint64)
 
 
 def remove_repeats(
@@ -370,8 +452,9 @@ def remove_repeats(
     sent = source.mapInArrow(_send(method, width, buckets, blocks, hot), "bucket int, block int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_settle_bucket(method, width, blocks), "block int, blob binary")
 
-    places = with_row(documents, keep, _id=named(doc_id).cast("long"), _text=named(text))
-    placed = places.withColumn("_block", _block_column("_id", "_text", blocks))
-    out = row_schema(places, schema)
-    pair = placed.groupBy("_block").cogroup(marks.groupBy("block"))
-    return opened(pair.applyInArrow(_finish(method, width, result, out.names[1:]), out))
+    placed = with_row(documents, keep, _id=named(doc_id).cast("long"), _text=named(text))
+    out = row_schema(placed, schema)
+    placed = placed.withColumn("_block", _block_column("_id", "_text", blocks))
+    shipped = placed.mapInArrow(_ship_documents(blocks), "block int, blob binary")
+    finish = _finish(method, width, result, to_arrow_schema(out))
+    return opened(shipped.unionByName(marks).groupBy("block").applyInArrow(finish, out))

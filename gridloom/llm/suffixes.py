@@ -4,8 +4,9 @@ A rolling hash over ``TRIGGER_BYTES`` bytes that is divisible by ``TRIGGER_PERIO
 triggers cut each text into phrases; where a trigger falls depends on the bytes there alone, so equal
 passages fall into equal phrases. A phrase is shipped with the bytes that its last windows reach
 into (the head of the parse after it), to the bucket of the trigger that ends it. Each task ships its
-dictionary of distinct phrases only. The bucket orders the suffixes of all its phrases and reads off,
-for each, the least document that holds its first ``width`` bytes.
+dictionary of distinct phrases only. The bucket sets aside the suffixes that occur once, by a
+fingerprint, sorts the others of all its phrases and their parse by their bytes, and reads off, for
+each, the least document that holds its first ``width`` bytes.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.repeats import WIDTH, Method, Symbols, _bytes_of, remove_repeats, unchanged
+from gridloom.llm.repeats import WIDTH, Method, Symbols, _bytes_of, by_bytes, remove_repeats, unchanged
 from gridloom.llm.text import Rolling, least_in_windows
 
-TRIGGER_BYTES = 12
-TRIGGER_PERIOD = 24
+TRIGGER_BYTES = 8
+TRIGGER_PERIOD = 48
 
 
 def phrase_ends(rolling: Rolling, width: int) -> np.ndarray:
@@ -36,7 +37,7 @@ def phrase_ends(rolling: Rolling, width: int) -> np.ndarray:
     return np.where(inside, hashes[np.minimum(following, len(hashes) - 1)], least)
 
 
-PHRASES = Method(unchanged, _bytes_of, phrase_ends, growth=3.6)
+PHRASES = Method(unchanged, _bytes_of, phrase_ends, by_bytes, growth=3.3, string_bytes=72, piece_bytes=1 << 19)
 
 KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 

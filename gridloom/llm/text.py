@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -10,7 +11,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 2 << 20
-_MASK = (1 << 64) - 1
+
+
+def give_back() -> None:
+    """Return freed memory to the system between pieces, where the C library can; idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
