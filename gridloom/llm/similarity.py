@@ -36,9 +36,9 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RUNS = 12
 BINS = 64
-LEAF = 64
+LEAF = 1_024
 LOCAL = 24
-PIVOTS = 16
+PIVOTS = 32
 COARSE = 0.45
 CLOSE = 0.78
 MOST_STEPS = 40
@@ -182,11 +182,16 @@ class _Bucket:
             self.rep, self.sketch = self.rep[:PIVOTS], self.sketch[:PIVOTS]
             self.large = True
         alike = agreement(sketch, self.sketch)
-        best = alike.argmax(axis=1)
-        level = alike[np.arange(len(best)), best]
-        i, k = np.nonzero(alike >= COARSE)
-        apart = rep[i] != self.rep[k]
-        self.links.append((rep[i[apart]], self.rep[k[apart]]))
+        level = alike.max(axis=1)
+        agrees = alike >= COARSE
+        linked = agrees.any(axis=1)
+        # one link for each class, to the first pivot it agrees with, which is mostly the same on all
+        # paths; and those between pivots that a class agrees with
+        first = agrees.argmax(axis=1)
+        i, k = np.nonzero(agrees)
+        ends = np.unique(np.stack((self.rep[first[i]], self.rep[k])), axis=1)
+        a, b = np.concatenate((rep[linked], ends[0])), np.concatenate((self.rep[first[linked]], ends[1]))
+        self.links.append((a[a != b], b[a != b]))
         on = (level < CLOSE) | np.isin(rep, self.rep)
         rep, sketch = rep[on], sketch[on]
         i, j = np.nonzero(sketch)

@@ -141,6 +141,21 @@ def test_large_groups_of_near_copies(spark):
     assert found == similarity.brute_force(rows)
 
 
+def test_more_near_copies_than_a_leaf(spark):
+    """Every copy has one word changed, so it is similar to the base text, and all are one class."""
+    base = prose(60, 9).split()
+    rows = [(7, " ".join(base))]
+    for i in range(similarity.LEAF + 200):
+        copy = list(base)
+        copy[5 + i % 50] = f"other{i}"
+        rows.append((i + 10, " ".join(copy)))
+    rows += [(i + 5_000, prose(60)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = by_id(similarity.similar_documents(df), "class_id", "n_links")
+    assert {d: c for d, (c, _) in found.items()} == {d: 7 if d < 5_000 else d for d, _ in rows}
+    assert all(n > 0 for d, (_, n) in found.items() if d < 5_000)
+
+
 def test_large_clusters_keep_their_classes(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MOST_IN_UNIT", 20)
     rows = near_copies(120)
