@@ -31,9 +31,9 @@ from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import Rolling, byte_codes, flat_ranges, gather, give_back, joined, pieces, utf8, word_spans
 
 WIDTH = 50
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
-SLICES = 24
+SLICES = 48
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_SHARE = 0.001
