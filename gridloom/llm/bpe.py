@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
-from gridloom.llm.text import flat_ranges, pieces, utf8
+from gridloom.llm.text import flat_ranges, give_back, pieces, utf8
 
-CORPUS_BYTES = 16 << 20
-KNOWN_WORDS = 1 << 20
+CORPUS_BYTES = 8 << 20
+KNOWN_WORDS = 1 << 19
 
 
 class Vocabulary:
@@ -137,6 +137,14 @@ def _split(pattern: str):
     return regex.compile(pattern).findall
 
 
+class _Places(dict):
+    """A number for each word, in the order in which words appear."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        return place
+
+
 class Encoder:
     """Encodes stretches of corpus; keeps the ids of a bounded number of words between them."""
 
@@ -145,30 +153,27 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.starts = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.place) > KNOWN_WORDS:
-            self._forget()
-        fresh = [w for w in words if w not in self.place]
-        if not fresh:
-            return
-        ids, counts = replay_merges([w.encode() for w in fresh], self.vocabulary)
-        first = len(self.place)
-        self.place.update(zip(fresh, range(first, first + len(fresh))))
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+    def _learn(self) -> None:
+        """Token ids of the words numbered since the last time."""
+        fresh = list(islice(self.place, len(self.starts) - 1, None))
+        if fresh:
+            ids, counts = replay_merges([w.encode() for w in fresh], self.vocabulary)
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and the n+1 offsets of the texts in them."""
-        words = [self.split(t) for t in texts]
-        distinct = set().union(*words) if words else set()
-        self._learn(distinct)
-        find = self.place.__getitem__
-        counts = np.array([len(w) for w in words], np.int64)
-        places = np.fromiter(map(find, chain.from_iterable(words)), np.int64, int(counts.sum()))
+        if len(self.place) > KNOWN_WORDS:
+            self._forget()
+        number = self.place.__getitem__
+        each = [np.fromiter(map(number, self.split(t)), np.int32) for t in texts]
+        self._learn()
+        places = np.concatenate([np.zeros(0, np.int32), *each])
+        counts = np.array([len(x) for x in each], np.int64)
         sizes = self.starts[places + 1] - self.starts[places]
         ids = self.ids[flat_ranges(self.starts[places], sizes)]
         word_ends = np.concatenate(([0], np.cumsum(sizes)))
@@ -188,7 +193,7 @@ def encode_documents(
 
     ``vocabulary`` is a text table of rank lines (base64 of the bytes, rank), read by
     ``read_vocabulary``; it is broadcast, and its size does not depend on the documents. Each match
-    of ``pattern`` is encoded on its own, without special tokens. A task takes about 16 MB of text
+    of ``pattern`` is encoded on its own, without special tokens. A task takes about 8 MB of text
     at a time and replays the merges over its distinct words, so no shuffle is needed and memory
     does not grow with the input.
 
@@ -220,6 +225,7 @@ def encode_documents(
             if with_ids:
                 arrays.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(arrays, names=[ROW, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+            give_back()
 
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     source = with_row(documents, keep, _text=named(text))
