@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
-from gridloom.llm.text import utf8
+from gridloom.llm.text import pieces, utf8
 
 WINDOW = 13
 MOST_BENCHMARK_BYTES = 16 << 20
@@ -81,7 +81,7 @@ FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start
 def _scan(lookup):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lookup.value
-        for batch in batches:
+        for batch in pieces(batches, "_text"):
             data, offsets = utf8(batch.column("_text"))
             raw = data.tobytes()
             counts, hits, items, spans = [], [], [], []

@@ -14,7 +14,7 @@ from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import Rolling, byte_codes, flat_ranges, joined, pieces, utf8, word_spans
 
 UNDETERMINED = "und"
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
 FEATURES = 1 << 17
 SAMPLE_DOCUMENTS = 800  # of each language
 SAMPLE_CHARS = 1_500  # of each of them, from a place chosen by a hash
@@ -35,7 +35,7 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     data, offsets = joined([f"^{w.lower()}$".encode() for w in words])
     sizes = np.diff(offsets)
-    rolling = Rolling(byte_codes(5)[data], 5)
+    rolling = Rolling(byte_codes(5)[data])
     numbers, owners = [], []
     word = np.arange(len(words))
 
@@ -225,7 +225,7 @@ def predict(documents: DataFrame, model: Model, *, text: str = "text", keep: tup
                 found, score = [UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows)
             else:
                 raw = data.tobytes()
-                content = Rolling(byte_codes(6)[data], 6).stretches(starts, ends)
+                content = Rolling(byte_codes(6)[data]).stretches(starts, ends)
                 _, first, inverse = np.unique(content, return_index=True, return_inverse=True)
                 words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist())]
                 letters = np.array([any(map(str.isalpha, w)) for w in words])

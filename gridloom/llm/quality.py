@@ -43,7 +43,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     cuts = np.searchsorted(starts, offsets)
     if not len(starts):
         return np.zeros(0, np.int64), cuts
-    token = Rolling(byte_codes(7)[data], 7).stretches(starts, ends)
+    token = Rolling(byte_codes(7)[data]).stretches(starts, ends)
     kind = _SHAPE[data]
     shape = kind[starts].astype(np.uint64) << np.uint64(16) | kind[ends - 1].astype(np.uint64) << np.uint64(8)
     shape = mix(shape | np.minimum(ends - starts, 8).astype(np.uint64))

@@ -56,7 +56,7 @@ class Symbols:
 
 def _words_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Symbols:
     starts, ends, cuts = word_spans(data, offsets, _NOT_SPACE)
-    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(seed)[data], seed).stretches(starts, ends), offsets)
+    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(seed)[data]).stretches(starts, ends), offsets)
 
 
 def _bytes_of(data: np.ndarray, offsets: np.ndarray) -> Symbols:
@@ -216,7 +216,7 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
         for batch in pieces(batches, "_text", method.piece_bytes):
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
-            rolling = Rolling(symbols.codes, 1)
+            rolling = Rolling(symbols.codes)
             runs, repeated = _once(_runs(symbols, rolling, ids, known, method, width))
             marks = [repeated.marks()]
             if len(hot):
@@ -265,7 +265,7 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
 def by_second_print(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
     """A second fingerprint, of other codes."""
     again = _words_of(symbols.data, symbols.bounds, 2)
-    return Rolling(again.codes, 2).every(width)[at]
+    return Rolling(again.codes).every(width)[at]
 
 
 def by_bytes(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
@@ -282,7 +282,7 @@ def repeated_windows(symbols: Symbols, method: Method, count: np.ndarray, doc: n
     """
     at = flat_ranges(symbols.offsets[:-1], count)
     owner = np.repeat(np.arange(len(count)), count)
-    print_ = Rolling(symbols.codes, 1).every(width)[at]
+    print_ = Rolling(symbols.codes).every(width)[at]
     order = np.argsort(print_)
     ordered = print_[order]
     same = ordered[1:] == ordered[:-1]
@@ -412,7 +412,7 @@ def _hot_anchors(source: DataFrame, rows: int, method: Method, width: int) -> np
         for batch in pieces(batches, "_text", method.piece_bytes):
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
-            runs = _runs(symbols, Rolling(symbols.codes, 1), ids, known, method, width)
+            runs = _runs(symbols, Rolling(symbols.codes), ids, known, method, width)
             order = np.lexsort((runs.anchor, runs.first))
             once = np.ones(len(order), bool)
             once[1:] = np.diff(runs.first[order]) != 0

@@ -56,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORD
     counts = np.where(words > 0, np.maximum(words - size + 1, 1), 0)
     at = flat_ranges(symbols.offsets[:-1], counts)
     owner = np.repeat(np.arange(len(words)), counts)
-    found = Rolling(symbols.codes, 3).stretches(at, np.minimum(at + size, symbols.offsets[owner + 1]))
+    found = Rolling(symbols.codes).stretches(at, np.minimum(at + size, symbols.offsets[owner + 1]))
     order = np.lexsort((found, owner))
     found, owner = found[order], owner[order]
     new = np.ones(len(found), bool)

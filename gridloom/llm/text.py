@@ -23,6 +23,7 @@ def give_back() -> None:
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``most`` bytes in each piece (one row at least)."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -31,6 +32,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        give_back()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,12 +75,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _base(seed: int) -> tuple[int, int]:
-    base = int(mix(np.array([2 * seed + 1], np.uint64))[0]) | 5
-    return base, pow(base, -1, 1 << 64)
-
-
+# One odd base for all sums, so that a worker keeps two tables of its powers; seeds choose the codes.
+_BASE = int(mix(np.array([3], np.uint64))[0]) | 5
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -89,7 +88,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         known = np.full(size, base, np.uint64)
         known[0] = 1
         known = np.cumprod(known, dtype=np.uint64)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _POWERS[base] = known
     return known[:n]
 
@@ -106,12 +105,11 @@ class Rolling:
     One running sum serves every stretch: a stretch costs a subtraction and a product.
     """
 
-    def __init__(self, codes: np.ndarray, seed: int = 0):
-        base, inverse = _base(seed)
+    def __init__(self, codes: np.ndarray):
         self.n = len(codes)
-        self.up = _powers(base, self.n + 1)
+        self.up = _powers(_BASE, self.n + 1)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(codes * _powers(inverse, self.n), dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(codes * _powers(_INVERSE, self.n), dtype=np.uint64, out=self.sums[1:])
 
     def stretches(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.up[starts])
