@@ -7,7 +7,8 @@
 3. Classes on one path meet in a bucket. Up to ``LEAF`` of them are compared pair by pair; a larger
    bucket is read once, compared with a few pivots, and what is not close to one of them goes on to
    longer paths. Classes whose sketches agree enough are coarsely linked.
-4. Components of coarse links are compared exactly, on whole shingle sets.
+4. Components of coarse links are compared exactly, on whole shingle sets, all pairs; large ones part
+   against part.
 
 Chance of meeting: a pair at the threshold shares one chosen token a run on average, and meets with
 chance 0.63 on the first step, 0.47 after two and 0.37 after three; over 12 runs 0.99999, 0.9995 and
@@ -20,10 +21,11 @@ agrees with in 0.78; Jaccard distance is a metric, so whatever links to that cla
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.llm.components import connected_components
 from gridloom.llm.repeats import _words_of, as_lines
@@ -43,7 +45,8 @@ COARSE = 0.45
 CLOSE = 0.78
 MOST_STEPS = 40
 MOST_IN_UNIT = 400
-MOST_TURNS = 1_000
+MOST_IN_PART = 1_000
+SHINGLES_IN_PART = 500_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -335,69 +338,107 @@ def _verify(similarity: float):
     return run
 
 
-def _each_once(table: pa.Table) -> pa.Table:
-    return table.take(pa.array(np.unique(table.column("rep").to_numpy(), return_index=True)[1]))
+def _shared_by_parts(x: np.ndarray, of_x: np.ndarray, a: int, y: np.ndarray, of_y: np.ndarray, b: int) -> np.ndarray:
+    """How many hashes each of ``a`` sets shares with each of ``b`` others, from the hashes and their sets.
 
-
-def _against_pivots(similarity: float):
-    """Members of one part of a large cluster against all pivots of the cluster."""
-
-    def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
-        members, pivots = _each_once(members), _each_once(pivots)
-        rep, copies = members.column("rep").to_numpy(), members.column("copies").to_numpy()
-        to, to_copies = pivots.column("rep").to_numpy(), pivots.column("copies").to_numpy()
-        alike = _shared(_sets(members.column("text")), _sets(pivots.column("text")))
-        alike[rep[:, None] == to[None, :]] = 0
-        linked = alike >= similarity
-        # a pivot's links come from the members, those among pivots from the pivots as members
-        links = np.where(np.isin(rep, to), 0, linked @ to_copies)
-        i, k = np.nonzero(linked)
-        member = [rep, links, np.where(linked.any(axis=1), to[linked.argmax(axis=1)], rep)]
-        pair = [to[k], copies[i], rep[i]]
-        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(member, pair)], names=["rep", "links", "least"])
+    Only hashes on both sides are looked at: those in many sets by products of matrices, the others pair by pair.
+    """
+    out = np.zeros(a * b)
+    joint = np.intersect1d(x, y)
+    if not len(joint):
+        return out.reshape(a, b)
+    held = []
+    for hashes, of in ((x, of_x), (y, of_y)):
+        at = np.searchsorted(joint, hashes)
+        known = joint[np.minimum(at, len(joint) - 1)] == hashes
+        order = np.argsort(at[known], kind="stable")
+        counts = np.bincount(at[known], minlength=len(joint))
+        held.append((of[known][order], np.cumsum(counts) - counts, counts))
+    (of_x, from_x, n_x), (of_y, from_y, n_y) = held
+    pairs = n_x * n_y
+    often, seldom = np.flatnonzero(pairs > a * b // 128), np.flatnonzero(pairs <= a * b // 128)
+    for k in range(0, len(often), 4_096):
+        some = often[k : k + 4_096]
+        sides = []
+        for of, start, n, size in ((of_x, from_x, n_x, a), (of_y, from_y, n_y, b)):
+            table = np.zeros((size, len(some)), np.float32)
+            table[of[flat_ranges(start[some], n[some])], np.repeat(np.arange(len(some)), n[some])] = 1
+            sides.append(table)
+        out += (sides[0] @ sides[1].T).ravel()
+    for some in np.split(seldom, np.flatnonzero(np.diff(np.cumsum(pairs[seldom]) // 2_000_000)) + 1):
+        times = np.repeat(n_y[some], n_x[some])
+        i = np.repeat(of_x[flat_ranges(from_x[some], n_x[some])], times)
+        j = of_y[flat_ranges(np.repeat(from_y[some], n_x[some]), times)]
+        out += np.bincount(i * b + j, minlength=a * b)
+    return out.reshape(a, b)
+
+
+def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        sets = pa.array([x.tobytes() for x in _sets(batch.column("text"))], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in SETS[:-1]), sets], names=SETS)
+
+
+SETS = ["cluster", "rep", "copies", "n", "shingles"]
+UNIT = ["cluster", "low", "first", "second", "across"]
+
+
+def _compare(similarity: float):
+    """Links inside one unit: one part of a large cluster, or two parts of it. Only sums for each class
+    and one edge to the least class of its piece leave the unit, not the pairs."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        first, second, across = (x.as_py() for x in key[2:])
+        rep, once = np.unique(table.column("rep").to_numpy(), return_index=True)
+        copies, upper = (table.column(c).to_numpy()[once] for c in ("copies", "upper"))
+        column = table.column("shingles").combine_chunks().take(pa.array(once)).to_pylist()
+        sets = [np.frombuffer(x, np.uint64) for x in column]
+        sizes = np.array([len(x) for x in sets])
+        alone = first == second and not across
+        sides = [np.flatnonzero(~upper), np.flatnonzero(~upper if alone else upper)]
+        if not all(map(len, sides)):
+            i = j = np.zeros(0, np.int64)
+        else:
+            flat = [(np.concatenate([sets[k] for k in side]), np.repeat(np.arange(len(side)), sizes[side]), len(side)) for side in sides]
+            both = _shared_by_parts(*flat[0], *flat[1])
+            alike = both / np.maximum(sizes[sides[0]][:, None] + sizes[sides[1]] - both, 1) >= similarity
+            i, j = np.nonzero(np.triu(alike, 1) if alone else alike)
+            i, j = sides[0][i], sides[1][j]
+        links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+        label = _labels(len(rep), i, j)
+        told = np.flatnonzero(links)
+        return pa.table([pa.array(x, pa.int64()) for x in (rep[told], links[told].astype(np.int64), rep[label[told]])], names=["rep", "links", "least"])
 
     return run
 
 
 def _large_clusters(members: DataFrame, similarity: float) -> DataFrame:
-    """Links of clusters of more than ``MOST_IN_UNIT`` classes, enough to tell their components.
+    """All links of clusters of more than ``MOST_IN_UNIT`` classes, exactly, in one pass of part against part.
 
-    A round compares every member with some pivots, exactly, in parts of bounded size; a pivot then
-    knows all its links and is done. The first pivots are drawn by a hash. After that only members
-    outside the largest component so far become pivots, until none is left: then every link that does not
-    lie inside the largest component has been looked at.
+    Members are told apart by the logarithm of the size of their sets: linked sets lie in one band or
+    in neighbouring ones. A band is cut by id into parts of bounded size; each pair of parts of one band or
+    of two neighbouring bands is a unit of its own.
     """
-    found = None
-    keys, columns = ["cluster", "part"], ["cluster", "part", "rep", "copies", "text"]
-    members = members.withColumn("open", F.lit(False)).checkpoint()
-    for turn in range(MOST_TURNS):
-        size = F.count(F.lit(1)).alias("size")
-        sizes = members.groupBy("cluster").agg(size, F.count_if("open").alias("opened"), F.min("rep").alias("least"))
-        here = members.join(sizes, "cluster")
-        parts = F.ceil(F.col("size") / (MOST_IN_UNIT // 2)).cast("int")
-        drawn = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("size") / PIVOTS).cast("long")) == 0
-        chosen = F.pmod(F.xxhash64("rep", F.lit(turn)), F.ceil(F.col("opened") / MOST_IN_UNIT).cast("long")) == 0
-        pivot = (drawn | (F.col("rep") == F.col("least"))) if not turn else (F.col("open") & chosen)
-        placed = here.withColumn("pivot", pivot).withColumn("parts", parts)
-        parted = placed.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).select(*columns)
-        pivots = placed.filter("pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pivots = pivots.select(*(F.col(c).alias(c) for c in columns))
-        compared = parted.groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(_against_pivots(similarity), LINKED)
-        rows = compared.filter("links > 0 or least <> rep").checkpoint()
-        found = rows if found is None else found.unionByName(rows)
-
-        reached = connected_components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-        left = placed.filter("not pivot").select("cluster", "rep", "copies", "text")
-        left = left.join(reached.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class", F.coalesce("component", "rep"))
-        counts = left.groupBy("cluster", "class").agg(F.count(F.lit(1)).alias("n"))
-        main = counts.groupBy("cluster").agg(F.max_by("class", F.struct("n", "class")).alias("main"))
-        told = left.join(main, "cluster").withColumn("open", F.col("class") != F.col("main"))
-        # clusters with nothing open are finished
-        some = told.filter("open").select("cluster").distinct()
-        members = told.join(some, "cluster", "left_semi").select("cluster", "rep", "copies", "text", "open").checkpoint()
-        if members.isEmpty():
-            return found
-    raise RuntimeError("a cluster did not end")
+    width = max(-log(similarity), 0.01) * 1.001  # a little more, so that rounding cannot put linked sets two bands apart
+    banded = members.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / MOST_IN_PART, F.sum("n") / SHINGLES_IN_PART)).cast("int")
+    bands = banded.groupBy("cluster", "band").agg(blocks.alias("blocks"))
+    along = Window.partitionBy("cluster").orderBy("band")
+    for name, there, step in (("before", F.lag, -1), ("after", F.lead, 1)):
+        near = there("band").over(along) == F.col("band") + step
+        bands = bands.withColumn(name, F.when(near, there("blocks").over(along)).otherwise(0))
+    sets = banded.select(*SETS[:-1], "text").mapInArrow(_as_sets, "cluster long, rep long, copies long, n long, shingles binary")
+    sets = sets.withColumn("band", F.floor(F.log("n") / width).cast("int")).join(bands, ["cluster", "band"])
+    units = F.expr("""explode(concat(
+        transform(sequence(0, blocks - 1), o -> named_struct(
+          'low', band, 'first', least(side, o), 'second', greatest(side, o), 'across', false, 'upper', side > o)),
+        transform(filter(sequence(0, after), o -> o < after), o -> named_struct(
+          'low', band, 'first', side, 'second', o, 'across', true, 'upper', false)),
+        transform(filter(sequence(0, before), o -> o < before), o -> named_struct(
+          'low', band - 1, 'first', o, 'second', side, 'across', true, 'upper', true))))""")
+    dealt = sets.withColumn("side", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("unit", units)
+    dealt = dealt.select("cluster", "unit.*", "rep", "copies", "shingles")
+    return dealt.groupBy(*UNIT).applyInArrow(_compare(similarity), LINKED)
 
 
 def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -406,8 +447,7 @@ def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     Two documents are linked if the Jaccard similarity of their sets of shingles of five words (runs of
     characters other than space and 0x09-0x0D, unchanged) is ``similarity`` or more. ``class_id`` is the
     least doc_id reachable over links. ``n_links`` counts the documents found to be linked directly,
-    copies included; in clusters of more than ``MOST_IN_UNIT`` different texts it counts those among the
-    texts that everything in the cluster was compared with, since the class needs no more.
+    copies included.
 
     Null and empty texts have no shingles and link with nothing; a text of one to four words is one
     shingle; documents without an id link with nothing and have a null class; repeated rows are copies
@@ -423,11 +463,11 @@ def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     classes = classes.select("rep", "copies", *by_set, "sketch", "paths").checkpoint()
 
     clusters = connected_components(_coarse_links(classes)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    members = classes.select("rep", "copies").join(clusters, "rep")
+    members = classes.select("rep", "copies", "n").join(clusters, "rep")
     texts = source.filter("id is not null").withColumnRenamed("id", "rep")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     members = members.join(sizes, "cluster").withColumn("large", F.col("size") > MOST_IN_UNIT).checkpoint()
-    whole_texts = members.join(texts, "rep").select("cluster", "rep", "copies", "text", "large")
+    whole_texts = members.join(texts, "rep").select("cluster", "rep", "copies", "n", "text", "large")
     if members.filter("large").isEmpty():
         small = whole_texts
         linked = None

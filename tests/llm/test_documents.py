@@ -166,6 +166,27 @@ def test_large_clusters_keep_their_classes(spark, monkeypatch):
     assert all(0 < found[d][1] <= brute[d][1] for d in brute if brute[d][1])
 
 
+@pytest.mark.parametrize("part, shingles", [(1_000, 500_000), (15, 500_000), (1_000, 6_000)])
+def test_large_clusters_count_every_link(spark, monkeypatch, part, shingles):
+    """Copies cut to different lengths fall into several bands of size; part against part finds every link."""
+    monkeypatch.setattr(similarity, "MOST_IN_UNIT", 20)
+    monkeypatch.setattr(similarity, "MOST_IN_PART", part)
+    monkeypatch.setattr(similarity, "SHINGLES_IN_PART", shingles)
+    rows = [(d, " ".join(t.split()[: 400 - (d % 8) * 20])) for d, t in near_copies(150)] + near_copies(20)[:10]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").repartition(5)
+    found = by_id(similarity.similar_documents(df), "class_id", "n_links")
+    brute = similarity.brute_force([(i, t) for i, (_, t) in enumerate(rows)])
+    assert found == brute and max(n for _, n in brute.values()) > 60
+
+
+def test_more_links_than_pivots(spark):
+    """As many copies as fill a large cluster at its real size, each with all its links."""
+    base = prose(60, 9).split()
+    rows = [(i, " ".join([*base[: 5 + i % 50], f"other{i}", *base[6 + i % 50 :]])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert by_id(similarity.similar_documents(df), "class_id", "n_links") == similarity.brute_force(rows)
+
+
 def test_similar_rows_without_ids(spark):
     rows = [(None, PASSAGE), (3, PASSAGE), (3, PASSAGE), (9, PASSAGE + " end"), (2, ""), (1, None)]
     found = similarity.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
