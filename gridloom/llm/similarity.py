@@ -39,7 +39,6 @@ SIMILARITY = 0.8
 RUNS = 12
 BINS = 64
 LEAF = 1_024
-LOCAL = 24
 PIVOTS = 32
 COARSE = 0.45
 CLOSE = 0.78
@@ -143,27 +142,19 @@ def _step_rows(path: np.ndarray, rep: np.ndarray, other: np.ndarray, sketch: np.
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: of many classes on one path, those very close to the first are linked to it
-    and stay behind, so that a large group of near copies sends little from each task."""
+    """Before the shuffle: of classes on one path with the same sketch, all but the first are linked to it
+    and stay behind. Everything after works on sketches, so the first one finds all that they would find;
+    classes that are only close may not be left behind here, since heads differ from batch to batch."""
     for batch in batches:
         path = batch.column("path").to_numpy().view(np.uint64)
         rep, sketch = batch.column("rep").to_numpy(), _matrix(batch.column("sketch"))
-        order = np.lexsort((rep, path))
-        cuts = np.concatenate(([0], np.flatnonzero(path[order][1:] != path[order][:-1]) + 1, [len(path)]))
-        stay = np.ones(len(path), bool)
-        ends: list[tuple[np.ndarray, np.ndarray]] = [(rep[:0], rep[:0])]
-        for at in np.flatnonzero(np.diff(cuts) >= LOCAL).tolist():
-            group = order[cuts[at] : cuts[at + 1]]
-            while len(group) >= LOCAL:
-                close = agreement(sketch[group], sketch[group[:1]])[:, 0] >= CLOSE
-                close[0] = True
-                stay[group[close][1:]] = False
-                ends.append((rep[group[close][1:]], np.full(int(close.sum()) - 1, rep[group[0]])))
-                if close.sum() < 2:
-                    break
-                group = group[~close]
-        a, b = (np.concatenate(x) for x in zip(*ends))
-        yield _step_rows(path[stay], np.concatenate((a, rep[stay])), b, sketch[stay])
+        kind = np.unique(sketch.view(f"V{BINS}").ravel(), return_inverse=True)[1]
+        order = np.lexsort((rep, kind, path))
+        new = np.ones(len(order), bool)
+        new[1:] = (path[order][1:] != path[order][:-1]) | (kind[order][1:] != kind[order][:-1])
+        head = rep[order][new][np.cumsum(new) - 1]
+        stay = order[new]
+        yield _step_rows(path[stay], np.concatenate((rep[order][~new], rep[stay])), head[~new], sketch[stay])
 
 
 class _Bucket:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -187,6 +188,34 @@ def test_more_links_than_pivots(spark):
     assert by_id(similarity.similar_documents(df), "class_id", "n_links") == similarity.brute_force(rows)
 
 
+def test_sliding_excerpts_over_several_batches():
+    """B is close to A, the first of its batch, and C to D, the first of another; B and C are linked, A and D are not."""
+    words = prose(204, 19).split()
+    cuts = {10: words[:159], 20: words, 15: words[41:], 5: words[78:]}
+    table = pa.RecordBatch.from_pydict({"id": list(cuts), "text": [" ".join(x) for x in cuts.values()]})
+    (sketched,) = similarity._sketch(iter([table]))
+    sketch = dict(zip(cuts, sketched.column("sketch").to_pylist()))
+
+    def agree(a, b):
+        x, y = (similarity._matrix(pa.array([sketch[k]])) for k in (a, b))
+        return similarity.agreement(x, y)[0, 0]
+
+    assert min(agree(10, 20), agree(5, 15)) >= similarity.CLOSE and agree(10, 5) < similarity.COARSE <= agree(20, 15)
+    batches = [[(10, 10), (20, 20), *((100 + i, 10) for i in range(30))], [(5, 5), (15, 15), *((200 + i, 5) for i in range(30))]]
+    dealt = []
+    for batch in batches:
+        fields = {"path": [1] * len(batch), "rep": [k for k, _ in batch], "sketch": [sketch[of] for _, of in batch]}
+        dealt += similarity._combine(iter([pa.RecordBatch.from_pydict(fields)]))
+    rows = pa.Table.from_batches(dealt).sort_by([("path", "ascending"), ("rep", "ascending")]).combine_chunks()
+    met = pa.Table.from_batches(list(similarity._meet(iter(rows.to_batches())))).to_pylist()
+    label = {k: k for batch in batches for k, _ in batch}
+    for _ in label:
+        for x in met:
+            if x["path"] is None:
+                label[x["rep"]] = label[x["other"]] = min(label[x["rep"]], label[x["other"]])
+    assert set(label.values()) == {5}
+
+
 def test_similar_rows_without_ids(spark):
     rows = [(None, PASSAGE), (3, PASSAGE), (3, PASSAGE), (9, PASSAGE + " end"), (2, ""), (1, None)]
     found = similarity.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
