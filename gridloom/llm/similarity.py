@@ -2,8 +2,9 @@
 
 1. Documents of equal shingle sets become one class; everything after works on classes.
 2. A class is sketched by the least hash in each of ``BINS`` bins (one-permutation MinHash). In each of
-   ``RUNS`` runs it follows about 1 / ``SIMILARITY`` of its tokens, chosen by a hash that all classes
-   share, so similar classes choose the same tokens. A path is the sequence of tokens chosen so far.
+   ``RUNS`` runs, or more for classes on long paths, it follows about 1 / ``SIMILARITY`` of its tokens,
+   chosen by a hash that all classes share, so similar classes choose the same tokens. A path is the
+   sequence of tokens chosen so far.
 3. Classes on one path meet in a bucket. Up to ``LEAF`` of them are compared pair by pair; a larger
    bucket is read once, compared with a few pivots, and what is not close to one of them goes on to
    longer paths. Classes whose sketches agree enough are coarsely linked.
@@ -12,16 +13,16 @@
 
 Chance of meeting: a pair at the threshold shares one chosen token a run on average, and meets with
 chance 0.63 on the first step, 0.47 after two and 0.37 after three; over 12 runs 0.99999, 0.9995 and
-0.996. Sketches of pairs at the threshold agree in 0.80 of the bins with a deviation of 0.05; the
-coarse border of 0.45 lies seven deviations below. In a large bucket a class leaves with a pivot that it
-agrees with in 0.78; Jaccard distance is a metric, so whatever links to that class agrees with the pivot in
+0.996. Classes that went further get as many more runs as their steps need for ``RECALL``. Sketches of
+pairs at the threshold agree in 0.80 of the bins with a deviation of 0.05; the coarse border
+of 0.45 lies seven deviations below. In a large bucket a class leaves with a pivot that it agrees with in 0.78; Jaccard distance is a metric, so whatever links to that class agrees with the pivot in
 0.58 on average or more, and is coarsely linked to the pivot too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from gridloom.session import scratch_folder
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+RECALL = 0.996
 RUNS = 12
 BINS = 64
 LEAF = 1_024
@@ -72,7 +74,19 @@ def _chosen(path: np.ndarray, token: np.ndarray, filled: np.ndarray) -> tuple[np
     return lot < (2.0**64 / (SIMILARITY * np.maximum(filled, 2))).astype(np.uint64), mix(lot + np.uint64(0x9E37))
 
 
+def runs_for(steps: int, recall: float) -> int:
+    """Runs after which a pair at the threshold has stayed together for so many steps with chance ``recall``.
+
+    It shares one chosen token a step on average, so the chances follow a branching process of mean one.
+    """
+    meet = 1.0
+    for _ in range(steps):
+        meet = 1 - exp(-meet)
+    return ceil(log(1 - recall) / log(1 - meet))
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches and first steps of the runs from ``given`` on and below ``wanted`` of each row, if it has them."""
     for batch in pieces(batches, "text"):
         hashes, cuts = shingle_sets(*utf8(batch.column("text")))
         n = batch.num_rows
@@ -87,8 +101,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch[row, bins[first]] = 1 + mix(token) % np.uint64(255)
         filled = np.bincount(row, minlength=n)[row]
         paths, owners = [], []
-        for run in range(RUNS):
+        given, wanted = np.zeros(n, np.int64), np.full(n, RUNS)
+        if "given" in batch.schema.names:
+            given, wanted = (batch.column(c).to_numpy() for c in ("given", "wanted"))
+        for run in range(given.min(initial=RUNS), wanted.max(initial=0)):
+            mine = (given <= run) & (run < wanted)
             taken, path = _chosen(np.full(len(token), run + 1, np.uint64), token, filled)
+            taken &= mine[row]
             paths.append(path[taken])
             owners.append(row[taken])
         path, whose = np.concatenate(paths), np.concatenate(owners)
@@ -248,20 +267,55 @@ def _joint(links: list, onward: list) -> pa.RecordBatch:
     return _step_rows(path, np.concatenate((a, rep)), b, sketch)
 
 
-def _coarse_links(classes: DataFrame) -> DataFrame:
+def _first_runs(recall: float) -> int:
+    return max(RUNS, runs_for(1, recall))
+
+
+def _follow(classes: DataFrame, needed: list[int], first: int) -> tuple[DataFrame, DataFrame | None]:
+    """Coarse links found along the paths of ``classes``, and the steps of those classes that go further than the
+    ``first`` runs suffice for."""
     rows = classes.select(F.explode("paths").alias("path"), "rep", "sketch").mapInArrow(_combine, STEP)
-    links = None
-    for _ in range(MOST_STEPS):
+    links, deep = None, None
+    for step in range(1, MOST_STEPS + 1):
         dealt = rows.repartition(F.coalesce("path", "rep")).sortWithinPartitions(F.col("path").asc_nulls_first(), "rep")
         met = dealt.mapInArrow(_meet, STEP).checkpoint()
         found = met.filter("path is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
         links = found if links is None else links.unionByName(found)
         rows = met.filter("path is not null")
         if rows.isEmpty():
-            return links
+            return links, deep
+        if needed[step + 1] > first:
+            further = rows.select("rep").distinct().select("rep", F.lit(step + 1).alias("steps"))
+            deep = further if deep is None else deep.unionByName(further)
     raise RuntimeError(f"paths did not end in {MOST_STEPS} steps")
 
 
+def _coarse_links(classes: DataFrame, source: DataFrame, recall: float) -> DataFrame:
+    """Coarse links of all classes. After the first runs, classes on long paths get as many more as bring a
+    pair that stays together for as many steps to ``recall``, until none has gone further than its runs allow."""
+    needed = [0, *(runs_for(k, recall) for k in range(1, MOST_STEPS + 2))]
+    first = _first_runs(recall)
+    links, deep = _follow(classes, needed, first)
+    had = None
+    while deep is not None:
+        steps = deep.groupBy("rep").agg(F.max("steps").alias("steps"))
+        wanted = steps.select("rep", F.array(*map(F.lit, needed))[F.col("steps")].cast("long").alias("wanted"))
+        if had is None:
+            more = wanted.withColumn("given", F.lit(first).cast("long"))
+        else:
+            more = wanted.join(had, "rep", "left").withColumn("given", F.coalesce("had", F.lit(RUNS)).cast("long"))
+        more = more.filter("wanted > given").checkpoint()
+        if more.isEmpty():
+            break
+        sketched = source.join(more.withColumnRenamed("rep", "id"), "id").mapInArrow(_sketch, SKETCHES)
+        again = sketched.groupBy(F.col("id").alias("rep")).agg(F.any_value("paths").alias("paths"), F.any_value("sketch").alias("sketch"))
+        found, deep = _follow(again, needed, first)
+        links = links.unionByName(found)
+        now = more.select("rep", F.col("wanted").alias("had"))
+        had = (now if had is None else had.unionByName(now)).groupBy("rep").agg(F.max("had").alias("had")).checkpoint()
+    return links
+
+
 def _shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     """Jaccard similarity of each set with each other one, by inverted index over the others."""
     out = np.zeros((len(sets), len(others)))
@@ -432,7 +486,7 @@ def _large_clusters(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy(*UNIT).applyInArrow(_compare(similarity), LINKED)
 
 
-def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links) for each row.
 
     Two documents are linked if the Jaccard similarity of their sets of shingles of five words (runs of
@@ -440,20 +494,22 @@ def similar_documents(documents: DataFrame, *, doc_id: str = "doc_id", text: str
     least doc_id reachable over links. ``n_links`` counts the documents found to be linked directly,
     copies included.
 
+    A pair exactly at ``similarity`` is found with chance ``recall``, whatever number of steps its paths take.
+
     Null and empty texts have no shingles and link with nothing; a text of one to four words is one
     shingle; documents without an id link with nothing and have a null class; repeated rows are copies
     of each other (rows that share an id should share its text); an empty table gives an empty result; other columns are not read.
     """
     scratch_folder(documents.sparkSession)
     source = documents.select(named(doc_id).cast("long").alias("id"), named(text).alias("text"))
-    sketched = source.mapInArrow(_sketch, SKETCHES)
+    sketched = source.withColumns({"given": F.lit(0).cast("long"), "wanted": F.lit(_first_runs(recall)).cast("long")}).mapInArrow(_sketch, SKETCHES)
     by_set = ["s1", "s2", "n"]
     ids = sketched.select("id", *by_set, "sketch", "paths").checkpoint()
     whole = ids.filter("n > 0 and id is not null")
     classes = whole.groupBy(*by_set, "sketch", "paths").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = classes.select("rep", "copies", *by_set, "sketch", "paths").checkpoint()
 
-    clusters = connected_components(_coarse_links(classes)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    clusters = connected_components(_coarse_links(classes, source, recall)).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = classes.select("rep", "copies", "n").join(clusters, "rep")
     texts = source.filter("id is not null").withColumnRenamed("id", "rep")
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))

@@ -216,6 +216,30 @@ def test_sliding_excerpts_over_several_batches():
     assert set(label.values()) == {5}
 
 
+def test_runs_follow_the_steps():
+    assert [similarity.runs_for(k, 0.996) for k in (1, 2, 3)] == [6, 9, similarity.RUNS]
+    assert similarity.runs_for(15, 0.996) > 40 and similarity.runs_for(3, 0.9999) > similarity.RUNS
+
+
+def test_deep_classes_get_more_runs(spark, monkeypatch):
+    """Texts of three hot passages each go on to longer paths, and are read again for the runs that their steps need."""
+    asked = []
+    follow = similarity._follow
+
+    def told(classes, needed, first):
+        rows = {r["rep"]: len(r["paths"]) for r in classes.select("rep", "paths").collect()}
+        links, deep = follow(classes, needed, first)
+        asked.append((rows, {r["rep"] for r in deep.select("rep").distinct().collect()} if deep is not None else set()))
+        return links, deep
+
+    monkeypatch.setattr(similarity, "_follow", told)
+    passages = [prose(40, k) for k in range(5)]
+    rows = [(i, " ".join([*random.Random(i).sample(passages, 3), f"end{i}", prose(60, 50 + i)])) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    similarity.similar_documents(df, recall=0.9999).count()
+    assert len(asked) > 1 and set(asked[1][0]) == asked[0][1] and sum(asked[1][0].values()) > 0
+
+
 def test_similar_rows_without_ids(spark):
     rows = [(None, PASSAGE), (3, PASSAGE), (3, PASSAGE), (9, PASSAGE + " end"), (2, ""), (1, None)]
     found = similarity.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
