@@ -240,6 +240,16 @@ def test_deep_classes_get_more_runs(spark, monkeypatch):
     assert len(asked) > 1 and set(asked[1][0]) == asked[0][1] and sum(asked[1][0].values()) > 0
 
 
+def test_open_clusters_end(spark, monkeypatch):
+    """Texts that share more than half of their words form one coarse cluster and link with few; it ends in one pass."""
+    monkeypatch.setattr(similarity, "MOST_IN_UNIT", 20)
+    monkeypatch.setattr(similarity, "MOST_TURNS", 2, raising=False)
+    rows = [(i, prose(70, 7) + " " + prose(30, 1_000 + i // 2) + f" end{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = by_id(similarity.similar_documents(df), "class_id", "n_links")
+    assert found == similarity.brute_force(rows) and {n for _, n in found.values()} == {1}
+
+
 def test_similar_rows_without_ids(spark):
     rows = [(None, PASSAGE), (3, PASSAGE), (3, PASSAGE), (9, PASSAGE + " end"), (2, ""), (1, None)]
     found = similarity.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
