@@ -1,12 +1,12 @@
-"""Substring dedup over bytes by prefix-free parsing.
+"""Substring dedup over bytes by the phrases of prefix-free parsing, in buckets keyed by trigger.
 
 A rolling hash over ``TRIGGER_BYTES`` bytes that is divisible by ``TRIGGER_PERIOD`` is a trigger. The
 triggers cut each text into phrases; where a trigger falls depends on the bytes there alone, so equal
 passages fall into equal phrases. A phrase is shipped with the bytes that its last windows reach
-into (the head of the parse after it), to the bucket of the trigger that ends it. Each task ships its
-dictionary of distinct phrases only. The bucket sets aside the suffixes that occur once, by a
-fingerprint, sorts the others of all its phrases and their parse by their bytes, and reads off, for
-each, the least document that holds its first ``width`` bytes.
+into, to the bucket of the trigger that ends it. Each task ships its distinct phrases only. The bucket
+sorts the windows of ``width`` bytes by a fingerprint, sets aside those that occur once, tells the others
+apart by their bytes, and reads off, for each, the least document that holds it. No parse and no suffix
+array are built: equal windows always meet in one bucket, and the removal needs no order of suffixes.
 """
 
 from __future__ import annotations
