@@ -63,3 +63,19 @@ def test_query(spark, oracle, data_dir, name):
     assert {c: TYPES[t] for c, t in result.dtypes} == types
     places = [wanted.columns.index(c) for c in columns]
     assert rows == sorted(tuple(comparable(r[i]) for i in places) for r in wanted.fetchall())
+
+
+def test_selection_query_grows_the_default_forest(spark, data_dir, monkeypatch):
+    asked = []
+
+    class Asked(Exception):
+        pass
+
+    def told(df, features, target, trees=100):
+        asked.append(trees)
+        raise Asked
+
+    monkeypatch.setattr("gridloom.plans.exploration.selection_report", told)
+    with pytest.raises(Asked):
+        REGISTRY["plan_selection_report"].run(spark, data_dir)
+    assert asked == [100]

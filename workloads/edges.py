@@ -370,7 +370,7 @@ UNION ALL SELECT 'l_tax', corr(l_tax, l_extendedprice), true FROM {FRAME}""",
     pearson=6,
 )
 def _(spark, sf):
-    report = exploration.selection_report(frame(spark, sf), ["disc_price", "l_tax"], "l_extendedprice", trees=20)
+    report = exploration.selection_report(frame(spark, sf), ["disc_price", "l_tax"], "l_extendedprice")
     weights = report["rf_importance"].select("feature", "importance")
     ranked = report["target_correlations"].join(weights, "feature")
     return ranked.select("feature", "pearson", ((F.col("importance") > 0.5) == (F.col("feature") == "disc_price")).alias("ranked"))
