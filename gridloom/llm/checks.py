@@ -109,3 +109,33 @@ SELECT t.doc_id, t.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n
   sha256(unhex(CASE WHEN n_removed IS NULL THEN t.h ELSE coalesce(k.h, '') END)) AS kept_sha256
 FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id LEFT JOIN kept k ON k.doc_id = t.doc_id
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+phrases AS (
+  SELECT lang, s AS size, unnest(list_transform(range(1, len(w) - s + 2), lambda i: array_to_string(w[i : i + s - 1], ' '))) AS phrase
+  FROM words, unnest(range(1, 4)) AS t(s)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS left_part,
+    array_to_string(string_split(phrase, ' ')[k + 1 : size], ' ') AS right_part
+  FROM f, unnest(range(1, size)) AS t(k) WHERE size >= 2),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f))::BIGINT AS score,
+    row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f), k) AS place
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = left_part JOIN f y ON y.lang = c.lang AND y.phrase = right_part),
+longer AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase, max(f) AS longest
+  FROM f, unnest([1, 2]) AS t(i) WHERE size = 3 GROUP BY ALL),
+kept AS (
+  SELECT s.* FROM scored s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase AND s.size = 2
+  WHERE place = 1 AND (longest IS NULL OR 100 * longest < 50 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, checks, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, checks, collocations, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
@@ -74,3 +74,8 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     names = F.array_join("licences", ",")
     return found.select("doc_id", F.size("licences").cast("long").alias("n_licences"), names.alias("licences"))
+
+
+@query("op11_collocations", checks.COLLOCATIONS)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -361,7 +361,7 @@ def _covered(symbols_offsets: np.ndarray, ids: np.ndarray, known: np.ndarray, bl
     return np.cumsum(edges[:-1]) > 0
 
 
-def _ship_documents(blocks: int):
+def ship_documents(blocks: int):
     """Documents to their blocks, many in one compressed row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,14 +379,14 @@ def _ship_documents(blocks: int):
     return run
 
 
-def _read_documents(blob: bytes) -> pa.Table:
+def read_documents(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob[1:])).read_all()
 
 
 def _finish(method: Method, width: int, result: Callable[[Symbols, np.ndarray], list[pa.Array]], schema: pa.Schema):
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
-        documents = [_read_documents(b) for b in blobs if b[:1] == b"D"]
+        documents = [read_documents(b) for b in blobs if b[:1] == b"D"]
         batches = pa.concat_tables(documents).combine_chunks().to_batches() if documents else []
         if not batches:
             return schema.empty_table()
@@ -455,6 +455,6 @@ def remove_repeats(
     placed = with_row(documents, keep, _id=named(doc_id).cast("long"), _text=named(text))
     out = row_schema(placed, schema)
     placed = placed.withColumn("_block", _block_column("_id", "_text", blocks))
-    shipped = placed.mapInArrow(_ship_documents(blocks), "block int, blob binary")
+    shipped = placed.mapInArrow(ship_documents(blocks), "block int, blob binary")
     finish = _finish(method, width, result, to_arrow_schema(out))
     return opened(shipped.unionByName(marks).groupBy("block").applyInArrow(finish, out))
