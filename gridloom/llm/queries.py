@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, checks, collocations, contamination, languages, licences, quality, similarity, substrings, suffixes, vectors
+from gridloom.llm import bpe, chat, checks, collocations, contamination, languages, licences, packing, quality, similarity, substrings, suffixes, tokens, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
@@ -79,3 +79,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_collocations", checks.COLLOCATIONS)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_packing")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = tokens.read_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN, with_ids=False)
