@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gridloom.llm import bpe, chat, checks, collocations, contamination, languages, licences, packing, quality, similarity, substrings, suffixes, tokens, vectors
+from gridloom.llm import alignment, bpe, chat, checks, collocations, contamination, languages, licences, packing, quality, similarity, substrings, suffixes, tokens, vectors
 from gridloom.llm.base import QUERIES, query, table
 from gridloom.llm.folds import held_out
 
@@ -85,3 +85,9 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = tokens.read_file(public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer, public_tokenizers.PATTERN, with_ids=False)
+
+
+@query("op13_token_alignment")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (tokens.read_file(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_documents(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)

@@ -29,4 +29,4 @@ def test_query(spark, oracle, data_dir, name):
 
 
 def test_names():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
