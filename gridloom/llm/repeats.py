@@ -4,15 +4,18 @@ Every stretch (a window) has an anchor that depends on its content alone. Consec
 the same anchor travel as one packed string to the bucket of that anchor, where sorting brings equal
 windows together. What a window needs to know is only the least doc_id that holds it.
 
+Hashes find candidates only; whether two stretches are equal is always decided on their bytes.
+
 Two shuffles: packed strings to buckets, then marks of repeated windows together with the documents to
 blocks of documents. Rows are compressed blocks of arrays, so their number follows tasks times buckets
 and not windows.
 
 Skew. A task sends each distinct packed string once, for its least doc_id: copies in the same piece
-of input are resolved on the spot. An anchor that would fill half a bucket by itself is hot: its windows
+of input are resolved on the spot. An anchor whose strings would fill half a bucket is hot: its windows
 are sent one by one, to buckets by their own content, so that a passage shared by a third of all
-documents fills no bucket. Hot anchors are found on a sample of documents, which only chooses routes;
-results do not depend on it.
+documents fills no bucket. Hot anchors are found by the bytes of their strings in a sample of documents,
+which only chooses routes; results do not depend on it. In a bucket, memory is bounded by working on
+``CHUNK_BYTES`` of strings and ``PORTION`` windows at a time, also within one anchor.
 """
 
 from __future__ import annotations
@@ -34,10 +37,13 @@ WIDTH = 50
 FLUSH_BYTES = 3 << 20
 BUCKET_BYTES = 12 << 20
 SLICES = 48
+CHUNK_BYTES = 1 << 20
+PORTION = 1 << 19
 BLOCK_BYTES = 2 << 20
 SAMPLE_DOCUMENTS = 20_000
 SAMPLE_SHARE = 0.001
 ROWS_AT_ONCE = 16
+STRING_MORE = 20  # bytes of a packed string beside its text
 
 _NOT_SPACE = np.arange(256) != 0x20
 
@@ -51,17 +57,16 @@ class Symbols:
     ends: np.ndarray
     offsets: np.ndarray  # of the n+1 texts, in symbols
     codes: np.ndarray
-    bounds: np.ndarray  # of the n+1 texts, in bytes
 
 
-def _words_of(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> Symbols:
+def _words_of(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     starts, ends, cuts = word_spans(data, offsets, _NOT_SPACE)
-    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(seed)[data]).stretches(starts, ends), offsets)
+    return Symbols(data, starts, ends, cuts, Rolling(byte_codes(0)[data]).stretches(starts, ends))
 
 
 def _bytes_of(data: np.ndarray, offsets: np.ndarray) -> Symbols:
     place = np.arange(len(data) + 1, dtype=np.int32 if len(data) < 2**31 - 1 else np.int64)
-    return Symbols(data, place[:-1], place[1:], offsets, byte_codes(0)[data], offsets)
+    return Symbols(data, place[:-1], place[1:], offsets, byte_codes(0)[data])
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -76,9 +81,7 @@ class Method:
     normalise: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
     symbols: Callable[..., Symbols]
     anchors: Callable[[Rolling, int], np.ndarray]  # by window start, for windows of a width
-    places: Callable[[Symbols, np.ndarray, int], np.ndarray]  # order of windows that may be equal, by start
     growth: float  # packed bytes for each byte of text, roughly
-    string_bytes: int  # bytes of a packed string, roughly
     piece_bytes: int  # text worked on at a time
 
 
@@ -160,20 +163,54 @@ def _runs(symbols: Symbols, rolling: Rolling, ids: np.ndarray, known: np.ndarray
     return _Runs(at[begin], count, anchor[begin], ids[row], symbols.offsets[row], content)
 
 
-def _repeats_earlier(doc: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Which strings also stand in a smaller doc_id among these; all their windows repeat."""
+def _portions(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Consecutive stretches of about ``most`` in sum, of one item at least."""
+    group = np.cumsum(sizes, dtype=np.int64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield slice(a, b)
+
+
+def same_bytes(data: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the stretches [start, end) of ``a`` and ``b``, none of them empty, hold the same bytes, pair by pair."""
+    sizes = a[1] - a[0]
+    equal = sizes == b[1] - b[0]
+    at = np.flatnonzero(equal)
+    for part in _portions(sizes[at], CHUNK_BYTES):
+        own = at[part]
+        differs = gather(data, a[0][own], a[1][own]) != gather(data, b[0][own], b[1][own])
+        if differs.any():
+            begin = np.cumsum(sizes[own]) - sizes[own]
+            equal[own[np.logical_or.reduceat(differs, begin)]] = False
+    return equal
+
+
+def _repeats_earlier(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which strings [begin, end) also stand in a smaller doc_id among these; all their windows repeat.
+
+    A string that only shares the hash of another is no repeat of it and stays.
+    """
+    later = np.zeros(len(doc), bool)
+    if not len(doc):
+        return later
     order = np.lexsort((doc, anchor, content))
     new = np.ones(len(order), bool)
     new[1:] = (content[order[1:]] != content[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
-    later = np.zeros(len(order), bool)
-    if len(order):
-        later[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    first = order[new][np.cumsum(new) - 1]
+    after = doc[order] > doc[first]
+    which, least = order[after], first[after]
+    later[which] = same_bytes(data, (begin[which], end[which]), (begin[least], end[least]))
     return later
 
 
-def _once(runs: _Runs) -> tuple[_Runs, _Runs]:
+def _bounds(symbols: Symbols, runs: _Runs, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return symbols.starts[runs.at].astype(np.int64), symbols.ends[runs.at + runs.count + width - 2].astype(np.int64)
+
+
+def _once(symbols: Symbols, runs: _Runs, width: int) -> tuple[_Runs, _Runs]:
     """Those that hold the least doc_id of their content, and the others."""
-    later = _repeats_earlier(runs.doc, runs.anchor, runs.content)
+    later = _repeats_earlier(symbols.data, *_bounds(symbols, runs, width), runs.doc, runs.anchor, runs.content)
     return runs.take(~later), runs.take(later)
 
 
@@ -217,17 +254,17 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
             rolling = Rolling(symbols.codes)
-            runs, repeated = _once(_runs(symbols, rolling, ids, known, method, width))
+            runs, repeated = _once(symbols, _runs(symbols, rolling, ids, known, method, width), width)
             marks = [repeated.marks()]
             if len(hot):
                 is_hot = np.isin(runs.anchor, hot)
                 if is_hot.any():
-                    single, repeated = _once(_one_by_one(runs.take(is_hot), rolling, width))
+                    single, repeated = _once(symbols, _one_by_one(runs.take(is_hot), rolling, width), width)
                     marks.append(repeated.marks())
                     runs = runs.take(~is_hot)
                     runs = _Runs(*(np.concatenate(x) for x in zip(vars(runs).values(), vars(single).values())))
-            begin, end = symbols.starts[runs.at], symbols.ends[runs.at + runs.count + width - 2]
-            held.append((symbols.data, begin.astype(np.int64) + size, end.astype(np.int64) + size, runs.content, runs.anchor, *runs.marks(), marks))
+            begin, end = _bounds(symbols, runs, width)
+            held.append((symbols.data, begin + size, end + size, runs.content, runs.anchor, *runs.marks(), marks))
             size += len(symbols.data)
             if size >= FLUSH_BYTES:
                 yield from flush(held)
@@ -239,8 +276,8 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
         texts, *columns, marks = zip(*held)
         data = np.concatenate(texts)
         columns = [np.concatenate(c) for c in columns]
-        content, anchor, doc = columns[2:5]
-        later = _repeats_earlier(doc, anchor, content)
+        begin, end, content, anchor, doc = columns[:5]
+        later = _repeats_earlier(data, begin, end, doc, anchor, content)
         marks = [*(m for each in marks for m in each), [c[later] for c in columns[4:]]]
         begin, end, _, anchor, doc, first, count = (c[~later] for c in columns)
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
@@ -262,45 +299,84 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
     return run
 
 
-def by_second_print(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
-    """A second fingerprint, of other codes."""
-    again = _words_of(symbols.data, symbols.bounds, 2)
-    return Rolling(again.codes).every(width)[at]
-
-
-def by_bytes(symbols: Symbols, at: np.ndarray, width: int) -> np.ndarray:
-    """The rank of each suffix among those given, in lexicographic order of its first ``width`` bytes."""
-    suffixes = np.lib.stride_tricks.sliding_window_view(symbols.data, width)[at].reshape(-1).view(f"S{width}")
-    return np.unique(suffixes, return_inverse=True)[1]
+def _least_holders(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose print also stands in a smaller doc_id, and for each the first window of the least one.
 
-
-def repeated_windows(symbols: Symbols, method: Method, count: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    Windows are taken a portion of the prints at a time; those of a print that occurs once are set aside.
+    """
+    portions = -(-len(prints) // PORTION)
+    found, holder = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(portions):
+        own = np.flatnonzero(prints % np.uint64(portions) == k) if portions > 1 else np.arange(len(prints))
+        own = own[np.argsort(prints[own], kind="stable")]
+        same = prints[own[1:]] == prints[own[:-1]]
+        meets = np.zeros(len(own), bool)
+        meets[1:] |= same
+        meets[:-1] |= same
+        own = own[meets]
+        if len(own):
+            own = own[np.lexsort((doc[own], prints[own]))]
+            new = np.concatenate(([True], prints[own[1:]] != prints[own[:-1]]))
+            first = own[new][np.cumsum(new) - 1]
+            after = doc[own] > doc[first]
+            found.append(own[after]), holder.append(first[after])
+    return np.concatenate(found), np.concatenate(holder)
+
+
+def _equal_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, window: np.ndarray, other: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Whether each window holds the same bytes as the other one.
+
+    Consecutive windows of one string that face consecutive windows of another are compared as one stretch.
+    """
+    if not len(window):
+        return np.zeros(0, bool)
+    order = np.argsort(window)
+    w, o = window[order], other[order]
+    new = np.ones(len(w), bool)
+    new[1:] = (np.diff(w) != 1) | (np.diff(o) != 1) | (owner[w[1:]] != owner[w[:-1]]) | (owner[o[1:]] != owner[o[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(w)) - 1
+    whole = same_bytes(data, (begin[w[first]], end[w[last]]), (begin[o[first]], end[o[last]]))
+    equal = np.repeat(whole, last - first + 1)
+    if not whole.all():
+        apart = np.flatnonzero(~equal)
+        equal[apart] = same_bytes(data, (begin[w[apart]], end[w[apart]]), (begin[o[apart]], end[o[apart]]))
+    out = np.empty(len(w), bool)
+    out[order] = equal
+    return out
+
+
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, method: Method, count: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For packed strings: which window of which string repeats one of a smaller doc_id.
 
-    Windows are sorted by a 64-bit fingerprint. Those that meet another one are sorted again by
-    ``method.places``, so that equal ones stand together, and compared with the least doc_id.
+    Windows that share a 64-bit print are compared, byte for byte, with one of the least doc_id that
+    holds the print. Where different windows share a print, all its windows are told apart by their bytes.
     """
-    at = flat_ranges(symbols.offsets[:-1], count)
-    owner = np.repeat(np.arange(len(count)), count)
-    print_ = Rolling(symbols.codes).every(width)[at]
-    order = np.argsort(print_)
-    ordered = print_[order]
-    same = ordered[1:] == ordered[:-1]
-    meets = np.zeros(len(order), bool)
-    meets[1:] |= same
-    meets[:-1] |= same
-    chosen = order[meets]
-    if not len(chosen):
-        return chosen, chosen
-    one = print_[chosen]
-    two = method.places(symbols, at[chosen], width)
-    docs = doc[owner[chosen]]
-    by = np.lexsort((docs, two, one))
-    new = np.ones(len(by), bool)
-    new[1:] = (one[by[1:]] != one[by[:-1]]) | (two[by[1:]] != two[by[:-1]])
-    least = docs[by][new][np.cumsum(new) - 1]
-    found = np.sort(chosen[by[docs[by] > least]])
-    return owner[found], at[found] - symbols.offsets[owner[found]]
+    prints, begins, ends = [], [], []
+    for part in _portions(np.diff(offsets), CHUNK_BYTES):
+        a, b = int(offsets[part.start]), int(offsets[part.stop])
+        symbols = method.symbols(data[a:b], offsets[part.start : part.stop + 1] - a)
+        at = flat_ranges(symbols.offsets[:-1], count[part])
+        prints.append(Rolling(symbols.codes).every(width)[at])
+        begins.append((symbols.starts[at] + a).astype(np.int32))
+        ends.append((symbols.ends[at + width - 1] + a).astype(np.int32))
+    prints, begin, end = (np.concatenate(x) for x in (prints, begins, ends))
+    owner = np.repeat(np.arange(len(count), dtype=np.int32), count)
+    window, other = _least_holders(prints, doc[owner])
+    equal = _equal_windows(data, begin, end, window, other, owner)
+    if not equal.all():
+        shared = np.unique(prints[window[~equal]])
+        window = window[~np.isin(prints[window], shared)]
+        among = np.flatnonzero(np.isin(prints, shared))
+        raw = data.tobytes()
+        texts = [raw[a:b] for a, b in zip(begin[among].tolist(), end[among].tolist())]
+        docs = doc[owner[among]].tolist()
+        least: dict[bytes, int] = {}
+        for text, d in zip(texts, docs):
+            least[text] = min(least.get(text, d), d)
+        window = np.concatenate([window, among[[least[t] < d for t, d in zip(texts, docs)]]])
+    window = np.sort(window)
+    return owner[window], window - (np.cumsum(count) - count)[owner[window]]
 
 
 def _settle_bucket(method: Method, width: int, blocks: int):
@@ -324,8 +400,7 @@ def _settle_bucket(method: Method, width: int, blocks: int):
             doc, first, count = np.concatenate(docs), np.concatenate(firsts), np.concatenate(counts).astype(np.int64)
             data = np.concatenate(texts)
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            symbols = method.symbols(data, offsets)
-            owner, place = repeated_windows(symbols, method, count, doc, width)
+            owner, place = repeated_windows(data, offsets, method, count, doc, width)
             if len(owner):
                 new = np.ones(len(owner), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
@@ -401,28 +476,26 @@ def _finish(method: Method, width: int, result: Callable[[Symbols, np.ndarray],
     return run
 
 
-def _hot_anchors(source: DataFrame, rows: int, method: Method, width: int) -> np.ndarray:
+def _hot_anchors(source: DataFrame, rows: int, size: int, method: Method, width: int) -> np.ndarray:
     """Anchors whose packed strings, by the sampled documents, fill half a bucket; so at most two a bucket."""
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(rows, 1)))
-    least = BUCKET_BYTES // 2 // method.string_bytes
-    if rows <= least:  # not even an anchor of all documents would
+    most = BUCKET_BYTES // 2
+    if size * method.growth <= most:  # not even all strings together do
         return np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", method.piece_bytes):
             ids, known = _documents(batch)
             symbols = method.symbols(*method.normalise(*utf8(batch.column("_text"))))
-            runs = _runs(symbols, Rolling(symbols.codes), ids, known, method, width)
-            order = np.lexsort((runs.anchor, runs.first))
-            once = np.ones(len(order), bool)
-            once[1:] = np.diff(runs.first[order]) != 0
-            once[1:] |= runs.anchor[order[1:]] != runs.anchor[order[:-1]]
-            anchor, documents = np.unique(runs.anchor[order[once]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(documents.astype(np.int64))], names=["anchor", "n"])
+            runs, _ = _once(symbols, _runs(symbols, Rolling(symbols.codes), ids, known, method, width), width)
+            begin, end = _bounds(symbols, runs, width)
+            anchor, of = np.unique(runs.anchor, return_inverse=True)
+            held = np.bincount(of, end - begin + STRING_MORE, len(anchor)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(held)], names=["anchor", "n"])
 
     sampled = source.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    counts = sampled.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    hot = counts.filter(F.col("n") > max(3, int(share * least))).select("anchor").collect()
+    sizes = sampled.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    hot = sizes.filter(F.col("n") > int(share * most)).select("anchor").collect()
     return np.array([r[0] for r in hot], np.int64).view(np.uint64)
 
 
@@ -448,7 +521,7 @@ def remove_repeats(
     rows, size = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
     buckets = ceil(size * method.growth / BUCKET_BYTES) or 1
     blocks = ceil(size / BLOCK_BYTES) or 1
-    hot = _hot_anchors(source, rows, method, width)
+    hot = _hot_anchors(source, rows, size, method, width)
     sent = source.mapInArrow(_send(method, width, buckets, blocks, hot), "bucket int, block int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_settle_bucket(method, width, blocks), "block int, blob binary")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.repeats import WIDTH, Method, Symbols, _words_of, as_lines, by_second_print, remove_repeats
+from gridloom.llm.repeats import WIDTH, Method, Symbols, _words_of, as_lines, remove_repeats
 from gridloom.llm.text import Rolling, least_in_windows
 
 MINIMISER_WORDS = 6
@@ -18,7 +18,7 @@ def minimisers(rolling: Rolling, width: int) -> np.ndarray:
     return least_in_windows(rolling.every(size), width - size + 1)
 
 
-SUPER_KMERS = Method(as_lines, _words_of, minimisers, by_second_print, growth=2.8, string_bytes=430, piece_bytes=1 << 20)
+SUPER_KMERS = Method(as_lines, _words_of, minimisers, growth=2.8, piece_bytes=1 << 20)
 
 KEPT = "n_words long, n_removed long, kept string"
 

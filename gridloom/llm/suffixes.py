@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridloom.llm.repeats import WIDTH, Method, Symbols, _bytes_of, by_bytes, remove_repeats, unchanged
+from gridloom.llm.repeats import WIDTH, Method, Symbols, _bytes_of, remove_repeats, unchanged
 from gridloom.llm.text import Rolling, least_in_windows
 
 TRIGGER_BYTES = 8
@@ -37,7 +37,7 @@ def phrase_ends(rolling: Rolling, width: int) -> np.ndarray:
     return np.where(inside, hashes[np.minimum(following, len(hashes) - 1)], least)
 
 
-PHRASES = Method(unchanged, _bytes_of, phrase_ends, by_bytes, growth=3.3, string_bytes=72, piece_bytes=1 << 19)
+PHRASES = Method(unchanged, _bytes_of, phrase_ends, growth=3.3, piece_bytes=1 << 19)
 
 KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
