@@ -8,8 +8,9 @@ Documents are dealt to blocks of about ``BLOCK_BYTES`` by a hash, and blocks to
 shards, so that the lowered support stays above one at any size of corpus. A block sends each of its
 distinct phrases once, as a 32-bit print with its number of occurrences, to the bucket of its hash.
 There each shard is mined by itself; the answer to a block lists those of its prints that are
-candidates. A print shared by two phrases can only add a candidate. The block then counts the
-candidates on the words themselves, and a map-side combined aggregate adds the counts up exactly.
+candidates, without those whose prints fall short of the support even all together. A print shared by
+two phrases can only add a candidate. The block then counts its candidates on the words themselves and
+sends them, packed, to the bucket of the phrase, where counts are added up exactly.
 
 Skew. A phrase, however frequent, is one entry of a block; blocks hold a bounded amount of text
 whatever its language or source, and buckets grow in number with the corpus. The scores come from
@@ -19,9 +20,11 @@ joins on phrases, which AQE splits where one word heads many phrases.
 from __future__ import annotations
 
 from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -31,10 +34,12 @@ from gridloom.llm.text import Rolling, byte_codes, give_back, joined, mix, utf8,
 from gridloom.session import settle
 
 UNDETERMINED = "und"
+COUNTED = ["lang", "phrase", "size", "f"]
 SHARDS = 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
+PARTS_OF_LANGUAGE = 8
 
 # The bytes that end a piece, and those that only end a word.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -197,14 +202,18 @@ def _send_prints(buckets: int, most_words: int):
     return run
 
 
-def _frequent(prints: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+def _frequent(sent: list[tuple[np.ndarray, np.ndarray]], least: int) -> np.ndarray:
+    """Prints whose counts add up to ``least`` or more."""
+    if not sent:
+        return np.zeros(0, np.uint32)
+    prints, counts = (np.concatenate(x) for x in zip(*sent))
     order = np.argsort(prints, kind="stable")
     prints, counts = prints[order], counts[order]
     new = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
     return prints[new][np.add.reduceat(counts, new) >= least]
 
 
-def _mine_shards(shards: int, least: int):
+def _mine_shards(shards: int, support: int):
     """Of one bucket: each shard's frequent prints, united; each block hears which of its own are among them."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -213,9 +222,8 @@ def _mine_shards(shards: int, least: int):
         candidates = np.zeros(0, np.uint32)
         for shard in range(shards):
             mine = [sent[i] for i in np.flatnonzero(blocks % shards == shard).tolist()]
-            if mine:
-                local = _frequent(*(np.concatenate(x) for x in zip(*mine)), least)
-                candidates = np.union1d(candidates, local)
+            candidates = np.union1d(candidates, _frequent(mine, ceil(support / shards)))
+        candidates = np.intersect1d(candidates, _frequent(sent, support), assume_unique=True)
         answers = []
         for block, (prints, _) in zip(blocks.tolist(), sent):
             hit = prints[np.isin(prints, candidates, assume_unique=True)]
@@ -250,18 +258,44 @@ def _count_candidates(buckets: int, most_words: int):
                 lang, phrases, n = block.phrases(size, at)
                 langs.append(lang), texts.append(phrases), sizes.append(np.full(len(n), size, np.int32)), counts.append(n)
         lang = np.concatenate([np.zeros(0, np.int32), *langs])
-        labels = pa.array(block.labels, pa.string())
+        phrases = [t for each in texts for t in each]
+        bucket = np.fromiter(map(crc32, phrases), np.int64, len(phrases)) % buckets
         made = pa.table(
             [
-                labels.take(pa.array(lang)),
-                pa.array([t for each in texts for t in each], pa.binary()).cast(pa.string()),
+                pa.array(bucket),
+                pa.array(block.labels, pa.string()).take(pa.array(lang)),
+                pa.array(phrases, pa.binary()).cast(pa.string()),
                 pa.array(np.concatenate([np.zeros(0, np.int32), *sizes]), pa.int32()),
                 pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64), pa.int64()),
             ],
-            names=["lang", "phrase", "size", "f"],
-        )
+            names=["bucket", *COUNTED],
+        ).sort_by([("bucket", "ascending"), ("phrase", "ascending")])
+        cuts = np.searchsorted(made.column("bucket").to_numpy(), np.arange(buckets + 1)).tolist()
+        made = made.drop_columns("bucket")
+        out = [(b, _written(made.slice(i, k - i))) for b, (i, k) in enumerate(zip(cuts, cuts[1:])) if k > i]
+        rows = list(zip(*out)) or [[], []]
+        give_back()
+        return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["bucket", "blob"])
+
+    return run
+
+
+def _written(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+
+
+def _add_up(support: int):
+    """Of one bucket: the exact count of every phrase sent to it, where it reaches the support."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sent = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in table.column("blob").to_pylist()]
+        whole = pa.concat_tables(sent).group_by(COUNTED[:3]).aggregate([("f", "sum")]).rename_columns(COUNTED)
+        whole = whole.filter(pc.or_(pc.equal(whole.column("size"), 0), pc.greater_equal(whole.column("f"), support)))
         give_back()
-        return made
+        return whole
 
     return run
 
@@ -292,31 +326,31 @@ def count_phrases(
     dealt = source.select("_lang", "_text", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)).cast("int").alias("_block"))
     shipped = dealt.filter("_text <> ''").mapInArrow(ship_documents(blocks), "block int, blob binary")
     sent = shipped.groupBy("block").applyInArrow(_send_prints(buckets, most_words), "bucket int, block int, blob binary")
-    mined = sent.groupBy("bucket").applyInArrow(_mine_shards(shards, ceil(support / shards)), "block int, bucket int, blob binary")
+    mined = sent.groupBy("bucket").applyInArrow(_mine_shards(shards, support), "block int, bucket int, blob binary")
     counted = shipped.groupBy("block").cogroup(mined.groupBy("block")).applyInArrow(
-        _count_candidates(buckets, most_words), "lang string, phrase string, size int, f long"
+        _count_candidates(buckets, most_words), "bucket int, blob binary"
     )
-    return counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter((F.col("size") == 0) | (F.col("f") >= support))
+    return counted.groupBy("bucket").applyInArrow(_add_up(support), "lang string, phrase string, size int, f long")
 
 
 def _part(start: int | Column, length: int | Column) -> Column:
     return F.array_join(F.slice("words", start, length), " ")
 
 
-def score_phrases(counts: DataFrame, *, most_words: int = 3) -> DataFrame:
-    """(lang, phrase, size, a, l, r, score) of the phrases of two words and more.
+def score_phrases(counts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(lang, phrase, size, a, l, r, score) of the ``phrases`` of two words and more, all of them among the counts.
 
     Each cut after k words gives ``floor(1000000 * a * a / (l * r))``; the least of them counts, of equal
     ones that of the smallest k. The arithmetic is in decimals of 38 digits, exact for counts of up
     to 15 digits.
     """
-    phrases = counts.filter("size >= 2").select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
+    words = phrases.select("lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
     known = counts.filter("size >= 1")
-    cuts = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "size", "a", "k", _part(1, F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
+    cuts = words.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    cuts = cuts.select("lang", "size", "a", "k", _part(1, F.col("k")).alias("left"), _part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     lefts = known.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l"))
     rights = known.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r"))
-    whole = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"])
+    whole = cuts.join(lefts, ["lang", "left"]).join(rights, ["lang", "right"]).withColumn("phrase", F.concat_ws(" ", "left", "right"))
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     score = F.expr("(cast(1000000 as decimal(7,0)) * (_a * _a)) div (_l * _r)")
     scored = whole.withColumns({"_a": wide("a"), "_l": wide("l"), "_r": wide("r")}).withColumn("score", score)
@@ -324,17 +358,16 @@ def score_phrases(counts: DataFrame, *, most_words: int = 3) -> DataFrame:
     return scored.groupBy("lang", "phrase", "size", "a").agg(best).select("lang", "phrase", "size", "a", "best.l", "best.r", "best.score")
 
 
-def drop_contained(scored: DataFrame, *, share: tuple[int, int] = (50, 100)) -> DataFrame:
+def drop_contained(phrases: DataFrame, *, share: tuple[int, int] = (50, 100)) -> DataFrame:
     """Phrases go whose words stand in a longer one that is at least ``share[0] / share[1]`` as frequent, dropped or not."""
     least, whole = share
-    words = scored.select("lang", "size", "a", F.split("phrase", " ").alias("words"))
-    inner = words.filter("size > 2").select(
-        "lang", "a", "words", F.col("size").alias("outer"), F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("n")
+    inner = phrases.filter("size > 2").select(
+        "lang", "f", F.split("phrase", " ").alias("words"), F.col("size").alias("outer"), F.explode(F.sequence(F.lit(2), F.col("size") - 1)).alias("n")
     )
-    inner = inner.select("lang", "a", "words", "n", F.explode(F.sequence(F.lit(1), F.col("outer") - F.col("n") + 1)).alias("i"))
-    longest = inner.groupBy("lang", _part(F.col("i"), F.col("n")).alias("phrase")).agg(F.max("a").alias("longer"))
-    held = F.coalesce(F.col("longer"), F.lit(0)).cast("decimal(20,0)") * F.lit(whole) >= F.col("a").cast("decimal(20,0)") * F.lit(least)
-    return scored.join(longest, ["lang", "phrase"], "left").filter(~held).drop("longer")
+    inner = inner.select("lang", "f", "words", "n", F.explode(F.sequence(F.lit(1), F.col("outer") - F.col("n") + 1)).alias("i"))
+    longest = inner.groupBy("lang", _part(F.col("i"), F.col("n")).alias("phrase")).agg(F.max("f").alias("longer"))
+    held = F.coalesce(F.col("longer"), F.lit(0)).cast("decimal(20,0)") * F.lit(whole) >= F.col("f").cast("decimal(20,0)") * F.lit(least)
+    return phrases.join(longest, ["lang", "phrase"], "left").filter(~held).drop("longer")
 
 
 def collocations(documents: DataFrame, *, support: int = 10, most_words: int = 3, top: int = 2000, **options) -> DataFrame:
@@ -345,9 +378,11 @@ def collocations(documents: DataFrame, *, support: int = 10, most_words: int = 3
     ``count_phrases`` names the cases of null, empty and repeated rows.
     """
     counts = settle(count_phrases(documents, support=support, most_words=most_words, **options))
-    scored = drop_contained(score_phrases(counts, most_words=most_words))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    scored = score_phrases(counts, drop_contained(counts.filter("size >= 2")))
+    first = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS_OF_LANGUAGE))  # so that a language's last task sees a bounded number
+    near = scored.withColumn("_near", F.row_number().over(Window.partitionBy("lang", part).orderBy(*first))).filter(F.col("_near") <= top)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*first))).filter(F.col("rank") <= top)
     words = counts.filter("size = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
