@@ -11,7 +11,7 @@ blocks of documents. Rows are compressed blocks of arrays, so their number follo
 and not windows.
 
 Skew. A task sends each distinct packed string once, for its least doc_id: copies in the same piece
-of input are resolved on the spot. An anchor whose strings would fill half a bucket is hot: its windows
+of input are resolved on the spot. An anchor whose strings would fill a bucket is hot: its windows
 are sent one by one, to buckets by their own content, so that a passage shared by a third of all
 documents fills no bucket. Hot anchors are found by the bytes of their strings in a sample of documents,
 which only chooses routes; results do not depend on it. In a bucket, memory is bounded by working on
@@ -477,10 +477,9 @@ def _finish(method: Method, width: int, result: Callable[[Symbols, np.ndarray],
 
 
 def _hot_anchors(source: DataFrame, rows: int, size: int, method: Method, width: int) -> np.ndarray:
-    """Anchors whose packed strings, by the sampled documents, fill half a bucket; so at most two a bucket."""
+    """Anchors whose packed strings, by the sampled documents, fill a bucket."""
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCUMENTS / max(rows, 1)))
-    most = BUCKET_BYTES // 2
-    if size * method.growth <= most:  # not even all strings together do
+    if size * method.growth <= BUCKET_BYTES:  # not even all strings together do
         return np.zeros(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,7 +494,7 @@ def _hot_anchors(source: DataFrame, rows: int, size: int, method: Method, width:
 
     sampled = source.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     sizes = sampled.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    hot = sizes.filter(F.col("n") > int(share * most)).select("anchor").collect()
+    hot = sizes.filter(F.col("n") > int(share * BUCKET_BYTES)).select("anchor").collect()
     return np.array([r[0] for r in hot], np.int64).view(np.uint64)
 
 
