@@ -36,7 +36,7 @@ from gridloom.session import settle
 UNDETERMINED = "und"
 COUNTED = ["lang", "phrase", "size", "f"]
 SHARDS = 4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 BUCKET_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
 PARTS_OF_LANGUAGE = 8
@@ -153,7 +153,7 @@ def _packed(prints: np.ndarray, counts: np.ndarray | None = None) -> bytes:
     parts.append(np.diff(prints, prepend=np.uint32(0)).tobytes())
     if counts is not None:
         parts.append(counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -245,9 +245,9 @@ def _count_candidates(buckets: int, most_words: int):
         told = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
         known = [np.uint64(b) << np.uint64(32) | _unpacked(blob)[0].astype(np.uint64) for b, blob in told]
         known = np.concatenate([np.zeros(0, np.uint64), *known])
-        langs, texts, sizes, counts = [], [], [], []
-        for lang, n in zip(*np.unique(block.lang, return_counts=True)):
-            langs.append(np.array([lang], np.int32)), texts.append([b""]), sizes.append(np.zeros(1, np.int32)), counts.append(np.array([n]))
+        langs, texts, counts = [], [], []
+        for lang, n in zip(*np.unique(block.lang, return_counts=True)):  # all words of a language, as the empty phrase
+            langs.append(np.array([lang], np.int32)), texts.append([b""]), counts.append(np.array([n]))
         for size, at, hashes in block.hashes():
             keys = _keys(hashes, buckets)
             if not len(known) or not len(keys):
@@ -256,46 +256,65 @@ def _count_candidates(buckets: int, most_words: int):
             at = at[known[place] == keys]
             if len(at):
                 lang, phrases, n = block.phrases(size, at)
-                langs.append(lang), texts.append(phrases), sizes.append(np.full(len(n), size, np.int32)), counts.append(n)
+                langs.append(lang), texts.append(phrases), counts.append(n)
         lang = np.concatenate([np.zeros(0, np.int32), *langs])
         phrases = [t for each in texts for t in each]
         bucket = np.fromiter(map(crc32, phrases), np.int64, len(phrases)) % buckets
         made = pa.table(
             [
                 pa.array(bucket),
-                pa.array(block.labels, pa.string()).take(pa.array(lang)),
-                pa.array(phrases, pa.binary()).cast(pa.string()),
-                pa.array(np.concatenate([np.zeros(0, np.int32), *sizes]), pa.int32()),
-                pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64), pa.int64()),
+                pa.array(lang),
+                pa.array(phrases, pa.binary()),
+                pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64)),
             ],
-            names=["bucket", *COUNTED],
-        ).sort_by([("bucket", "ascending"), ("phrase", "ascending")])
-        cuts = np.searchsorted(made.column("bucket").to_numpy(), np.arange(buckets + 1)).tolist()
-        made = made.drop_columns("bucket")
-        out = [(b, _written(made.slice(i, k - i))) for b, (i, k) in enumerate(zip(cuts, cuts[1:])) if k > i]
-        rows = list(zip(*out)) or [[], []]
+            names=["bucket", "lang", "phrase", "f"],
+        ).sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        bucket, lang, f = (made.column(c).to_numpy() for c in ("bucket", "lang", "f"))
+        cuts = np.flatnonzero((np.diff(bucket, prepend=-1) != 0) | (np.diff(lang, prepend=-1) != 0)).tolist()
+        out = [
+            (int(bucket[i]), block.labels[lang[i]], _listed(made.column("phrase").slice(i, k - i).to_pylist(), f[i:k]))
+            for i, k in zip(cuts, [*cuts[1:], len(f)])
+        ]
+        rows = list(zip(*out)) or [[], [], []]
         give_back()
-        return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary())], names=["bucket", "blob"])
+        return pa.table(
+            [pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.binary())], names=["bucket", "lang", "blob"]
+        )
 
     return run
 
 
-def _written(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+def _listed(phrases: list[bytes], counts: np.ndarray) -> bytes:
+    """Phrases and their counts; no phrase holds a line feed."""
+    width = 1 if counts.max(initial=0) < 256 else 8
+    parts = [np.array([len(phrases), width], np.int64).tobytes(), counts.astype(f"<u{width}").tobytes(), b"\n".join(phrases)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def _told(blob: bytes) -> tuple[list[bytes], np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, width = np.frombuffer(raw, np.int64, 2).tolist()
+    return raw[16 + n * width :].split(b"\n"), np.frombuffer(raw, f"<u{width}", n, 16).astype(np.int64)
 
 
 def _add_up(support: int):
     """Of one bucket: the exact count of every phrase sent to it, where it reaches the support."""
 
     def run(table: pa.Table) -> pa.Table:
-        sent = [pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(b)).read_all() for b in table.column("blob").to_pylist()]
-        whole = pa.concat_tables(sent).group_by(COUNTED[:3]).aggregate([("f", "sum")]).rename_columns(COUNTED)
-        whole = whole.filter(pc.or_(pc.equal(whole.column("size"), 0), pc.greater_equal(whole.column("f"), support)))
+        labels = table.column("lang").to_pylist()
+        made = []
+        for label in sorted(set(labels)):
+            sent = [_told(b) for x, b in zip(labels, table.column("blob").to_pylist()) if x == label]
+            phrases = pa.array([p for own, _ in sent for p in own], pa.binary())
+            whole = pa.table([phrases, pa.array(np.concatenate([n for _, n in sent]))], names=["phrase", "f"])
+            whole = whole.group_by("phrase").aggregate([("f", "sum")])
+            phrase, f = whole.column("phrase").combine_chunks().cast(pa.string()), whole.column("f_sum").combine_chunks()
+            size = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+            kept = pc.or_(pc.equal(size, 0), pc.greater_equal(f, support))
+            columns = [pa.array([label] * len(phrase), pa.string()), phrase, size, f]
+            made.append(pa.table(columns, names=COUNTED).filter(kept))
         give_back()
-        return whole
+        return pa.concat_tables(made)
 
     return run
 
@@ -328,7 +347,7 @@ def count_phrases(
     sent = shipped.groupBy("block").applyInArrow(_send_prints(buckets, most_words), "bucket int, block int, blob binary")
     mined = sent.groupBy("bucket").applyInArrow(_mine_shards(shards, support), "block int, bucket int, blob binary")
     counted = shipped.groupBy("block").cogroup(mined.groupBy("block")).applyInArrow(
-        _count_candidates(buckets, most_words), "bucket int, blob binary"
+        _count_candidates(buckets, most_words), "bucket int, lang string, blob binary"
     )
     return counted.groupBy("bucket").applyInArrow(_add_up(support), "lang string, phrase string, size int, f long")
 
