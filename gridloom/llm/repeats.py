@@ -83,6 +83,7 @@ class Method:
     anchors: Callable[[Rolling, int], np.ndarray]  # by window start, for windows of a width
     growth: float  # packed bytes for each byte of text, roughly
     piece_bytes: int  # text worked on at a time
+    level: int = 3  # of compression of packed strings
 
 
 def as_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +96,14 @@ def unchanged(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return data, offsets
 
 
-def _pack(arrays: list[np.ndarray], text: np.ndarray | None = None) -> bytes:
+def _pack(arrays: list[np.ndarray], text: np.ndarray | None = None, level: int = 3) -> bytes:
     """Arrays of one length, the first as differences, and a text after them."""
     parts = [np.array([len(arrays[0]), 0 if text is None else len(text)], np.int64).tobytes()]
     parts.append(np.diff(arrays[0], prepend=arrays[0].dtype.type(0)).tobytes())
     parts += [a.tobytes() for a in arrays[1:]]
     if text is not None:
         parts.append(text.tobytes())
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
@@ -289,7 +290,7 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
             if k > i:
                 own = order[i:k]
                 text = gather(data, begin[own], end[own])
-                out.append((b, -1, _pack([doc[own], first[own], count[own], (end - begin)[own].astype(np.int32), part[own]], text)))
+                out.append((b, -1, _pack([doc[own], first[own], count[own], (end - begin)[own].astype(np.int32), part[own]], text, method.level)))
         joint = [np.concatenate(x) for x in zip(*marks)]
         out += [(block % buckets, block, _pack(x)) for block, x in _grouped(_block_of(joint[0], blocks), joint)]
         for i in range(0, len(out), ROWS_AT_ONCE):
