@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -13,9 +15,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import pieces, utf8
+from gridloom.session import settle
 
 WINDOW = 13
-MOST_BENCHMARK_BYTES = 16 << 20
+SLICE_BYTES = 256 << 10
 
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: A-Z become a-z, letters, digits and all bytes from 0x80 stay, the rest becomes a space.
@@ -78,40 +81,113 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
 
-def _scan(lookup):
+_BUILT: dict[str, Windows] = {}
+
+
+def _automaton(lookup, size: int) -> Windows:
+    """The automaton of a broadcast slice; a worker keeps the last one."""
+    name, items = lookup.value
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(items, size)
+    return _BUILT[name]
+
+
+def _slices(known: DataFrame, size: int, most: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in lists of about ``most`` bytes, read one after another; a long item is cut with all its windows."""
+    held, total = [], 0
+    for item, text in known.toLocalIterator():
+        words = normal_words((text or "").encode())
+        step = max(1, most * max(len(words), 1) // max(sum(map(len, words)) + len(words), 1))
+        for i in range(0, max(len(words) - size + 1, 1), step):
+            part = b" ".join(words[i : i + step + size - 1])
+            held.append((str(item), part.decode()))
+            total += len(part)
+            if total >= most:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def _made(row: pa.Array, texts: list[bytes], counts: list[int], places: list[list[tuple[int, int]]], items: list[list[str]]) -> pa.RecordBatch:
+    """Result columns from the first word and the number of words of each occurrence."""
+    hits, spans = [], []
+    for text, n, found in zip(texts, counts, places):
+        if not found:
+            hits.append(0), spans.append([])
+            continue
+        edges = np.zeros(n + 1, np.int64)
+        np.add.at(edges, [i for i, _ in found], 1)
+        np.add.at(edges, [i + k for i, k in found], -1)
+        hit = np.cumsum(edges[:-1]) > 0
+        hits.append(int(hit.sum()))
+        spans.append([{"start": s, "end": e} for s, e in _spans(text, hit)])
+    return pa.RecordBatch.from_arrays(
+        [
+            row,
+            pa.array(counts, pa.int64()),
+            pa.array(hits, pa.int64()),
+            pa.array(items, pa.list_(pa.string())),
+            pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        ],
+        names=[ROW, "n_words", "n_hit", "items", "spans"],
+    )
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    data, offsets = utf8(batch.column("_text"))
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _scan(lookup, size: int):
+    """Everything at once, for a benchmark of one slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(lookup, size)
+        for batch in pieces(batches, "_text"):
+            texts = _texts(batch)
+            found = [automaton.matches(t) for t in texts]
+            items = [sorted({x for w in {w for w, _, _ in f} for x in automaton.items[w]}) for f, _ in found]
+            yield _made(batch.column(ROW), texts, [n for _, n in found], [[(i, k) for _, i, k in f] for f, _ in found], items)
+
+    return run
+
+
+def _scan_slice(lookup, size: int):
+    """The occurrences of one slice in each document that has any."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = lookup.value
+        automaton = _automaton(lookup, size)
         for batch in pieces(batches, "_text"):
-            data, offsets = utf8(batch.column("_text"))
-            raw = data.tobytes()
-            counts, hits, items, spans = [], [], [], []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                found, n = automaton.matches(raw[a:b])
-                counts.append(n)
-                if not found:
-                    hits.append(0), items.append([]), spans.append([])
-                    continue
-                edges = np.zeros(n + 1, np.int64)
-                np.add.at(edges, [i for _, i, _ in found], 1)
-                np.add.at(edges, [i + k for _, i, k in found], -1)
-                hit = np.cumsum(edges[:-1]) > 0
-                hits.append(int(hit.sum()))
-                items.append(sorted({x for w in {w for w, _, _ in found} for x in automaton.items[w]}))
-                spans.append([{"start": s, "end": e} for s, e in _spans(raw[a:b], hit)])
+            rows = []
+            for place, text in zip(batch.column("_place").to_pylist(), _texts(batch)):
+                found, _ = automaton.matches(text)
+                if found:
+                    items = sorted({x for w in {w for w, _, _ in found} for x in automaton.items[w]})
+                    rows.append((place, sorted({(i, k) for _, i, k in found}), items))
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("count", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(ROW),
-                    pa.array(counts, pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([[{"first": i, "count": k} for i, k in r[1]] for r in rows], kind),
+                    pa.array([r[2] for r in rows], pa.list_(pa.string())),
                 ],
-                names=[ROW, "n_words", "n_hit", "items", "spans"],
+                names=["_place", "_found", "_items"],
             )
 
     return run
 
 
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "_text"):
+        texts = _texts(batch)
+        places = [[(p["first"], p["count"]) for p in found or []] for found in batch.column("_found").to_pylist()]
+        items = [sorted(x or []) for x in batch.column("_items").to_pylist()]
+        yield _made(batch.column(ROW), texts, [len(normal_words(t)) for t in texts], places, items)
+
+
 def find_benchmark_passages(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -121,7 +197,7 @@ def find_benchmark_passages(
     item_text: str = "text",
     size: int = WINDOW,
     keep: tuple[str, ...] = ("doc_id",),
-    most_bytes: int = MOST_BENCHMARK_BYTES,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """The ``keep`` columns of each document with ``n_words``, ``n_hit``, ``items`` and ``spans``.
 
@@ -133,18 +209,28 @@ def find_benchmark_passages(
 
     A null or empty text has no words and no hits; an item without words matches nothing; a null
     item id counts as ``None``; repeated items and rows change nothing; other columns are dropped
-    unless named in ``keep``. The benchmark is broadcast and must hold at most ``most_bytes`` of text,
-    which is checked first; a larger one raises ValueError and can be passed slice by slice.
+    unless named in ``keep``.
+
+    Benchmark texts are broadcast in slices of ``slice_bytes``; a worker builds and holds the automaton of
+    one slice, about 500 bytes for a byte of text. A benchmark of one slice is scanned in one pass without
+    a shuffle. A larger one is scanned slice by slice over a written copy of the documents, and the
+    occurrences, not the texts, are put together by document; any size gives the same rows.
     """
     spark = documents.sparkSession
     known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
-    held = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if held > most_bytes:
-        raise ValueError(f"the benchmark holds {held} bytes of text; {most_bytes} are allowed")
-    automaton = Windows([tuple(r) for r in known.collect()], size)
-    lookup = spark.sparkContext.broadcast(automaton)
+    lookups = [spark.sparkContext.broadcast((uuid.uuid4().hex, held)) for held in _slices(known, size, slice_bytes)]
+    lookups = lookups or [spark.sparkContext.broadcast(("", []))]
     source = with_row(documents, keep, _text=named(text))
-    return opened(source.mapInArrow(_scan(lookup), row_schema(source, FOUND)))
+    made = row_schema(source, FOUND)
+    if len(lookups) == 1:
+        return opened(source.mapInArrow(_scan(lookups[0], size), made))
+    placed = settle(source.withColumn("_place", F.monotonically_increasing_id()))
+    kind = "_place long, _found array<struct<first: int, count: int>>, _items array<string>"
+    texts = placed.select("_place", "_text")
+    found = reduce(DataFrame.unionByName, [texts.mapInArrow(_scan_slice(x, size), kind) for x in lookups])
+    joint = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("_found", "_items")]
+    whole = placed.join(found.groupBy("_place").agg(*joint), "_place", "left").drop("_place")
+    return opened(whole.mapInArrow(_merge, made))
 
 
 def contaminated() -> F.Column:

@@ -300,8 +300,23 @@ def test_contamination_spans_and_filter(spark):
     kept = contamination.decontaminate(df, items)
     assert kept.columns == df.columns
     assert sorted((r["doc_id"], r["n_hit"]) for r in kept.collect()) == [(2, "y"), (3, None), (4, "z")]
-    with pytest.raises(ValueError):
-        contamination.find_benchmark_passages(df, items, most_bytes=10)
+
+
+@pytest.mark.parametrize("slice_bytes", [40, 400, 5_000])
+def test_benchmark_in_slices(spark, slice_bytes):
+    """However small the slices of the automaton, also within one long item, the rows are the same."""
+    items = [(1, prose(200, 51)), (2, prose(9, 52)), (3, None), (4, prose(60, 53)), (5, ""), (1, prose(20, 54))]
+    bodies = [t for _, t in items if t]
+    texts = [None, "", prose(40), *bodies, " ".join(bodies), prose(30) + " " + bodies[0][100:600] + " " + bodies[1], bodies[1] + " x " + bodies[1]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    digest = contamination.contamination_digest(contamination.find_benchmark_passages(df, benchmark, slice_bytes=slice_bytes))
+    found = by_id(digest, "n_words", "n_hit", "items_sha256")
+    assert found == {d: contamination.brute_force(t, items) for d, t in rows}
+    whole = contamination.find_benchmark_passages(df, benchmark)
+    by_slices = contamination.find_benchmark_passages(df, benchmark, slice_bytes=slice_bytes)
+    assert by_id(by_slices, "spans", "items") == by_id(whole, "spans", "items")
 
 
 def test_licences(spark):
