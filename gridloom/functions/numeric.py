@@ -24,6 +24,11 @@ def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating})
 
 
+def finite(column: str) -> Column:
+    """True for numbers, false for NaN and the infinities, NULL for NULL."""
+    return F.abs(F.col(column).cast("double")) < F.lit(float("inf"))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """NULL where the denominator is zero."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

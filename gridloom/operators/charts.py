@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gridloom.functions.distributions import normal_quantile
+from gridloom.functions.numeric import finite, nan_to_null
 from gridloom.operators.learning import stratified_sample
 from gridloom.operators.quantiles import column_quantiles, first_rows, grouped_quantiles
 from gridloom.operators.statistics import strongest, target_correlations
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """CH1: equal-width bins including the empty ones; the maximum belongs to the last bin."""
+    """CH1: equal-width bins of the finite readings, empty ones too; the maximum belongs to the last bin."""
+    df = df.where(finite(column))
     low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
     spark = df.sparkSession
     if low is None:
@@ -20,7 +22,7 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     number = F.least(F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int")
-    counted = df.where(F.col(column).isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return every.join(counted, "bin", "left").select(
         "bin",
@@ -54,8 +56,8 @@ def fitted_line(points: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def boxes(df: DataFrame, group: str, value: str, reach: float = 1.5) -> DataFrame:
-    """CH3: box-plot numbers per group; whiskers end at the last reading inside the fences."""
-    known = df.select(group, value).where(F.col(value).isNotNull())
+    """CH3: box-plot numbers per group, NaN missing; whiskers end at the last reading inside the fences."""
+    known = nan_to_null(df.select(group, value), [value]).where(F.col(value).isNotNull())
     quartiles = grouped_quantiles(known, [group], value, [0.25, 0.5, 0.75]).select(
         group, *[F.col("q")[i].alias(name) for i, name in enumerate(["q1", "median", "q3"])]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from gridloom.functions.calendar import epoch_micros
-from gridloom.functions.numeric import numeric_columns, percent, present
+from gridloom.functions.numeric import finite, numeric_columns, percent, present
 from gridloom.operators import columns as cols
 from gridloom.operators.quantiles import approximate_quantiles, column_quantiles
 from gridloom.operators.series import (
@@ -132,10 +132,14 @@ def drop_iqr_outliers(
 
 
 def drop_zscore_outliers(df: DataFrame, columns: list[str], limit: float = Z_LIMIT) -> DataFrame:
-    """CLN7: keep readings closer than ``limit`` population deviations to the mean."""
+    """CLN7: keep readings closer than ``limit`` population deviations to the mean.
+
+    Mean and deviation are those of the finite readings; rows without one go.
+    """
     for c in present(df, columns):
-        mean, std = df.agg(F.avg(c), F.stddev_pop(c)).first()
-        inside = F.abs(F.col(c) - F.lit(mean)) / F.lit(std) < limit if std else F.lit(False)
+        known = F.when(finite(c), F.col(c))
+        mean, std = df.agg(F.avg(known), F.stddev_pop(known)).first()
+        inside = finite(c) & (F.abs(F.col(c) - F.lit(mean)) / F.lit(std) < limit) if std else F.lit(False)
         df = df.where(inside)
     return df
 

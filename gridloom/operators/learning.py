@@ -78,22 +78,29 @@ def quick_stratified_sample(df: DataFrame, strata: str, fractions: dict, seed: i
 
 
 def chronological_split(df: DataFrame, order: list[str], test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """ML2: the first rows train, the last rows test; ``order`` must identify a row."""
-    total = df.count()
+    """ML2: the first rows train, the last rows test; ``order`` must identify a row.
+
+    The shares are those of the rows with a known order. A row whose place cannot be told, since a
+    column of its order is NULL, trains.
+    """
+    known = df.dropna("any", subset=order)
+    total = known.count()
     cut = int(total * (1 - test_share))
     if cut >= total:
         return df, df.limit(0)
-    earlier = before_row(df, order, row_at(df, order, cut))
+    earlier = F.coalesce(before_row(df, order, row_at(known, order, cut)), F.lit(True))
     return df.where(earlier), df.where(~earlier)
 
 
 def flag_validation(train: DataFrame, order: list[str], share: float = 0.1, flag: str = "is_validation") -> DataFrame:
-    """ML10: mark the last part of the training rows."""
-    total = train.count()
+    """ML10: mark the last part of the training rows; rows whose place cannot be told are not marked."""
+    known = train.dropna("any", subset=order)
+    total = known.count()
     held = int(total * share)
     if held == 0:
         return train.withColumn(flag, F.lit(False))
-    return train.withColumn(flag, ~before_row(train, order, row_at(train, order, total - held)))
+    earlier = before_row(train, order, row_at(known, order, total - held))
+    return train.withColumn(flag, F.coalesce(~earlier, F.lit(False)))
 
 
 def standardizer(features: list[str]) -> list:

@@ -55,11 +55,6 @@ def daily_rollup(hourly: DataFrame) -> DataFrame:
     )
 
 
-def with_row_id(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """A surrogate ``id`` that follows from the key, so a refreshed row keeps it."""
-    return rows.withColumn("id", F.xxhash64(*keys))
-
-
 def merge_by_key(existing: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """JN6, SNK3: fresh rows replace existing rows of the same key; NULL keys are equal."""
     kept = join_null_safe(existing, fresh.select(*keys), keys, "left_anti")

@@ -73,19 +73,21 @@ def pearson(a: str | Column, b: str | Column) -> Column:
 
 
 def _bounded(r: Column) -> Column:
-    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], complete_rows: bool = False) -> DataFrame:
-    """(var1, var2, r) for the given pairs over rows where both are known.
+    """(var1, var2, r) for the given pairs over rows where both are known; NaN is missing.
 
-    ``complete_rows`` promises that no value is NULL and saves the pass that looks. Columns without NULLs share their deviations between pairs. Many pairs of such
+    A pair with an infinite value has no r. ``complete_rows`` promises that no value is NULL or NaN
+    and saves the pass that looks. Columns without NULLs share their deviations between pairs. Many pairs of such
     columns go through the distributed Gramian of Spark ML, whose size per task is
     features squared.
     """
     columns = list(dict.fromkeys(c for pair in pairs for c in pair))
     complete = set(columns)
     if not complete_rows:
+        df = nan_to_null(df, columns)
         missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
         complete = {c for c in columns if not missing[c]}
     if len(pairs) > WIDE_PAIRS and len(complete) == len(columns):
@@ -124,7 +126,7 @@ def _gramian_pairs(df: DataFrame, columns: list[str], pairs: list[tuple[str, str
     constant = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in columns]).first()
     place = {c: i for i, c in enumerate(columns)}
     rows = [
-        (a, b, None if constant[a] or constant[b] else max(-1.0, min(1.0, float(matrix[place[a], place[b]]))))
+        (a, b, None if constant[a] or constant[b] or math.isnan(matrix[place[a], place[b]]) else max(-1.0, min(1.0, float(matrix[place[a], place[b]]))))
         for a, b in pairs
     ]
     return df.sparkSession.createDataFrame(rows, "var1 STRING, var2 STRING, r DOUBLE")
@@ -192,7 +194,11 @@ def f_test(df: DataFrame, features: list[str], target: str, alpha: float = 0.05)
 
 
 def two_sample_t(df: DataFrame, value: str, in_first: Column) -> DataFrame:
-    """ST10 without p-value: pooled two-sample t statistic from one aggregate."""
+    """ST10 without p-value: pooled two-sample t statistic from one aggregate.
+
+    NaN is missing; with an infinite value there is no statistic.
+    """
+    df = nan_to_null(df, [value])
     a, b = F.when(in_first, F.col(value)), F.when(~in_first, F.col(value))
     facts = df.agg(
         F.count(a).alias("n1"),
@@ -205,9 +211,8 @@ def two_sample_t(df: DataFrame, value: str, in_first: Column) -> DataFrame:
     free = F.col("n1") + F.col("n2") - 2
     pooled = ratio((F.col("n1") - 1) * F.col("var1") + (F.col("n2") - 1) * F.col("var2"), free)
     error = F.sqrt(pooled * (ratio(F.lit(1), F.col("n1")) + ratio(F.lit(1), F.col("n2"))))
-    return facts.withColumn("dof", free).withColumn(
-        "t_statistic", ratio(F.col("mean1") - F.col("mean2"), error)
-    )
+    t = ratio(F.col("mean1") - F.col("mean2"), error)
+    return facts.withColumn("dof", free).withColumn("t_statistic", F.when(~F.isnan(t), t))
 
 
 def weekday_weekend_test(df: DataFrame, ts_col: str, value: str, alpha: float = 0.05) -> DataFrame:
@@ -224,13 +229,17 @@ def weekday_weekend_test(df: DataFrame, ts_col: str, value: str, alpha: float =
 
 
 def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFrame:
-    """ST11: Jarque-Bera over all rows; the p-value of a chi-square with 2 degrees is exp(-x/2)."""
+    """ST11: Jarque-Bera over all rows; the p-value of a chi-square with 2 degrees is exp(-x/2).
+
+    NaN is missing; a column with an infinite value has no score and no verdict.
+    """
+    df = nan_to_null(df, columns)
     rows = []
     for c in columns:
         varies = F.stddev_pop(c) > 0
         g1, g2 = F.when(varies, F.skewness(c)), F.when(varies, F.kurtosis(c))
         score = F.count(c) / F.lit(6.0) * (g1 * g1 + g2 * g2 / 4)
-        rows.append(F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), score.alias("jarque_bera")))
+        rows.append(F.struct(F.lit(c).alias("feature"), F.count(c).alias("n"), F.when(~F.isnan(score), score).alias("jarque_bera")))
     table = df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
     p = F.exp(-F.col("jarque_bera") / 2)
     return table.withColumn("p_value", p).withColumn("is_normal", p >= alpha)

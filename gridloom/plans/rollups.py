@@ -5,23 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.functions.joins import join_null_safe
-from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts, with_row_id
+from gridloom.operators.rollup import DAILY_KEYS, HOURLY_KEYS, daily_rollup, hourly_rollup, table_row_counts
 from gridloom.schemas import stored_schema
 from gridloom.session import scratch_scope, settle
-from gridloom.sources.tables import append_measurements, fit_schema, on_dates_of, upsert
+from gridloom.sources.ids import last_id, with_stable_ids
+from gridloom.sources.tables import append_measurements, fit_schema, on_dates_of, read_or_none, upsert
+
+
+def _numbered(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Rollup rows with the ids of the stored rows they replace, new keys numbered after all stored ones."""
+    stored = read_or_none(rows.sparkSession, path)
+    return with_stable_ids(rows, None if stored is None else on_dates_of(stored, rows), keys, last_id(stored))
 
 
 def refresh_rollups(measurements: DataFrame, hourly_path: str, daily_path: str) -> None:
     """Upsert the hours of the given measurements, then the days of those hours."""
     spark = measurements.sparkSession
     with scratch_scope(spark):
-        made = with_row_id(hourly_rollup(measurements), HOURLY_KEYS)
-        hours = settle(fit_schema(made, stored_schema("hourly_consumption")))
+        made = settle(hourly_rollup(measurements))
+        hours = settle(fit_schema(_numbered(made, hourly_path, HOURLY_KEYS), stored_schema("hourly_consumption")))
         upsert(hours, hourly_path, HOURLY_KEYS)
         stored = on_dates_of(spark.read.parquet(hourly_path), hours)
         fresh = hours.select("date", "household_id").distinct()
         touched = join_null_safe(stored, fresh, ["date", "household_id"], "left_semi")
-        days = fit_schema(with_row_id(daily_rollup(touched), DAILY_KEYS), stored_schema("daily_consumption"))
+        days = fit_schema(_numbered(settle(daily_rollup(touched)), daily_path, DAILY_KEYS), stored_schema("daily_consumption"))
         upsert(days, daily_path, DAILY_KEYS)
 
 

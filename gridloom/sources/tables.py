@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from gridloom.functions.joins import join_null_safe
 from gridloom.operators.columns import require_columns, to_storage_names
 from gridloom.operators.reshape import submeter_rows
 from gridloom.operators.rollup import merge_by_key
 from gridloom.schemas import MEASUREMENT_COLUMNS, stored_schema
 from gridloom.session import scratch_scope, settle
+from gridloom.sources.ids import last_id, number_rows
 
 FILE_ROWS = 5_000_000
+HOUSEHOLD_KEYS = ["name", "location"]
 
 
 def fit_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -39,12 +42,17 @@ def split_by_fit(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFr
     return told.where(F.size("misfits") == 0).drop("misfits"), told.where(F.size("misfits") > 0)
 
 
-def write_dated(df: DataFrame, path: str, ts_col: str | None = None, mode: str = "overwrite") -> None:
-    """SNK1: one folder per date. The hint lets AQE split a heavy date and join light ones."""
+def write_dated(df: DataFrame, path: str, ts_col: str | None = None, mode: str = "overwrite", order: list[str] | None = None) -> None:
+    """SNK1: one folder per date. The hint lets AQE split a heavy date and join light ones.
+
+    With an ``order``, rows lie in it inside each file, so that readers skip row groups by its columns.
+    """
     dated = df.withColumn("date", F.to_date(ts_col)) if ts_col else df
+    dated = dated.hint("rebalance", "date")
+    if order:
+        dated = dated.sortWithinPartitions("date", *order)
     (
-        dated.hint("rebalance", "date")
-        .write.mode(mode)
+        dated.write.mode(mode)
         .option("maxRecordsPerFile", FILE_ROWS)
         .partitionBy("date")
         .parquet(path)
@@ -67,23 +75,27 @@ def measurement_rows(readings: DataFrame, household_id: int | Column | None = No
 
 
 def append_measurements(readings: DataFrame, path: str, household_id: int | None = None) -> None:
-    """SNK2: append readings; ids are hashes of the natural key."""
-    rows = measurement_rows(readings, household_id).withColumn(
-        "id", F.xxhash64("household_id", "timestamp")
-    )
-    typed = fit_schema(rows, stored_schema("energy_measurements"))
-    write_dated(typed.withColumn("created_at", F.current_timestamp()), path, "timestamp", mode="append")
+    """SNK2: append readings, numbered after the stored ones, and in files by household and time.
+
+    One writer at a time: two appends at once would start from the same id.
+    """
+    spark, key = readings.sparkSession, ["household_id", "timestamp"]
+    with scratch_scope(spark):
+        rows = number_rows(measurement_rows(readings, household_id), key, last_id(read_or_none(spark, path)))
+        typed = fit_schema(rows, stored_schema("energy_measurements"))
+        write_dated(typed.withColumn("created_at", F.current_timestamp()), path, "timestamp", mode="append", order=key)
 
 
 def append_submeters(readings: DataFrame, measurements: DataFrame, path: str) -> None:
     """RSH1 stored: one row per measurement and meter, linked by household and time."""
-    rows = submeter_rows(readings, measurements, ["household_id", "timestamp"]).withColumn(
-        "id", F.xxhash64("measurement_id", "meter_type")
-    )
-    fit_schema(rows, stored_schema("sub_meters")).write.mode("append").partitionBy("meter_type").parquet(path)
+    spark = readings.sparkSession
+    rows = submeter_rows(readings, measurements, ["household_id", "timestamp"])
+    with scratch_scope(spark):
+        numbered = number_rows(rows, ["measurement_id", "meter_type"], last_id(read_or_none(spark, path)))
+        fit_schema(numbered, stored_schema("sub_meters")).write.mode("append").partitionBy("meter_type").parquet(path)
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as problem:
@@ -110,7 +122,7 @@ def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
     cannot be overwritten while it is read; dynamic overwrite leaves other dates alone.
     """
     merged = fresh
-    existing = _read_or_none(fresh.sparkSession, path)
+    existing = read_or_none(fresh.sparkSession, path)
     with scratch_scope(fresh.sparkSession):
         if existing is not None:
             fresh = settle(fresh)
@@ -127,18 +139,21 @@ def upsert(fresh: DataFrame, path: str, keys: list[str]) -> None:
 
 
 def household_rows(new: DataFrame) -> DataFrame:
-    """SNK4: household rows with an id that follows from name and location."""
-    require_columns(new, ["name", "location"])
-    return new.withColumn("id", F.xxhash64("name", "location"))
+    """SNK4: one row for each name and location; of several, the one whose other values come first."""
+    require_columns(new, HOUSEHOLD_KEYS)
+    others = [c for c in new.columns if c not in [*HOUSEHOLD_KEYS, "id"]]
+    if not others:
+        return new.select(*HOUSEHOLD_KEYS).distinct()
+    return new.groupBy(*HOUSEHOLD_KEYS).agg(F.min(F.struct(*others)).alias("_rest")).select(*HOUSEHOLD_KEYS, "_rest.*")
 
 
 def add_households(new: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """SNK4: the dimension with new households added once."""
-    rows = household_rows(new).dropDuplicates(["id"])
+    """SNK4: the dimension with new households added once, numbered after the ones that keep their ids."""
+    rows = household_rows(new)
     if existing is None:
-        return rows
-    unseen = rows.join(existing.select("id"), "id", "left_anti")
-    return existing.unionByName(unseen, allowMissingColumns=True)
+        return number_rows(rows, HOUSEHOLD_KEYS)
+    unseen = join_null_safe(rows, existing.select(*HOUSEHOLD_KEYS), HOUSEHOLD_KEYS, "left_anti")
+    return existing.unionByName(number_rows(unseen, HOUSEHOLD_KEYS, last_id(existing)), allowMissingColumns=True)
 
 
 def append_predictions(predictions: DataFrame, path: str) -> None:

@@ -2,10 +2,11 @@
 
 from datetime import date, datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import cleaning, rollup
+from gridloom.operators import charts, cleaning, learning, rollup, statistics
 from gridloom.operators.series import SeriesKey
 from gridloom.plans.exploration import exploration_report, selection_report
 from gridloom.plans.features import feature_table
@@ -14,6 +15,7 @@ from gridloom.plans.training import train_and_evaluate
 from gridloom.schemas import READING_COLUMNS, STORED_TABLES, stored_schema
 from gridloom.session import scratch_folder, settle
 from gridloom.sources import logs, tables
+from gridloom.sources.ids import number_rows
 from workloads.base import frame, readings
 from workloads.learning import FEATURES, ORDER, _training_table
 
@@ -140,3 +142,72 @@ def test_raw_log_to_features(spark, tmp_path):
     table = feature_table(cleaned, key).drop(*logs.FILE_ORDER, "household_id")
     assert len(table.columns) == 2 + 24 + 10 + 6
     assert table.count() == 2879 - 1440
+
+
+def test_rows_are_numbered_over_slices(spark):
+    """Dense ids in the order of the keys, however many slices; NULLs first; equal rows get ids of their own."""
+    rows = [(i % 7 if i % 5 else None, i % 3) for i in range(200)] + [(3, 1)] * 100
+    df = spark.createDataFrame(rows, "a INT, b INT")
+    for slices in (1, 4, 40):
+        found = sorted((r["id"], r["a"], r["b"]) for r in number_rows(df, ["a", "b"], 1000, slices=slices).collect())
+        assert [r[0] for r in found] == list(range(1001, 1301))
+        order = [(r[1] is not None, r[1] or 0, r[2]) for r in found]
+        assert order == sorted(order)
+
+
+def test_rollup_ids_stay(spark, tmp_path):
+    def log(day, power):
+        rows = [(datetime(2024, 1, day, h, 5), power, 0.0, 240.0, 1.0) for h in range(3)]
+        names = "timestamp TIMESTAMP, Global_active_power DOUBLE, Global_reactive_power DOUBLE, Voltage DOUBLE, Global_intensity DOUBLE"
+        return spark.createDataFrame(rows, names)
+
+    def ids(name):
+        rows = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        return {(r["date"], r["hour"] if name.startswith("hourly") else 0): r["id"] for r in rows}
+
+    store_and_roll_up(spark, log(1, 1.0), str(tmp_path), 7)
+    before = ids("hourly_consumption")
+    store_and_roll_up(spark, log(2, 2.0), str(tmp_path), 7)
+    store_and_roll_up(spark, log(1, 4.0), str(tmp_path), 7)
+    after = ids("hourly_consumption")
+    assert sorted(after.values()) == list(range(1, 7)) and before.items() <= after.items()
+    assert sorted(ids("daily_consumption").values()) == [1, 2]
+    measured = [r["id"] for r in spark.read.parquet(f"{tmp_path}/energy_measurements").collect()]
+    assert sorted(measured) == list(range(1, 10))
+
+
+def test_households_of_one_hash_stay_apart(spark, monkeypatch):
+    """No hash decides which household is which."""
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    new = spark.createDataFrame([("a", "x", 5), ("a", "x", 4), ("b", "x", 3), (None, None, 2)], "name STRING, location STRING, occupants INT")
+    first = tables.add_households(new, None)
+    assert sorted((r["id"], r["name"] or "", r["occupants"]) for r in first.collect()) == [(1, "", 2), (2, "a", 4), (3, "b", 3)]
+    more = spark.createDataFrame([("c", "x", 1), (None, None, 9)], new.schema)
+    assert sorted((r["id"], r["name"] or "") for r in tables.add_households(more, first).collect()) == [(1, ""), (2, "a"), (3, "b"), (4, "c")]
+
+
+def test_files_are_ordered_by_household(spark, tmp_path):
+    """Row groups of a file cover households in order, so a reader of one household skips the others."""
+    rows = [(datetime(2024, 1, 1, h, m), (h * 60 + m) * 37 % 50, 1.0, 0.0, 240.0, 1.0) for h in range(24) for m in range(60)]
+    names = "timestamp TIMESTAMP, household_id BIGINT, Global_active_power DOUBLE, Global_reactive_power DOUBLE, Voltage DOUBLE, Global_intensity DOUBLE"
+    tables.append_measurements(spark.createDataFrame(rows, names).repartition(5), str(tmp_path / "m"))
+    for path in (tmp_path / "m").rglob("*.parquet"):
+        found = pq.ParquetFile(path).read(columns=["household_id", "timestamp"]).to_pylist()
+        assert found == sorted(found, key=lambda r: (r["household_id"], r["timestamp"]))
+
+
+def test_missing_and_infinite_readings_in_charts_and_flags(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, 3.0), (1, nan), (1, None), (1, inf)], "g INT, v DOUBLE")
+    assert sum(r["n"] for r in charts.histogram(df, "v", 4).collect()) == 3
+    (box,) = charts.boxes(df.where("v is null or v < 100 or isnan(v)"), "g", "v").collect()
+    assert box["median"] == 2.0 and box["outliers"] == 0
+    (row,) = statistics.normality(df, ["v"]).collect()
+    assert row["n"] == 4 and row["jarque_bera"] is None and row["is_normal"] is None
+    (r,) = statistics.target_correlations(df.withColumn("w", F.col("g") + F.coalesce("v", F.lit(0.0))), ["w"], "v").collect()
+    assert r["pearson"] is None
+    times = spark.createDataFrame([(i, i if i % 5 else None) for i in range(20)], "id INT, t INT")
+    flags = {r["id"]: r["is_validation"] for r in learning.flag_validation(times, ["t"], 0.25).collect()}
+    assert [i for i, f in flags.items() if f] == [16, 17, 18, 19]
+    train, test = learning.chronological_split(times, ["t"], 0.1)
+    assert train.count() == 19 - test.count() + 1 and test.count() == 2

@@ -13,6 +13,7 @@ from gridloom.plans import exploration, features
 from gridloom.schemas import READING_COLUMNS, stored_schema
 from gridloom.session import scratch_folder
 from gridloom.sources import logs, tables
+from workloads.analysis import _moments
 from workloads.base import FRAME, ONE_SERIES, READINGS, frame, query, readings, table
 from workloads.cleaning import _fill_sql, _interpolation_sql
 from workloads.windows import _lag_sql, _rolling_digits, _rolling_sql
@@ -391,3 +392,69 @@ def _(spark, sf):
     sizes = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     taken = sample.groupBy("event_type").agg(F.count(F.lit(1)).alias("k"))
     return sizes.join(taken, "event_type").select("event_type", (F.abs(F.col("k") - F.col("n") / 2) < 2.5 * F.sqrt("n")).alias("within"))
+
+
+UNSURE = """(SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN value END AS v, event_id::DOUBLE AS n FROM events)"""
+
+
+def _unsure(spark, sf, *, infinite: bool = False):
+    """NaN for every error, and if asked an infinity for every signup."""
+    kind = F.col("event_type")
+    value = F.when(kind == "error", F.lit(float("nan")))
+    if infinite:
+        value = value.when(kind == "signup", F.lit(float("inf")))
+    events = table(spark, sf, "events")
+    return events.select("event_id", "ts", value.otherwise(F.col("value")).alias("v"), F.col("event_id").cast("double").alias("n"))
+
+
+@query(
+    "st3_pearson_nan",
+    " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM {UNSURE} AS k WHERE v IS NOT NULL OR '{a}{b}' = 'nn'" for a in "vn" for b in "vn"),
+    r=8,
+)
+def _(spark, sf):
+    return statistics.pearson_matrix(_unsure(spark, sf), ["v", "n"])
+
+
+@query(
+    "st10_two_sample_t_nan",
+    f"""WITH g AS (SELECT v, isodow(ts) <= 5 AS a FROM {UNSURE} AS k),
+f AS (SELECT count(v) FILTER (WHERE a) AS n1, count(v) FILTER (WHERE NOT a) AS n2, avg(v) FILTER (WHERE a) AS mean1,
+  avg(v) FILTER (WHERE NOT a) AS mean2, var_samp(v) FILTER (WHERE a) AS var1, var_samp(v) FILTER (WHERE NOT a) AS var2 FROM g)
+SELECT *, n1 + n2 - 2 AS dof, (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)
+  * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n2)) AS t_statistic FROM f""",
+    mean1=6, mean2=6, var1=5, var2=5, t_statistic=6,
+)
+def _(spark, sf):
+    return statistics.two_sample_t(_unsure(spark, sf), "v", F.weekday("ts") < 5)
+
+
+@query(
+    "st11_normality_nan",
+    f"SELECT *, exp(-jarque_bera / 2) AS p_value, exp(-jarque_bera / 2) >= 0.05 AS is_normal FROM ({_moments('v', UNSURE)})",
+    jarque_bera=3, p_value=6,
+)
+def _(spark, sf):
+    return statistics.normality(_unsure(spark, sf), ["v"])
+
+
+@query(
+    "cln7_zscore_nan_and_infinity",
+    """WITH k AS (SELECT event_id, value FROM events WHERE event_type NOT IN ('error', 'signup'))
+SELECT event_id FROM k WHERE abs(value - (SELECT avg(value) FROM k)) / (SELECT stddev_pop(value) FROM k) < 3""",
+)
+def _(spark, sf):
+    return cleaning.drop_zscore_outliers(_unsure(spark, sf, infinite=True), ["v"]).select("event_id")
+
+
+@query(
+    "ml2_split_null_times",
+    """WITH k AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS n FROM events WHERE event_type <> 'error')
+SELECT event_id, coalesce(i > floor(n * 0.8::DOUBLE), false) AS tested FROM events LEFT JOIN k USING (event_id)""",
+)
+def _(spark, sf):
+    """Errors have no time; every row is on exactly one side."""
+    events = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"))
+    train, test = learning.chronological_split(events, ["ts", "event_id"])
+    sides = train.withColumn("tested", F.lit(False)).unionByName(test.withColumn("tested", F.lit(True)))
+    return sides.select("event_id", "tested")

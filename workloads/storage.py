@@ -106,6 +106,40 @@ def _(spark, sf):
     )
 
 
+@query(
+    "snk2_measurement_ids",
+    """WITH parts AS (SELECT user_id AS household_id, epoch_us(ts) AS timestamp, event_type = 'purchase' AS later FROM events)
+SELECT household_id, timestamp, row_number() OVER (ORDER BY later, household_id, timestamp) AS id FROM parts""",
+)
+def _(spark, sf):
+    """Two appends: the second is numbered after the first, which keeps its ids."""
+    path = _folder(spark)
+    kind = F.col("event_type")
+    for part in (kind != "purchase", kind == "purchase"):
+        log = table(spark, sf, "events").where(part).select(
+            F.col("ts").cast("timestamp").alias("timestamp"),
+            F.col("user_id").alias("household_id"),
+            F.col("value").alias("Global_active_power"),
+            F.lit(0.0).alias("Global_reactive_power"),
+            F.lit(240.0).alias("Voltage"),
+            F.lit(1.0).alias("Global_intensity"),
+        )
+        tables.append_measurements(log, path)
+    return spark.read.parquet(path).select("household_id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "id")
+
+
+@query(
+    "snk4_household_ids",
+    """WITH h AS (SELECT DISTINCT c_name AS name, n_name AS location FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT name, location, row_number() OVER (ORDER BY location >= 'J', name, location) AS id FROM h""",
+)
+def _(spark, sf):
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("location"))
+    customers = table(spark, sf, "customer").join(nations, "c_nationkey").select(F.col("c_name").alias("name"), "location")
+    some = tables.add_households(customers.where(F.col("location") < "J"), None)
+    return tables.add_households(customers, some).select("name", "location", "id")
+
+
 @query(
     "snk2_append_submeters",
     f"""WITH j AS (SELECT id AS measurement_id, Sub_metering_1 AS k, Sub_metering_2 AS l, Sub_metering_3 AS c
