@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import flat_ranges, give_back, pieces, utf8
 
-CORPUS_BYTES = 8 << 20
-KNOWN_WORDS = 1 << 19
+CORPUS_BYTES = 4 << 20
+KNOWN_WORDS = 1 << 18
 
 
 class Vocabulary:
@@ -193,7 +193,7 @@ def encode_documents(
 
     ``vocabulary`` is a text table of rank lines (base64 of the bytes, rank), read by
     ``read_vocabulary``; it is broadcast, and its size does not depend on the documents. Each match
-    of ``pattern`` is encoded on its own, without special tokens. A task takes about 8 MB of text
+    of ``pattern`` is encoded on its own, without special tokens. A task takes about 4 MB of text
     at a time and replays the merges over its distinct words, so no shuffle is needed and memory
     does not grow with the input.
 

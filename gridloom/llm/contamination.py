@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -81,18 +80,6 @@ def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 FOUND = "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>"
 
 
-_BUILT: dict[str, Windows] = {}
-
-
-def _automaton(lookup, size: int) -> Windows:
-    """The automaton of a broadcast slice; a worker keeps the last one."""
-    name, items = lookup.value
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Windows(items, size)
-    return _BUILT[name]
-
-
 def _slices(known: DataFrame, size: int, most: int) -> Iterator[list[tuple[str, str]]]:
     """The items in lists of about ``most`` bytes, read one after another; a long item is cut with all its windows."""
     held, total = [], 0
@@ -145,7 +132,7 @@ def _scan(lookup, size: int):
     """Everything at once, for a benchmark of one slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(lookup, size)
+        automaton = Windows(lookup.value, size)  # built by the task, and gone with it
         for batch in pieces(batches, "_text"):
             texts = _texts(batch)
             found = [automaton.matches(t) for t in texts]
@@ -159,7 +146,7 @@ def _scan_slice(lookup, size: int):
     """The occurrences of one slice in each document that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(lookup, size)
+        automaton = Windows(lookup.value, size)  # built by the task, and gone with it
         for batch in pieces(batches, "_text"):
             rows = []
             for place, text in zip(batch.column("_place").to_pylist(), _texts(batch)):
@@ -211,15 +198,15 @@ def find_benchmark_passages(
     item id counts as ``None``; repeated items and rows change nothing; other columns are dropped
     unless named in ``keep``.
 
-    Benchmark texts are broadcast in slices of ``slice_bytes``; a worker builds and holds the automaton of
+    Benchmark texts are broadcast in slices of ``slice_bytes``; a task builds and holds the automaton of
     one slice, about 500 bytes for a byte of text. A benchmark of one slice is scanned in one pass without
     a shuffle. A larger one is scanned slice by slice over a written copy of the documents, and the
     occurrences, not the texts, are put together by document; any size gives the same rows.
     """
     spark = documents.sparkSession
     known = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
-    lookups = [spark.sparkContext.broadcast((uuid.uuid4().hex, held)) for held in _slices(known, size, slice_bytes)]
-    lookups = lookups or [spark.sparkContext.broadcast(("", []))]
+    lookups = [spark.sparkContext.broadcast(held) for held in _slices(known, size, slice_bytes)]
+    lookups = lookups or [spark.sparkContext.broadcast([])]
     source = with_row(documents, keep, _text=named(text))
     made = row_schema(source, FOUND)
     if len(lookups) == 1:
