@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import association, charts, evaluation, selection, statistics
+from gridloom.operators import association, charts, evaluation, neighbours, selection, statistics
 from gridloom.operators.series import drop_halo, lags, with_look_back
 from workloads.base import BY_USER, FRAME, READINGS, frame, query, readings, table
 
@@ -171,6 +171,40 @@ def _(spark, sf):
     return association.mutual_information(frame(spark, sf), FEATURES, TARGET)
 
 
+def _psi(n: str) -> str:
+    """Digamma of a positive number."""
+    steps = " - ".join(f"1 / ({n} + {i}.0::DOUBLE)" for i in range(6))
+    z = f"({n} + 6.0::DOUBLE)"
+    return f"(ln{z} - 0.5 / {z} - 1 / (12 * {z}^2) + 1 / (120 * {z}^4) - 1 / (252 * {z}^6) + 1 / (240 * {z}^8) - {steps})"
+
+
+def _neighbour_sql(features: list[str], target: str, source: str, k: int = 5) -> str:
+    """All pairs of rows: the k-th distance, then the rows within it on each axis."""
+    tall = _union([
+        f"""SELECT '{f}' AS feature, row_number() OVER () AS id, {f} / (SELECT stddev_pop({f}) FROM {source}) AS x,
+{target} / (SELECT stddev_pop({target}) FROM {source}) AS y FROM {source}"""
+        for f in features
+    ])
+    far = "greatest(abs(a.x - b.x), abs(a.y - b.y))"
+    near = "reach * (1 - 1e-9::DOUBLE)"
+    return f"""WITH p AS MATERIALIZED ({tall}),
+d AS MATERIALIZED (SELECT a.feature, a.id, a.x, a.y, min({far}, {k})[{k}] AS reach, count_if({far} = 0) + 1 AS copies
+  FROM p AS a JOIN p AS b ON a.feature = b.feature AND a.id <> b.id GROUP BY ALL),
+c AS (SELECT a.feature, a.id, reach, copies,
+  count_if(b.x BETWEEN a.x - {near} AND a.x + {near}) AS nx, count_if(b.y BETWEEN a.y - {near} AND a.y + {near}) AS ny
+  FROM d AS a JOIN p AS b USING (feature) GROUP BY ALL),
+m AS (SELECT feature, greatest(0, avg(CASE WHEN reach = 0 THEN {_psi('copies')} ELSE {_psi(k)} END - {_psi('nx')} - {_psi('ny')})
+  + {_psi('count(*)')}) AS mi_score FROM c GROUP BY 1)
+SELECT feature, mi_score, mi_score / max(mi_score) OVER () AS mi_normalized FROM m"""
+
+
+@query(
+    "st8_neighbour_information", _neighbour_sql(["p_size", "p_partkey"], "p_retailprice", "part"), mi_score=7, mi_normalized=6
+)
+def _(spark, sf):
+    return neighbours.neighbour_information(table(spark, sf, "part"), ["p_size", "p_partkey"], "p_retailprice")
+
+
 F_SQL = f"""SELECT feature, n, pearson AS r, pearson * pearson / (1 - pearson * pearson) * (n - 2) AS f_score
 FROM ({_target_sql(FEATURES, TARGET, FRAME, 'pearson')}), (SELECT count(*) AS n FROM lineitem)"""
 
