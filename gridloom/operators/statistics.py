@@ -12,8 +12,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.distributions import f_tail, t_two_sided
-from gridloom.functions.numeric import nan_to_null, ratio
-from gridloom.operators.quantiles import EXACT_ROWS, column_quantiles
+from gridloom.functions.numeric import nan_to_null, normal_score, normal_share, ratio
+from gridloom.operators.quantiles import EXACT_ROWS, column_quantiles, ordered_values
 
 WIDE_PAIRS = 60
 SUMMARY_COLUMNS = 12
@@ -245,6 +245,36 @@ def normality(df: DataFrame, columns: list[str], alpha: float = 0.05) -> DataFra
     return table.withColumn("p_value", p).withColumn("is_normal", p >= alpha)
 
 
+def rank_normality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """ST11: (feature, n, shapiro_francia, largest_gap) over all rows.
+
+    ``shapiro_francia`` is the squared correlation of the values with the normal scores of their
+    ranks, ties sharing their average rank; ``largest_gap`` the largest distance between the shares
+    of rows and of the fitted normal distribution. Values are counted and ordered in slices, so no
+    task sorts a column. NaN is missing; a constant column, or one with an infinite value, has neither.
+    """
+    tall = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    values = ordered_values(tall, ["feature"], "value")
+    facts = values.groupBy("feature").agg(F.sum("n").alias("rows"), F.max(F.abs("value")).alias("far"), F.count(F.lit(1)).alias("distinct"))
+    sums = values.join(facts.where((F.col("far") < math.inf) & (F.col("distinct") > 1)), "feature").groupBy("feature").agg(
+        F.max("rows").alias("all_rows"), F.sum(F.col("value") / F.col("rows") * F.col("n")).alias("mean")
+    )
+    centred = values.join(sums, "feature").withColumn("c", F.col("value") - F.col("mean"))
+    spread = centred.groupBy("feature").agg(F.sqrt(F.sum(F.col("n") * F.col("c") * F.col("c")) / (F.max("all_rows") - 1.0)).alias("sd"))
+    placed = centred.join(spread.where(F.col("sd") > 0), "feature")
+    score = normal_score((F.col("below") + (F.col("n") + 1) / 2.0 - 0.375) / (F.col("all_rows") + 0.25))
+    share = normal_share(F.col("c") / F.col("sd"))
+    low, high = F.col("below") / F.col("all_rows"), (F.col("below") + F.col("n")) / F.col("all_rows")
+    placed = placed.select("feature", "n", "c", score.alias("m"), F.greatest(F.abs(share - low), F.abs(high - share)).alias("gap"))
+    across, within = F.sum(F.col("n") * F.col("m") * F.col("c")), F.sum(F.col("n") * F.col("m") * F.col("m"))
+    scores = placed.groupBy("feature").agg(
+        ratio(across * across, within * F.sum(F.col("n") * F.col("c") * F.col("c"))).alias("shapiro_francia"), F.max("gap").alias("largest_gap")
+    )
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "feature STRING")
+    counted = names.join(facts, "feature", "left").join(scores, "feature", "left")
+    return counted.select("feature", F.coalesce("rows", F.lit(0).cast("long")).alias("n"), "shapiro_francia", "largest_gap")
+
+
 def explained_variance(df: DataFrame, features: list[str], components: int | None = None) -> DataFrame:
     """ST12: variance share and running share per principal component of standardized data."""
     known = df.select(*features).dropna()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions import numeric
 from gridloom.operators import association, charts, evaluation, neighbours, selection, statistics
 from gridloom.operators.series import drop_halo, lags, with_look_back
 from workloads.base import BY_USER, FRAME, READINGS, frame, query, readings, table
@@ -254,6 +255,39 @@ def _(spark, sf):
     return statistics.normality(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+def _poly(coefficients: list[float], x: str) -> str:
+    text = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        text = f"({text} * {x} + {c!r}::DOUBLE)"
+    return text
+
+
+def _rank_normality_sql(column: str, source: str) -> str:
+    far = "sqrt(-2 * ln(least(p, 1 - p)))"
+    tail = f"({_poly(numeric.TAIL_TOP, far)} / {_poly(numeric.TAIL_BOTTOM, far)})"
+    square = "((p - 0.5::DOUBLE) * (p - 0.5::DOUBLE))"
+    middle = f"((p - 0.5::DOUBLE) * {_poly(numeric.MIDDLE_TOP, square)} / {_poly(numeric.MIDDLE_BOTTOM, square)})"
+    above = f"({_poly(numeric.ERROR_TERMS, f'(1 / (1 + {numeric.ERROR_SHRINK}::DOUBLE * abs(z) / sqrt(2)))')} * exp(-z * z / 2) / 2)"
+    return f"""SELECT '{column}' AS feature, count(*) AS n, power(corr(v, m), 2) AS shapiro_francia,
+max(greatest(abs(share - low), abs(high - share))) AS largest_gap FROM (
+SELECT v, low, high, CASE WHEN abs(p - 0.5) <= 0.47575 THEN {middle} WHEN p < 0.5 THEN {tail} ELSE -{tail} END AS m,
+  CASE WHEN z < 0 THEN {above} ELSE 1 - {above} END AS share FROM (
+SELECT {column} AS v, ({column} - avg({column}) OVER ()) / stddev_samp({column}) OVER () AS z,
+  (rank() OVER (ORDER BY {column}) - 1) / (count(*) OVER ())::DOUBLE AS low,
+  (rank() OVER (ORDER BY {column}) - 1 + count(*) OVER (PARTITION BY {column})) / (count(*) OVER ())::DOUBLE AS high,
+  (rank() OVER (ORDER BY {column}) - 1 + (count(*) OVER (PARTITION BY {column}) + 1) / 2.0::DOUBLE - 0.375) / (count(*) OVER () + 0.25::DOUBLE) AS p
+FROM {source} WHERE {column} IS NOT NULL))"""
+
+
+@query(
+    "st11_rank_normality",
+    _union([_rank_normality_sql("value", "events"), _rank_normality_sql("reading", READINGS)]),
+    shapiro_francia=7, largest_gap=7,
+)
+def _(spark, sf):
+    return statistics.rank_normality(readings(spark, sf), ["value", "reading"])
+
+
 @query("st12_pca_variance")
 def _(spark, sf):
     return statistics.explained_variance(frame(spark, sf), COLUMNS)
