@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.operators.association import inner_edges, quantile_bin
 from gridloom.operators.quantiles import before_row, column_quantiles, order_statistics, row_at
+from gridloom.operators.trees import BinnedTrees
 
 SEED = 42
 MOST_TIED = 100_000
@@ -170,7 +171,7 @@ def fit(train: DataFrame, features: list[str], model: Estimator) -> PipelineMode
     return Pipeline(stages=[*standardizer(features), model]).fit(train)
 
 
-def score(models: dict[str, PipelineModel], test: DataFrame, target: str, keep: list[str]) -> DataFrame:
+def score(models: dict[str, PipelineModel | BinnedTrees], test: DataFrame, target: str, keep: list[str]) -> DataFrame:
     """ML9: (keep..., model_name, y, y_hat) for all models."""
     parts = [
         model.transform(test).select(*keep, F.lit(name).alias("model_name"), F.col(target).alias("y"), "y_hat")
@@ -179,15 +180,19 @@ def score(models: dict[str, PipelineModel], test: DataFrame, target: str, keep:
     return reduce(DataFrame.unionByName, parts)
 
 
-def importances(df: DataFrame, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
-    """ML7: (model_name, feature, importance, importance_pct) of every tree model."""
+def importances(df: DataFrame, models: dict[str, PipelineModel | BinnedTrees], names: list[str]) -> DataFrame:
+    """ML7: (model_name, feature, importance, importance_pct) of every tree model; ``names`` are the features of the pipelines."""
     rows = []
     for name, model in models.items():
-        weights = getattr(model.stages[-1], "featureImportances", None)
-        if weights is None:
-            continue
-        total = float(sum(weights.toArray())) or 1.0
-        rows += [(name, f, float(w), 100.0 * float(w) / total) for f, w in zip(features, weights.toArray())]
+        if isinstance(model, BinnedTrees):
+            features, weights = model.features, model.weights()
+        else:
+            vector = getattr(model.stages[-1], "featureImportances", None)
+            if vector is None:
+                continue
+            features, weights = names, vector.toArray()
+        total = float(sum(weights)) or 1.0
+        rows += [(name, f, float(w), 100.0 * float(w) / total) for f, w in zip(features, weights)]
     schema = "model_name STRING, feature STRING, importance DOUBLE, importance_pct DOUBLE"
     return df.sparkSession.createDataFrame(rows, schema)
 

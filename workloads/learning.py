@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from gridloom.functions.calendar import add_calendar
-from gridloom.operators import evaluation, learning
+from gridloom.operators import evaluation, learning, trees
 from gridloom.operators.series import drop_halo, lags, with_look_back
 from gridloom.plans.training import train_and_evaluate
 from gridloom.session import settle
@@ -129,6 +131,129 @@ def _(spark, sf):
     return _agreement(learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]))
 
 
+TREE_FEATURES = ["lag_1", "lag_2", "hour"]
+TREE_BINS = 16
+# Depth 3 keeps the SQL short; all other rules are those of the defaults.
+SHALLOW_BOOSTED = replace(trees.BOOSTED, depth=3)
+SHALLOW_FOREST = replace(trees.FOREST, depth=3)
+
+
+def _tree_ctes(turn: int, rules: trees.Growth) -> str:
+    """The tree of a round from the gradients ``grad{turn}``: nodes of all rows by level, and facts of all nodes.
+
+    Neither tree loses a split to pruning on the given tables, so the SQL leaves it out.
+    """
+
+    def kept(g):
+        return f"greatest(abs({g}) - {rules.l1!r}::DOUBLE, 0::DOUBLE)"
+
+    def score(g, h):
+        return f"({kept(g)} * {kept(g)} / ({h} + {rules.l2!r}::DOUBLE))"
+
+    parts = [f"at{turn}_0 AS (SELECT event_id, 0 AS node FROM r)"]
+    for level in range(rules.depth + 1):
+        at, facts, best = f"at{turn}_{level}", f"facts{turn}_{level}", f"best{turn}_{level}"
+        parts.append(
+            f"""{facts} AS (SELECT node, -sign(sum(g)) * {kept("sum(g)")} / (count(*) + {rules.l2!r}::DOUBLE) AS value, count(*) AS n_rows
+  FROM grad{turn} JOIN {at} USING (event_id) WHERE NOT is_test GROUP BY node)"""
+        )
+        if level == rules.depth:
+            break
+        parts.append(
+            f"""cells{turn}_{level} AS (SELECT node, f, bin, sum(g) AS g, count(*) AS n FROM grad{turn} JOIN {at} USING (event_id) JOIN b USING (event_id)
+  WHERE NOT is_test GROUP BY ALL),
+sums{turn}_{level} AS (SELECT *, sum(g) OVER whole AS ga, sum(n) OVER whole AS na, sum(g) OVER up_to AS gl, sum(n) OVER up_to AS nl FROM cells{turn}_{level}
+  WINDOW whole AS (PARTITION BY node, f), up_to AS (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+gains{turn}_{level} AS (SELECT *, {score("gl", "nl")} + {score("(ga - gl)", "(na - nl)")} - {score("ga", "na")} AS gain FROM sums{turn}_{level}
+  WHERE nl < na AND na >= {rules.split_rows} AND least(nl, na - nl) >= {max(rules.leaf_rows, rules.leaf_weight)}),
+{best} AS (SELECT node, f, bin AS cut, gain FROM gains{turn}_{level} WHERE gain > 1e-6::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain::FLOAT DESC, f, bin) = 1),
+at{turn}_{level + 1} AS (SELECT b.event_id, 2 * node + 1 + (b.bin > cut)::INT AS node FROM {at} JOIN {best} USING (node) JOIN b USING (event_id, f))"""
+        )
+    each = range(rules.depth)
+    parts.append(f"splits{turn} AS ({' UNION ALL '.join(f'SELECT * FROM best{turn}_{level}' for level in each)})")
+    parts.append(f"facts{turn} AS ({' UNION ALL '.join(f'SELECT * FROM facts{turn}_{level}' for level in (*each, rules.depth))})")
+    parts.append(
+        f"""leaves{turn} AS (SELECT event_id, value FROM ({' UNION ALL '.join(f'SELECT * FROM at{turn}_{level}' for level in (*each, rules.depth))})
+  JOIN facts{turn} USING (node) WHERE node NOT IN (SELECT node FROM splits{turn}))"""
+    )
+    return ",\n".join(parts)
+
+
+TREE_ROWS_SQL = f"""WITH r AS (SELECT event_id, value AS y, lag_1, lag_2, hour(ts)::DOUBLE AS hour,
+  row_number() OVER (ORDER BY ts, event_id) > floor(count(*) OVER () * 0.8::DOUBLE) AS is_test
+  FROM (SELECT event_id, ts, value, lag(value, 1) OVER w AS lag_1, lag(value, 2) OVER w AS lag_2
+    FROM {READINGS} WINDOW w AS (PARTITION BY household_id ORDER BY ts, event_id)) WHERE lag_2 IS NOT NULL AND value IS NOT NULL),
+m AS (SELECT avg(y) AS base FROM r WHERE NOT is_test),
+tall AS ({" UNION ALL ".join(f"SELECT event_id, is_test, {i} AS f, {c} AS x FROM r" for i, c in enumerate(TREE_FEATURES))}),
+e AS (SELECT f, list_sort(list_distinct(list_transform(quantile_cont(x, {[i / TREE_BINS for i in range(TREE_BINS + 1)]}),
+  lambda q: format('{{:.12g}}', q)::DOUBLE)))[1:-2] AS edges FROM tall WHERE NOT is_test GROUP BY f),
+b AS (SELECT event_id, f, 1 + len(list_filter(edges, lambda edge: edge < x)) AS bin FROM tall JOIN e USING (f)),
+grad1 AS (SELECT event_id, is_test, base - y AS g FROM r, m)"""
+
+
+def _splits_sql(rules: trees.Growth, step: float) -> str:
+    names = f"{TREE_FEATURES}[f + 1]"
+    return f"""{TREE_ROWS_SQL},
+{_tree_ctes(1, rules)}
+SELECT 0::BIGINT AS tree, node::BIGINT AS node, {names} AS feature, edges[cut] AS threshold, gain, value * {step!r}::DOUBLE AS value, n_rows
+FROM facts1 LEFT JOIN splits1 USING (node) LEFT JOIN e USING (f)"""
+
+
+def _tree_split(spark, sf):
+    return learning.chronological_split(_training_table(spark, sf), ORDER)
+
+
+@query("ml6_penalised_tree", _splits_sql(SHALLOW_BOOSTED, 0.1), threshold=6, gain=3, value=6)
+def _(spark, sf):
+    train, _ = _tree_split(spark, sf)
+    whole = {"row_share": 1.0, "column_share": 1.0, "rules": SHALLOW_BOOSTED, "bins": TREE_BINS}
+    return trees.fit_boosted(train, TREE_FEATURES, "value", ORDER, None, rounds=1, **whole).splits(train)
+
+
+@query(
+    "ml6_penalised_boosting",
+    f"""{TREE_ROWS_SQL},
+{_tree_ctes(1, SHALLOW_BOOSTED)},
+grad2 AS (SELECT event_id, is_test, g + 0.1::DOUBLE * value AS g FROM grad1 JOIN leaves1 USING (event_id)),
+{_tree_ctes(2, SHALLOW_BOOSTED)}
+SELECT event_id, y, base + 0.1::DOUBLE * (leaves1.value + leaves2.value) AS y_hat
+FROM r JOIN leaves1 USING (event_id) JOIN leaves2 USING (event_id), m WHERE is_test""",
+    y_hat=6,
+)
+def _(spark, sf):
+    train, test = _tree_split(spark, sf)
+    whole = {"row_share": 1.0, "column_share": 1.0, "rules": SHALLOW_BOOSTED, "bins": TREE_BINS}
+    model = trees.fit_boosted(train, TREE_FEATURES, "value", ORDER, None, rounds=2, **whole)
+    return learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]).select("event_id", "y", "y_hat")
+
+
+def _whole_tree(train):
+    return trees.fit_forest(
+        train, TREE_FEATURES, "value", ORDER, trees=1, row_share=None, rules=SHALLOW_FOREST, bins=TREE_BINS
+    )
+
+
+@query("ml5_forest_tree", _splits_sql(SHALLOW_FOREST, 1.0), threshold=6, gain=3, value=6)
+def _(spark, sf):
+    train, _ = _tree_split(spark, sf)
+    return _whole_tree(train).splits(train)
+
+
+@query(
+    "ml7_gain_shares",
+    f"""{TREE_ROWS_SQL},
+{_tree_ctes(1, SHALLOW_FOREST)}
+SELECT 'Random Forest' AS model_name, {TREE_FEATURES}[e.f + 1] AS feature, 100 * coalesce(sum(gain), 0) / (SELECT sum(gain) FROM splits1) AS importance_pct
+FROM e LEFT JOIN splits1 USING (f) GROUP BY e.f""",
+    importance_pct=6,
+)
+def _(spark, sf):
+    train, _ = _tree_split(spark, sf)
+    found = learning.importances(train, {"Random Forest": _whole_tree(train)}, TREE_FEATURES)
+    return found.select("model_name", "feature", "importance_pct")
+
+
 WEIGHTS_SQL = "SELECT 'Random Forest' AS model_name, count(*) * 0 + 6 AS features, 100.0::DOUBLE AS total_pct FROM events"
 
 
