@@ -60,3 +60,22 @@ def checked_stream(
     stamped = within_limits(readings, limits).withColumn("_ts", F.col(ts_col).cast("timestamp"))
     watermarked = stamped.withWatermark("_ts", lateness)
     return watermarked.dropDuplicatesWithinWatermark([*entity, "_ts"]).drop("_ts")
+
+
+def first_of_stream(
+    readings: DataFrame, entity: list[str], ts_col: str, order: list[str], lateness: str = LATENESS
+) -> DataFrame:
+    """STR2: per household and time the reading that comes first in ``order``, whenever it arrives.
+
+    For append mode. State is one row per household and time; it leaves once the watermark has passed that time, so
+    the result is CLN5's on all rows that are not later than ``lateness``. A NULL order comes first, and of
+    rows with equal order the one with the least other columns. Rows without a time go, since no watermark
+    ever passes them.
+    """
+    given = readings.columns
+    whole = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in given if c not in order])
+    stamped = readings.select(
+        *[F.col(c).alias(f"_key{i}") for i, c in enumerate(entity)], F.col(ts_col).cast("timestamp").alias("_ts"), whole.alias("_row")
+    ).where("_ts is not null")
+    firsts = stamped.withWatermark("_ts", lateness).groupBy(*[f"_key{i}" for i in range(len(entity))], "_ts").agg(F.min("_row").alias("_row"))
+    return firsts.select(*[F.col("_row")[c].alias(c) for c in given])

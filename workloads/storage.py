@@ -246,3 +246,25 @@ def _(spark, sf):
         .awaitTermination()
     )
     return spark.read.schema("event_id BIGINT, value DOUBLE").parquet(f"{folder}/table")
+
+
+@query(
+    "str2_first_of_stream",
+    """WITH e AS (SELECT event_id, user_id, value, date_trunc('hour', ts) AS slot FROM events)
+SELECT user_id, min(event_id) AS event_id, arg_min(value, event_id) AS value FROM e
+WHERE slot <= (SELECT max(slot) FROM e) - INTERVAL 2 HOUR GROUP BY user_id, slot""",
+)
+def _(spark, sf):
+    folder = _folder(spark)
+    slots = _event_stream(spark, sf).select("user_id", F.date_trunc("hour", "ts").alias("slot"), "event_id", "value")
+    (
+        streams.first_of_stream(slots, ["user_id"], "slot", ["event_id"])
+        .select("user_id", "event_id", "value")
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/table")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    return spark.read.schema("user_id BIGINT, event_id BIGINT, value DOUBLE").parquet(f"{folder}/table")
