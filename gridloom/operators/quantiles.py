@@ -5,6 +5,7 @@ a bounded number of rows; beyond it the wanted order statistics are found by nar
 count the rows in equal-width bins, keep the bin that holds the wanted rank, repeat
 inside it. Every pass is a filter with literal limits plus an aggregate of at most
 ``BINS`` rows per target, and the last pass lists at most ``BINS`` distinct values.
+Where many groups are that large, their distinct values are ordered together instead.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ BINS = 2048
 EXACT_ROWS = 500_000
 SMALLEST_STEP = 1e-290
 BROADCAST_VALUES = 100_000
+#: Up to so many large groups are narrowed by the driver; more of them are ordered together.
+MOST_NARROWED = 64
 
 
 @dataclass(frozen=True)
@@ -200,19 +203,60 @@ def _known(df: DataFrame, column: str) -> Column:
     return F.when(~F.isnan(column), F.col(column)) if floating else F.col(column)
 
 
+def _ordered_quantiles(df: DataFrame, group: list[str], value: str, sizes: DataFrame, probs: list[float]) -> DataFrame:
+    """Quantiles of all groups in ``sizes`` from one order of their distinct values.
+
+    A value covers the ranks from the rows below it on; the two ranks around each quantile pick their
+    values in one map-side combined aggregate, so neither plan nor driver grows with the groups.
+    """
+    values = ordered_values(df, group, value).withColumn("value", F.col("value").cast("double"))
+    ranked = join_null_safe(values, sizes, group)
+    # 0-based place of each quantile among the rows of its group
+    at = [F.lit(float(p)) * (F.col("rows") - 1) for p in probs]
+
+    def covering(rank: Column) -> Column:
+        return F.max(F.when((F.col("below") <= rank) & (rank < F.col("below") + F.col("n")), F.col("value")))
+
+    ends = [
+        F.struct(
+            covering(F.floor(a)).alias("low"),
+            covering(F.least(F.floor(a) + 1, F.col("rows") - 1)).alias("high"),
+            F.max(a - F.floor(a)).alias("part"),
+        )
+        for a in at
+    ]
+
+    def between(e: Column) -> Column:
+        low, high, part = e["low"], e["high"], e["part"]
+        endless = (F.abs(low) == F.lit(math.inf)) | (F.abs(high) == F.lit(math.inf))
+        return (
+            F.when((low == high) | (part == 0), low)
+            .when(endless, (1 - part) * low + part * high)
+            .otherwise(low + (high - low) * part)
+        )
+
+    picked = ranked.groupBy(*group).agg(F.max("rows").alias("rows"), F.array(*ends).alias("_ends"))
+    return picked.select(*group, "rows", F.transform("_ends", between).alias("q"))
+
+
 def grouped_quantiles(
     df: DataFrame, group: list[str], value: str, probs: list[float], exact_rows: int = EXACT_ROWS
 ) -> DataFrame:
     """ST2 per group: ``group``, ``rows`` and an array ``q`` of linear-interpolated quantiles.
 
     NULL and NaN are missing. Groups of at most ``exact_rows`` rows, of which there may be any
-    number, use ``percentile``; only the larger ones, few by their size, are known to the driver.
+    number, use ``percentile``. A few larger ones are narrowed without a shuffle; more than
+    ``MOST_NARROWED`` are ordered together, unknown to the driver, in as many jobs as one would take.
     """
     df = df.select(*group, _known(df, value).alias(value))
-    sizes = df.groupBy(*group).agg(F.count(value).alias("rows"))
-    large = {tuple(r[:-1]): r[-1] for r in sizes.where(F.col("rows") > exact_rows).collect()}
+    sizes = df.groupBy(*group).agg(F.count(value).alias("rows")).where(F.col("rows") > exact_rows)
+    large = {tuple(r[:-1]): r[-1] for r in sizes.limit(MOST_NARROWED + 1).collect()}
     rest, many = df, None
-    if large:
+    if len(large) > MOST_NARROWED:
+        sizes = settle(sizes)
+        rest = join_null_safe(df, sizes, group, "left_anti")
+        many = join_null_safe(df, sizes, group, "left_semi")
+    elif large:
         types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
         keys = df.sparkSession.createDataFrame(list(large), ", ".join(f"`{name}` {types[name]}" for name in group)) if group else None
         rest = join_null_safe(df, keys, group, "left_anti") if group else df.limit(0)
@@ -223,6 +267,8 @@ def grouped_quantiles(
     )
     if many is None:
         return exact
+    if len(large) > MOST_NARROWED:
+        return _ordered_quantiles(many, group, value, sizes, probs).unionByName(exact)
     found = _narrowed_quantiles(many, group, value, large, probs)
     schema = ", ".join([f"`{name}` {types[name]}" for name in group] + ["rows BIGINT", "q ARRAY<DOUBLE>"])
     table = df.sparkSession.createDataFrame([(*g, large[g], q) for g, q in found.items()], schema)

@@ -75,6 +75,25 @@ def test_quantiles_of_many_groups_of_which_one_is_large(spark):
     assert len(mixed) == 10_001 and mixed == fast
 
 
+def test_quantiles_of_many_large_groups(spark):
+    """20,000 groups that all count as large, one with a third of the rows: equal to percentile, in few jobs."""
+    value = F.expr("CASE WHEN id % 997 = 0 THEN double('NaN') WHEN id % 991 = 0 THEN double('inf') WHEN id % 983 = 0 THEN NULL ELSE double(id * 7919 % 10007) END")
+    group = F.expr("CASE WHEN id % 3 = 0 THEN NULL ELSE id % 20000 END")
+    many = spark.range(120_000).select(group.alias("g"), value.alias("v"))
+    probs = [0.0, 0.3, 0.5, 1.0]
+    context = spark.sparkContext
+    context.setJobGroup("many groups", "")
+    found = {r["g"]: (r["rows"], r["q"]) for r in quantiles.grouped_quantiles(many, ["g"], "v", probs, exact_rows=0).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("many groups"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    wanted = {r["g"]: (r["rows"], r["q"]) for r in quantiles.grouped_quantiles(many, ["g"], "v", probs).collect()}
+    assert len(found) > 13_000 and found.keys() == wanted.keys() and jobs < 25
+    for g, (rows, q) in wanted.items():
+        assert found[g][0] == rows
+        # percentile counts on 0 x infinity where a quantile falls on a value beside an infinity
+        assert found[g][1] == pytest.approx(q) or any(math.isnan(x) for x in q)
+
+
 def test_order_statistics_end_on_infinities(rows):
     known = sorted(r["w"] for r in rows.collect() if r["w"] is not None and not math.isnan(r["w"]))
     ranks = [0, 5, len(known) // 2, len(known) - 1]

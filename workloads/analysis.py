@@ -49,6 +49,20 @@ def _(spark, sf):
     return statistics.statistical_summary(readings(spark, sf), ["reading"])
 
 
+@query(
+    "st2_quantiles_of_many_groups",
+    """SELECT l_partkey AS part, count(*) AS n_rows, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50,
+  quantile_cont(l_extendedprice, 0.9) AS q90 FROM lineitem GROUP BY l_partkey""",
+    q25=4, q50=4, q90=4,
+)
+def _(spark, sf):
+    from gridloom.operators.quantiles import grouped_quantiles
+
+    found = grouped_quantiles(table(spark, sf, "lineitem"), ["l_partkey"], "l_extendedprice", [0.25, 0.5, 0.9], exact_rows=0)
+    q = F.col("q")
+    return found.select(F.col("l_partkey").alias("part"), F.col("rows").alias("n_rows"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q90"))
+
+
 @query(
     "st2_exact_quantiles",
     """SELECT event_type, count(value) AS rows, quantile_cont(value, 0.01) AS q01, quantile_cont(value, 0.5) AS q50,
