@@ -51,7 +51,7 @@ class Growth:
 #: ML6, ML5 and ML8 with the original's settings.
 BOOSTED = Growth(depth=5, leaf_weight=3.0, l1=0.1, l2=1.0, least_gain=0.1)
 FOREST = Growth(depth=15, split_rows=15, leaf_rows=10)
-SELECTION = Growth(depth=15, split_rows=10, leaf_rows=5)
+SELECTION = Growth(depth=15, split_rows=10)
 
 
 @dataclass

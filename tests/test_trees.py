@@ -7,6 +7,7 @@ import pytest
 
 from gridloom.operators import learning, trees
 from gridloom.operators.trees import Growth, Nodes
+from gridloom.plans.training import train_and_evaluate
 
 
 def plain_tree(rows, rules, columns):
@@ -152,3 +153,16 @@ def test_edges(spark):
             assert empty.transform(df).first()["y_hat"] is None and empty.weights() == [0.0]
     constant = trees.fit_forest(df.selectExpr("id", "node", "7D as y"), ["node"], "y", ["id"], trees=1)
     assert {r["y_hat"] for r in constant.transform(df).collect()} == {7.0}
+
+
+def test_training_run_with_own_trees(spark):
+    # The target is a step in x that a line cannot follow; z is noise.
+    rows = [(i, float(i * 37 % 20), float(i * 11 % 7), 10.0 if i * 37 % 20 in (3, 4, 5, 11) else 0.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "id LONG, x DOUBLE, z DOUBLE, y DOUBLE")
+    run = train_and_evaluate(df, ["x", "z"], "y", ["id"], trees=4, rounds=4, own_trees=True)
+    errors = {r["model_name"]: r["rmse"] for r in run.scores.collect()}
+    assert errors.keys() == {"Linear Regression", "Random Forest", "Gradient Boosting"}
+    assert max(errors["Random Forest"], errors["Gradient Boosting"]) < 0.8 * errors["Linear Regression"]
+    shares = {(r["model_name"], r["feature"]): r["importance_pct"] for r in run.importances.collect()}
+    assert shares["Random Forest", "x"] > shares["Random Forest", "z"]
+    assert run.predictions.where("y_hat is null").count() == 0

@@ -136,6 +136,7 @@ TREE_BINS = 16
 # Depth 3 keeps the SQL short; all other rules are those of the defaults.
 SHALLOW_BOOSTED = replace(trees.BOOSTED, depth=3)
 SHALLOW_FOREST = replace(trees.FOREST, depth=3)
+SHALLOW_SELECTION = replace(trees.SELECTION, depth=3)
 
 
 def _tree_ctes(turn: int, rules: trees.Growth) -> str:
@@ -228,10 +229,8 @@ def _(spark, sf):
     return learning.score({"Gradient Boosting": model}, test, "value", ["event_id"]).select("event_id", "y", "y_hat")
 
 
-def _whole_tree(train):
-    return trees.fit_forest(
-        train, TREE_FEATURES, "value", ORDER, trees=1, row_share=None, rules=SHALLOW_FOREST, bins=TREE_BINS
-    )
+def _whole_tree(train, rules=SHALLOW_FOREST):
+    return trees.fit_forest(train, TREE_FEATURES, "value", ORDER, trees=1, row_share=None, rules=rules, bins=TREE_BINS)
 
 
 @query("ml5_forest_tree", _splits_sql(SHALLOW_FOREST, 1.0), threshold=6, gain=3, value=6)
@@ -240,6 +239,12 @@ def _(spark, sf):
     return _whole_tree(train).splits(train)
 
 
+@query("ml8_selection_tree", _splits_sql(SHALLOW_SELECTION, 1.0), threshold=6, gain=3, value=6)
+def _(spark, sf):
+    train, _ = _tree_split(spark, sf)
+    return _whole_tree(train, SHALLOW_SELECTION).splits(train)
+
+
 @query(
     "ml7_gain_shares",
     f"""{TREE_ROWS_SQL},
