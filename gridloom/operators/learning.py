@@ -89,7 +89,7 @@ def chronological_split(df: DataFrame, order: list[str], test_share: float = 0.2
     cut = int(total * (1 - test_share))
     if cut >= total:
         return df, df.limit(0)
-    earlier = F.coalesce(before_row(df, order, row_at(known, order, cut)), F.lit(True))
+    earlier = before_row(df, order, row_at(known, order, cut), missing_first=True)
     return df.where(earlier), df.where(~earlier)
 
 

@@ -334,12 +334,16 @@ def _literal(df: DataFrame, column: str, value) -> Column:
     return F.lit(value)
 
 
-def before_row(df: DataFrame, order: list[str], boundary: list) -> Column:
-    """True for rows strictly before the boundary in lexicographic order."""
+def before_row(df: DataFrame, order: list[str], boundary: list, missing_first: bool = False) -> Column:
+    """True for rows strictly before the boundary in lexicographic order.
+
+    NULL where a missing column would decide, or true with ``missing_first``.
+    """
     condition = F.lit(False)
     for c, value in reversed(list(zip(order, boundary))):
         limit = _literal(df, c, value)
-        condition = (F.col(c) < limit) | ((F.col(c) == limit) & condition)
+        before = F.col(c) < limit
+        condition = (F.col(c).isNull() | before if missing_first else before) | ((F.col(c) == limit) & condition)
     return condition
 
 
