@@ -63,17 +63,23 @@ def statistical_summary(df: DataFrame, columns: list[str], exact_rows: int = EXA
     return _in_parts(df, columns, SUMMARY_COLUMNS, described)
 
 
+def _correlation(x: Column, y: Column) -> Column:
+    """NULL where one of them is constant: told by the ends, since merged parts can leave equal values a tiny deviation."""
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+
+
 def pearson(a: str | Column, b: str | Column) -> Column:
     """Correlation over rows where both are known; NULL where one of them is constant."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return _correlation(F.when(both, a.cast("double")), F.when(both, b.cast("double")))
 
 
 def _bounded(r: Column) -> Column:
-    return F.when(~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    """Within -1 and 1; greatest and least skip NULL, so a missing r is kept apart."""
+    return F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], complete_rows: bool = False) -> DataFrame:
@@ -95,7 +101,7 @@ def pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]], complete_rows: bo
 
     def r(a: str, b: str) -> Column:
         if a in complete and b in complete:
-            return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+            return _correlation(F.col(a).cast("double"), F.col(b).cast("double"))
         return pearson(a, b)
 
     return _in_parts(

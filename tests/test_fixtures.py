@@ -3,6 +3,7 @@
 import math
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from gridloom.operators import association, charts, cleaning, columns, evaluatio
 from gridloom.operators.series import SeriesKey
 from gridloom.plans.features import rolling_features
 from gridloom.sources import logs
+from workloads import REGISTRY
 
 START = datetime(2024, 1, 1)
 KEY = SeriesKey(("household_id",), ("ts", "seq"))
@@ -167,6 +169,35 @@ def test_constant_columns_have_no_scores(spark):
     assert statistics.normality(df, ["c"]).first()["p_value"] is None
 
 
+def test_constant_columns_of_several_parts_have_no_correlation(spark):
+    # 49 * (1 / 49) is not 1, so the merged average of each part misses the next one's by a rounding error.
+    ids = F.col("id").cast("double")
+    df = spark.range(0, 98, 1, 2).select(
+        ids.alias("y"), F.lit(1.0).alias("c"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 49, ids).alias("half"), F.when(F.col("id") != 97, F.lit(2024)).alias("known"),
+    )
+    assert df.agg(F.stddev_pop("c")).first()[0] > 0
+    pairs = [("c", "y"), ("c", "c"), ("c", "half"), ("known", "y"), ("none", "y")]
+    found = {(r["var1"], r["var2"]): r["r"] for r in statistics.pearson_pairs(df, [*pairs, ("y", "half")]).collect()}
+    assert [found[pair] for pair in pairs] == [None] * len(pairs) and found["y", "half"] == pytest.approx(1.0)
+    direct = df.agg(statistics.pearson("c", "y").alias("all"), statistics.pearson("known", "y").alias("known")).first()
+    assert direct["all"] is None and direct["known"] is None
+    scored = statistics.f_test(df, ["c"], "y").first()
+    assert scored["f_score"] is None and scored["p_value"] is None and not scored["significant"]
+
+
+@pytest.mark.parametrize(("years", "rows"), [((2024, 2024), 1), ((2024, None), 1), ((2023, 2024), 0), ((None, None), 0), ((), 0)])
+def test_constant_year_query_on_other_years(spark, tmp_path, years, rows):
+    times = [(None if y is None else datetime(y, 5, 1), float(i)) for i, y in enumerate(years)]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(times, "ts TIMESTAMP_NTZ, value DOUBLE").write.parquet(path)
+    query = REGISTRY["st3_pearson_constant_column"]
+    found = sorted(tuple(r) for r in query.run(spark, str(tmp_path)).collect())
+    oracle = duckdb.connect()
+    oracle.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert found == oracle.sql(query.sql).fetchall() == [("value", "year", None)] * rows
+
+
 def test_pairwise_correlation_skips_missing(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 6.5), (4.0, 8.0)], "a DOUBLE, b DOUBLE")
     known = df.dropna()
