@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -34,9 +35,11 @@ from gridloom.llm.rows import ROW, named, opened, row_schema, with_row
 from gridloom.llm.text import Rolling, byte_codes, flat_ranges, gather, give_back, joined, pieces, utf8, word_spans
 
 WIDTH = 50
-FLUSH_BYTES = 3 << 20
+FLUSH_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
-SLICES = 48
+EVEN_BUCKETS = 256  # beyond so many, buckets grow, up to
+WIDEST = 4  # times BUCKET_BYTES
+SLICES = 48  # of BUCKET_BYTES; a slice's number is one byte
 CHUNK_BYTES = 1 << 20
 PORTION = 1 << 19
 BLOCK_BYTES = 2 << 20
@@ -96,14 +99,23 @@ def unchanged(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return data, offsets
 
 
+@cache
+def _compressor(level: int) -> zstandard.ZstdCompressor:
+    """One for each level and worker: making its tables anew costs more than compressing a small block."""
+    return zstandard.ZstdCompressor(level=level)
+
+
 def _pack(arrays: list[np.ndarray], text: np.ndarray | None = None, level: int = 3) -> bytes:
-    """Arrays of one length, the first as differences, and a text after them."""
+    """Arrays of one length, the first as differences, and a text after them.
+
+    The first bytes of all numbers lie together, then the second ones and so on: many compress to nothing.
+    """
     parts = [np.array([len(arrays[0]), 0 if text is None else len(text)], np.int64).tobytes()]
-    parts.append(np.diff(arrays[0], prepend=arrays[0].dtype.type(0)).tobytes())
-    parts += [a.tobytes() for a in arrays[1:]]
+    for a in (np.diff(arrays[0], prepend=arrays[0].dtype.type(0)), *arrays[1:]):
+        parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
     if text is not None:
         parts.append(text.tobytes())
-    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
+    return _compressor(level).compress(b"".join(parts))
 
 
 def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
@@ -111,8 +123,10 @@ def _unpack(blob: bytes, kinds: list) -> list[np.ndarray]:
     n, size = np.frombuffer(raw, np.int64, 2).tolist()
     at, out = 16, []
     for kind in kinds:
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * width
     out[0] = np.cumsum(out[0])
     return [*out, np.frombuffer(raw, np.uint8, size, at)]
 
@@ -248,7 +262,17 @@ def _block_column(doc: str, text: str, blocks: int) -> Column:
     return F.pmod(F.coalesce(spread, F.xxhash64(text)), F.lit(blocks)).cast("int")
 
 
-def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray):
+def fan_out(packed: float) -> tuple[int, int]:
+    """Buckets for so many packed bytes, and the slices of each.
+
+    Every flush of every task makes a block for each bucket, so with more buckets the blocks get smaller
+    and many. Buckets therefore grow before their number does; slices keep their size.
+    """
+    wide = min(WIDEST, max(1, ceil(packed / BUCKET_BYTES / EVEN_BUCKETS)))
+    return ceil(packed / BUCKET_BYTES / wide) or 1, SLICES * wide
+
+
+def _send(method: Method, width: int, buckets: int, slices: int, blocks: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in pieces(batches, "_text", method.piece_bytes):
@@ -282,7 +306,7 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
         marks = [*(m for each in marks for m in each), [c[later] for c in columns[4:]]]
         begin, end, _, anchor, doc, first, count = (c[~later] for c in columns)
         bucket = (anchor % np.uint64(buckets)).astype(np.int64)
-        part = (anchor // np.uint64(buckets) % np.uint64(SLICES)).astype(np.uint8)
+        part = (anchor // np.uint64(buckets) % np.uint64(slices)).astype(np.uint8)
         order = np.lexsort((part, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
         out: list[tuple[int, int, bytes]] = []
@@ -300,6 +324,22 @@ def _send(method: Method, width: int, buckets: int, blocks: int, hot: np.ndarray
     return run
 
 
+def _perhaps_equal(prints: np.ndarray) -> np.ndarray:
+    """Places of all prints that occur more than once, and of few others.
+
+    The low bits of a print give way to its place, so that one plain sort of numbers does.
+    """
+    low = np.uint64(max(len(prints) - 1, 1).bit_length())
+    keys = (prints >> low << low) | np.arange(len(prints), dtype=np.uint64)
+    keys.sort()
+    high = keys >> low
+    same = high[1:] == high[:-1]
+    meets = np.zeros(len(keys), bool)
+    meets[1:] |= same
+    meets[:-1] |= same
+    return (keys[meets] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
 def _least_holders(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows whose print also stands in a smaller doc_id, and for each the first window of the least one.
 
@@ -309,12 +349,7 @@ def _least_holders(prints: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
     found, holder = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(portions):
         own = np.flatnonzero(prints % np.uint64(portions) == k) if portions > 1 else np.arange(len(prints))
-        own = own[np.argsort(prints[own], kind="stable")]
-        same = prints[own[1:]] == prints[own[:-1]]
-        meets = np.zeros(len(own), bool)
-        meets[1:] |= same
-        meets[:-1] |= same
-        own = own[meets]
+        own = own[_perhaps_equal(prints[own])]
         if len(own):
             own = own[np.lexsort((doc[own], prints[own]))]
             new = np.concatenate(([True], prints[own[1:]] != prints[own[:-1]]))
@@ -380,28 +415,41 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, method: Method, coun
     return owner[window], window - (np.cumsum(count) - count)[owner[window]]
 
 
-def _settle_bucket(method: Method, width: int, blocks: int):
+def _by_slice(packed: list[list[np.ndarray]], slices: int) -> Iterator[list[np.ndarray]]:
+    """The strings of all blocks by their slice: (doc_id, first window, windows, bytes) of each and their joint text.
+
+    Every block lies in the order of slices. Their borders are found for all blocks at once, since the number
+    of blocks in a bucket grows with the input.
+    """
+    if not packed:
+        return
+    *facts, part_of = (np.concatenate(x) for x in list(zip(*packed))[:-1])
+    texts = [p[-1] for p in packed]
+    lengths = np.array([len(p[0]) for p in packed])
+    block = np.repeat(np.arange(len(packed)), lengths)
+    borders = np.searchsorted(block * slices + part_of, np.arange(len(packed) * slices + 1))
+    before = np.concatenate(([0], np.cumsum(facts[3], dtype=np.int64)))
+    begins = before[borders[:-1]].reshape(-1, slices)
+    ends = before[borders[1:]].reshape(-1, slices) - begins[:, :1]
+    begins = begins - begins[:, :1]
+    order = np.argsort(part_of, kind="stable")
+    cuts = np.searchsorted(part_of[order], np.arange(slices + 1)).tolist()
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            stretches = zip(texts, begins[:, part].tolist(), ends[:, part].tolist())
+            yield [*(x[order[a:b]] for x in facts), np.concatenate([text[i:k] for text, i, k in stretches if k > i])]
+
+
+def _settle_bucket(method: Method, width: int, slices: int, blocks: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block").to_pylist()
         blobs = table.column("blob").to_pylist()
         out = [(b, b"M" + blob) for b, blob in zip(block, blobs) if b >= 0]
         packed = [_unpack(blob, _PACKED) for b, blob in zip(block, blobs) if b < 0]
         marks = []
-        for part in range(SLICES if packed else 0):
-            docs, firsts, counts, texts, sizes = [], [], [], [], []
-            for doc, first, count, size, slice_, text in packed:
-                a, b = np.searchsorted(slice_, np.array([part, part + 1], np.uint8)).tolist()
-                if b > a:
-                    begin = int(size[:a].sum(dtype=np.int64))
-                    sizes.append(size[a:b].astype(np.int64))
-                    texts.append(text[begin : begin + int(sizes[-1].sum())])
-                    docs.append(doc[a:b]), firsts.append(first[a:b]), counts.append(count[a:b])
-            if not docs:
-                continue
-            doc, first, count = np.concatenate(docs), np.concatenate(firsts), np.concatenate(counts).astype(np.int64)
-            data = np.concatenate(texts)
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
-            owner, place = repeated_windows(data, offsets, method, count, doc, width)
+        for doc, first, count, size, data in _by_slice(packed, slices):
+            offsets = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+            owner, place = repeated_windows(data, offsets, method, count.astype(np.int64), doc, width)
             if len(owner):
                 new = np.ones(len(owner), bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
@@ -425,8 +473,8 @@ def _covered(symbols_offsets: np.ndarray, ids: np.ndarray, known: np.ndarray, bl
     rows = np.flatnonzero(known)
     rows = rows[np.argsort(ids[rows], kind="stable")]
     sorted_ids = ids[rows]
-    for blob in blobs:
-        doc, first, count, _ = _unpack(blob, _MARKS)
+    if blobs:
+        doc, first, count = (np.concatenate(x) for x in list(zip(*(_unpack(blob, _MARKS) for blob in blobs)))[:-1])
         a, b = np.searchsorted(sorted_ids, doc), np.searchsorted(sorted_ids, doc, "right")
         to = rows[flat_ranges(a, b - a)]  # every row of that doc_id
         first, count = np.repeat(first, b - a).astype(np.int64), np.repeat(count, b - a).astype(np.int64)
@@ -519,11 +567,11 @@ def remove_repeats(
     """
     source = documents.select(named(doc_id).cast("long").alias("_id"), named(text).alias("_text"))
     rows, size = source.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()
-    buckets = ceil(size * method.growth / BUCKET_BYTES) or 1
+    buckets, slices = fan_out(size * method.growth)
     blocks = ceil(size / BLOCK_BYTES) or 1
     hot = _hot_anchors(source, rows, size, method, width)
-    sent = source.mapInArrow(_send(method, width, buckets, blocks, hot), "bucket int, block int, blob binary")
-    marks = sent.groupBy("bucket").applyInArrow(_settle_bucket(method, width, blocks), "block int, blob binary")
+    sent = source.mapInArrow(_send(method, width, buckets, slices, blocks, hot), "bucket int, block int, blob binary")
+    marks = sent.groupBy("bucket").applyInArrow(_settle_bucket(method, width, slices, blocks), "block int, blob binary")
 
     placed = with_row(documents, keep, _id=named(doc_id).cast("long"), _text=named(text))
     out = row_schema(placed, schema)

@@ -37,7 +37,7 @@ def phrase_ends(rolling: Rolling, width: int) -> np.ndarray:
     return np.where(inside, hashes[np.minimum(following, len(hashes) - 1)], least)
 
 
-PHRASES = Method(unchanged, _bytes_of, phrase_ends, growth=3.3, piece_bytes=1 << 19, level=6)
+PHRASES = Method(unchanged, _bytes_of, phrase_ends, growth=3.3, piece_bytes=1 << 19, level=4)
 
 KEPT = "n_bytes long, n_removed long, n_spans long, kept binary"
 

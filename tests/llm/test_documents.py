@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -97,6 +98,57 @@ def test_hot_passages_change_nothing(spark, monkeypatch, operator, brute):
     assert found == {d: (x[1], x[-1]) for (d, _), x in zip(rows, brute(rows))}
 
 
+@pytest.mark.parametrize("operator, brute", [(substrings.remove_repeated_words, substrings.brute_force), (suffixes.remove_repeated_bytes, suffixes.brute_force)])
+def test_wide_buckets_change_nothing(spark, monkeypatch, operator, brute):
+    """Buckets grow at once, and every piece of input sends blocks of its own to each."""
+    for name, value in (("BUCKET_BYTES", 4_000), ("EVEN_BUCKETS", 2), ("FLUSH_BYTES", 1_000)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = [(i, f"{prose(90, i)} {prose(70, i % 5)} {prose(60, i % 3)}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_removed"], bytes(r["kept"]) if isinstance(r["kept"], bytearray) else r["kept"]) for r in operator(df).collect()}
+    assert found == {d: (x[1], x[-1]) for (d, _), x in zip(rows, brute(rows))}
+    assert any(n for n, _ in found.values())
+
+
+def test_blocks_of_a_large_input():
+    """6 GB of text make few enough buckets for the blocks of a flush to stay large; a slice's number fits a byte."""
+    assert repeats.fan_out(0) == (1, repeats.SLICES)
+    buckets, slices = repeats.fan_out(6e9 * suffixes.PHRASES.growth)
+    assert repeats.FLUSH_BYTES * suffixes.PHRASES.growth / buckets > 40_000
+    assert slices == repeats.SLICES * repeats.WIDEST <= 256
+
+
+def test_blocks_are_cut_at_once():
+    """The strings of a slice come out block by block, whatever the number of blocks."""
+    rng, blocks = np.random.default_rng(1), []
+    for _ in range(200):
+        n = int(rng.integers(0, 9))
+        size = rng.integers(1, 6, n).astype(np.int32)
+        text = rng.integers(0, 256, int(size.sum())).astype(np.uint8)
+        numbers = [rng.integers(-(2**62), 2**62, n), *(rng.integers(0, 2**31 - 1, n).astype(np.int32) for _ in range(2)), size]
+        blocks.append([*numbers, np.sort(rng.integers(0, 7, n)).astype(np.uint8), text])
+    packed = [repeats._unpack(repeats._pack(b[:-1], b[-1]), repeats._PACKED) for b in blocks]
+    assert all(np.array_equal(x, y) for a, b in zip(packed, blocks) for x, y in zip(a, b))
+    expected: dict[int, list] = {}
+    for doc, first, count, size, part, text in blocks:
+        ends = np.cumsum(size)
+        for row in zip(doc.tolist(), first.tolist(), count.tolist(), size.tolist(), part.tolist(), ends.tolist()):
+            expected.setdefault(row[4], []).append((*row[:4], text[row[5] - row[3] : row[5]].tobytes()))
+    found = []
+    for doc, first, count, size, text in repeats._by_slice(packed, 7):
+        ends = np.cumsum(size)
+        found.append([(*r[:4], text[r[4] - r[3] : r[4]].tobytes()) for r in zip(doc.tolist(), first.tolist(), count.tolist(), size.tolist(), ends.tolist())])
+    assert found == [expected[k] for k in sorted(expected)]
+
+
+def test_places_of_equal_prints():
+    prints = np.random.default_rng(2).integers(0, 2**64, 5000, dtype=np.uint64)
+    prints[[7, 4000, 4999]] = prints[3]
+    prints[11] = prints[10] ^ np.uint64(1)  # differs in a bit that gives way to the place
+    assert sorted(repeats._perhaps_equal(prints).tolist()) == [3, 7, 10, 11, 4000, 4999]
+    assert repeats._perhaps_equal(prints[:1]).tolist() == repeats._perhaps_equal(prints[:0]).tolist() == []
+
+
 @pytest.mark.parametrize("operator", [substrings.remove_repeated_words, suffixes.remove_repeated_bytes])
 def test_repeats_of_rows_and_ids(spark, operator):
     """Rows of one id are one document; rows without an id are compared with none; names may clash."""
