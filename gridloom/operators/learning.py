@@ -11,6 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.operators.association import inner_edges, quantile_bin
+from gridloom.operators.forests import ForestRegressor
 from gridloom.operators.quantiles import before_row, column_quantiles, order_statistics, row_at
 from gridloom.operators.trees import BinnedTrees
 
@@ -117,19 +118,9 @@ def linear_model(target: str) -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=target, predictionCol="y_hat", solver="normal")
 
 
-def forest_model(target: str, trees: int = 100, depth: int = 15) -> RandomForestRegressor:
+def forest_model(target: str, trees: int = 100, depth: int = 15) -> ForestRegressor:
     """ML5"""
-    return RandomForestRegressor(
-        featuresCol="features",
-        labelCol=target,
-        predictionCol="y_hat",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=10,
-        featureSubsetStrategy="sqrt",
-        subsamplingRate=0.8,
-        seed=SEED,
-    )
+    return ForestRegressor("features", target, "y_hat", trees, depth, least_rows=10, features_per_node="sqrt", row_share=0.8, seed=SEED)
 
 
 def selection_forest(target: str, trees: int = 100, depth: int = 15) -> RandomForestRegressor:

@@ -101,6 +101,7 @@ TEST_SQL = f"""(SELECT event_id, value, lag_1, is_test FROM (SELECT *, row_numbe
 
 def _agreement(scored):
     """Metrics of ``evaluate`` beside the same ones from plain sums over the scored rows, per model."""
+    scored = settle(scored)  # read three times
     y, e = F.col("y"), F.col("y") - F.col("y_hat")
     mean = scored.agg(F.avg("y")).first()[0]
     rows = F.count(F.lit(1))
