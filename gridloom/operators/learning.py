@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.operators.association import inner_edges, quantile_bin
@@ -123,18 +123,9 @@ def forest_model(target: str, trees: int = 100, depth: int = 15) -> ForestRegres
     return ForestRegressor("features", target, "y_hat", trees, depth, least_rows=10, features_per_node="sqrt", row_share=0.8, seed=SEED)
 
 
-def selection_forest(target: str, trees: int = 100, depth: int = 15) -> RandomForestRegressor:
+def selection_forest(target: str, trees: int = 100, depth: int = 15) -> ForestRegressor:
     """ML8: every split may use every feature."""
-    return RandomForestRegressor(
-        featuresCol="features",
-        labelCol=target,
-        predictionCol="y_hat",
-        numTrees=trees,
-        maxDepth=depth,
-        minInstancesPerNode=5,
-        featureSubsetStrategy="all",
-        seed=SEED,
-    )
+    return ForestRegressor("features", target, "y_hat", trees, depth, least_rows=5, features_per_node="all", seed=SEED)
 
 
 def boosted_model(

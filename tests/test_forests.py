@@ -151,3 +151,16 @@ def test_constant_target_and_missing_labels(spark):
             fitted(df.withColumn("y", F.when(F.col("id") == 3, F.lit(bad)).otherwise(F.col("y"))))
     with pytest.raises(ValueError, match="rows"):
         fitted(df.limit(0))
+
+
+def test_selection_forest_in_few_jobs(spark):
+    """Every feature may split a node, so each tree's first split is the same where one feature explains all."""
+    df = spark.createDataFrame([(float(i % 40), float(i % 7), float(i % 40 > 19)) for i in range(2000)], "a double, b double, y double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).cache()
+    spark.sparkContext.setJobGroup("selection", "selection")
+    model = learning.selection_forest("y", 40, 12).fit(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("selection"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    df.unpersist()
+    assert jobs < 30
+    assert {int(t.feature[0]) for t in model.trees} == {0} and model.featureImportances.toArray() == pytest.approx([1, 0])
