@@ -22,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, GroupedData, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector, VectorUDT
+from pyspark.sql import DataFrame, GroupedData, functions as F, types as T
 
 from gridloom.operators.trees import bin_edges
 from gridloom.session import settle
@@ -506,13 +506,24 @@ class ForestModel(Model):
             self._sent = dataset.sparkSession.sparkContext.broadcast((self.edges, self.base, blobs))
         sent = self._sent
 
-        @F.arrow_udf("double")
-        def predicted(x: pa.Array) -> pa.Array:
+        # Vectors travel as arrays, the other columns as they are, all under plain names.
+        kept = {f.name: isinstance(f.dataType, VectorUDT) for f in dataset.schema if f.name != self.prediction_col}
+        given = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
+        sent_rows = dataset.select(*[(vector_to_array(c) if v else c).alias(f"c{i}") for i, (c, v) in enumerate(zip(given, kept.values()))])
+        names, features = [*sent_rows.columns, "y_hat"], list(kept).index(self.features_col)
+        fields = [T.StructField(f.name, f.dataType) for f in sent_rows.schema]
+
+        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges, base, blobs = sent.value
-            wide = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(edges))
-            return pa.array(_predicted([wide[:, i] for i in range(len(edges))], edges, base, map(Tree.from_bytes, blobs)))
+            trees = [Tree.from_bytes(b) for b in blobs]
+            for batch in batches:
+                wide = batch.column(features).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), len(edges))
+                found = _predicted([wide[:, i] for i in range(len(edges))], edges, base, trees)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
 
-        return dataset.withColumn(self.prediction_col, predicted(vector_to_array(self.features_col)))
+        scored = sent_rows.mapInArrow(predicted, T.StructType([*fields, T.StructField("y_hat", T.DoubleType())]))
+        back = [(array_to_vector(f"c{i}") if v else F.col(f"c{i}")).alias(c) for i, (c, v) in enumerate(kept.items())]
+        return scored.select(*back, F.col("y_hat").alias(self.prediction_col))
 
 
 def _predicted(values, edges, base, trees) -> np.ndarray:

@@ -119,6 +119,19 @@ def test_predictions_follow_the_trees_and_match_spark_ml(spark):
     assert model.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=0.05)
 
 
+def test_predictions_keep_columns(spark):
+    """Vectors, times, nulls and odd names pass; an older prediction is replaced; no rows give no rows."""
+    df = table(spark, 300).withColumns({"odd.name": F.lit(None).cast("string"), "at": F.timestamp_seconds("id"), "y_hat": F.lit("old")})
+    model = fitted(df)
+    scored = model.transform(df)
+    assert dict(scored.dtypes) == dict(df.dtypes) | {"y_hat": "double"}
+    kept = [c for c in df.columns if c != "y_hat"]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in kept]
+    assert sorted(map(str, scored.select(quoted).collect())) == sorted(map(str, df.select(quoted).collect()))
+    assert model.transform(df.limit(0)).collect() == []
+    assert "ArrowEvalPython" not in scored._jdf.queryExecution().toString()
+
+
 def test_few_jobs_however_deep_and_many(spark):
     """Spark ML's forest runs a job a level, and several where a level of all trees is too wide."""
     df = table(spark, 2000).cache()
